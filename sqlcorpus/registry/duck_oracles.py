@@ -221,12 +221,13 @@ _EXTRA["scored"] = f"""scored AS (SELECT l.id, l.label, l.query AS reference, co
 
 
 def _bigint_counts(sql: str) -> str:
-    """DuckDB's ``count_if`` is a HUGEINT; cast every call (brackets are matched)."""
+    """DuckDB's ``count_if`` is a HUGEINT; cast every call. Brackets outside quotes are matched."""
     out, at = [], 0
     while (start := sql.find("count_if(", at)) >= 0:
-        end, depth = start + len("count_if("), 1
+        end, depth, quoted = start + len("count_if("), 1, False
         while depth:
-            depth += {"(": 1, ")": -1}.get(sql[end], 0)
+            quoted ^= sql[end] == "'"
+            depth += 0 if quoted else {"(": 1, ")": -1}.get(sql[end], 0)
             end += 1
         out += [sql[at:start], "cast(", sql[start:end], " AS bigint)"]
         at = end
@@ -234,7 +235,6 @@ def _bigint_counts(sql: str) -> str:
 
 
 def oracle(name: str, *views: str, body: str) -> None:
-    """Register a twin. ``count_if`` arguments hold no unbalanced quoted brackets."""
     ORACLES[name] = _bigint_counts(with_(*views, body=body) if views else body)
 
 
