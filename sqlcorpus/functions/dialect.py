@@ -23,6 +23,10 @@ def _rewrite_offsets(sql: Column) -> Column:
     return sql
 
 
+# private-use characters that bracket a format string while it is translated
+_OPEN, _CLOSE = chr(0xE002), chr(0xE003)
+
+
 def _pg_format(fmt: Column) -> Column:
     for theirs, ours in fv.STRFTIME_FORMATS:
         fmt = F.replace(fmt, F.lit(theirs), F.lit(ours))
@@ -30,7 +34,20 @@ def _pg_format(fmt: Column) -> Column:
 
 
 def _rewrite_strftime(sql: Column) -> Column:
-    """Cut the text at the calls, rebuild each call, and join both lists again."""
+    """Turn each call around with its format in brackets, then translate codes inside brackets only.
+
+    Every step reads the step before once, so long rule chains stay one pass per rule.
+    """
+    pattern = fv.STRFTIME.replace(r"([^)]+)\)", r"([^)]+?)\s*\)")
+    out = sub(sql, pattern, f"TO_CHAR($2, '{_OPEN}$1{_CLOSE}')")
+    for theirs, ours in fv.STRFTIME_FORMATS:
+        out = F.regexp_replace(out, F.lit(f"{theirs}(?=[^{_OPEN}{_CLOSE}]*{_CLOSE})"), F.lit(ours))
+    return F.translate(out, _OPEN + _CLOSE, "")
+
+
+def _rewrite_strftime_by_parts(sql: Column) -> Column:
+    """Same result without brackets, for text that itself holds the bracket characters: cut the text
+    at the calls, rebuild each call, and join both lists again."""
     gaps = F.split(sql, regex(fv.STRFTIME), -1)
     calls = F.zip_with(
         find_all(sql, fv.STRFTIME, 1),
@@ -42,22 +59,21 @@ def _rewrite_strftime(sql: Column) -> Column:
     )
 
 
-def _if_found(col: Column, guard: Column, rewritten: Column) -> Column:
-    """Run a costly rewrite only on rows that need it."""
-    return F.when(guard, rewritten).otherwise(col)
+def _rewrite_substr(sql: Column) -> Column:
+    return sub(sql, fv.SUBSTR, "SUBSTRING($1 FROM $2 FOR $3)")
 
 
 def rewrite_query(sql: Column) -> Column:
     """All query rules in order; null and empty text pass through."""
-    rewritten = sub(sql, fv.DATETIME_NOW, "CURRENT_TIMESTAMP")
-    rewritten = _if_found(rewritten, has(sql, fv.DATETIME_OFFSET), _rewrite_offsets(rewritten))
-    rewritten = sub(rewritten, fv.DATE_NOW, "CURRENT_DATE")
-    rewritten = sub(rewritten, fv.TIME_NOW, "CURRENT_TIME")
-    rewritten = _if_found(rewritten, has(sql, fv.STRFTIME), _rewrite_strftime(rewritten))
-    rewritten = _if_found(
-        rewritten, has(rewritten, fv.SUBSTR), sub(rewritten, fv.SUBSTR, "SUBSTRING($1 FROM $2 FOR $3)")
+    dated = sub(sql, fv.DATETIME_NOW, "CURRENT_TIMESTAMP")
+    dated = F.when(has(sql, fv.DATETIME_OFFSET), _rewrite_offsets(dated)).otherwise(dated)
+    dated = sub(sub(dated, fv.DATE_NOW, "CURRENT_DATE"), fv.TIME_NOW, "CURRENT_TIME")
+    formatted = (
+        F.when(~has(sql, r"strftime\s*\("), dated)
+        .when(has(sql, f"[{_OPEN}{_CLOSE}]"), _rewrite_strftime_by_parts(dated))
+        .otherwise(_rewrite_strftime(dated))
     )
-    return _if_found(sql, query_needs_rewrite(sql), rewritten)
+    return F.when(query_needs_rewrite(sql), _rewrite_substr(formatted)).otherwise(sql)
 
 
 def query_needs_rewrite(sql: Column) -> Column:
@@ -86,10 +102,8 @@ def _drop_lines(ddl: Column, pattern: str) -> Column:
 
 
 def drop_control_lines(ddl: Column) -> Column:
-    """Remove PRAGMA lines and bare BEGIN TRANSACTION / COMMIT lines."""
-    for pattern in (fv.PRAGMA_LINE, fv.BEGIN_LINE, fv.COMMIT_LINE):
-        ddl = _drop_lines(ddl, pattern)
-    return ddl
+    """Remove PRAGMA lines and bare BEGIN TRANSACTION / COMMIT lines, in one pass."""
+    return _drop_lines(ddl, "|".join((fv.PRAGMA_LINE, fv.BEGIN_LINE, fv.COMMIT_LINE)))
 
 
 def drop_inserts(ddl: Column) -> Column:
@@ -116,9 +130,12 @@ def _lines_with(ddl: Column, pattern: str) -> Column:
     return count_matches(ddl, rf"^[^\n]*?(?:{pattern})[^\n]*$", in_line=True)
 
 
-def ddl_rule_hits(ddl: Column) -> dict[str, Column]:
-    """Per database: number of lines each DDL rule changes."""
-    kept = drop_control_lines(ddl)
+def ddl_rule_hits(ddl: Column, kept: Column | None = None) -> dict[str, Column]:
+    """Per database: number of lines each DDL rule changes.
+
+    ``kept`` is a column already holding ``drop_control_lines(ddl)``.
+    """
+    kept = drop_control_lines(ddl) if kept is None else kept
     hits = {
         "autoincrement_to_serial": _lines_with(kept, fv.AUTOINCREMENT_KEY)
         + _lines_with(sub(kept, fv.AUTOINCREMENT_KEY, "SERIAL PRIMARY KEY", in_line=True), fv.AUTOINCREMENT),

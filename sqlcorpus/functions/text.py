@@ -5,7 +5,7 @@ from __future__ import annotations
 import re
 from functools import reduce
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sqlcorpus.fixed_values import WHITE_SPACE
@@ -86,11 +86,11 @@ def collapse(col: Column) -> Column:
 
 def token_count(col: Column) -> Column:
     """Number of white-space separated tokens; 0 for null or blank."""
-    return F.coalesce(F.regexp_count(col, F.lit(rf"[^{_WS}]+")), F.lit(0))
+    return F.coalesce(F.regexp_count(col, F.lit(rf"[^{_WS}]++")), F.lit(0))
 
 
 def tokens(col: Column) -> Column:
-    return F.regexp_extract_all(col, F.lit(rf"[^{_WS}]+"), F.lit(0))
+    return F.regexp_extract_all(col, F.lit(rf"[^{_WS}]++"), F.lit(0))
 
 
 def between(col: Column, start: Column, end: Column) -> Column:
@@ -103,5 +103,15 @@ def position(col: Column, mark: str) -> Column:
     return F.instr(col, mark) - 1
 
 
+def explode_present(df: DataFrame, keep: list[Column | str], items: Column, *names: str) -> DataFrame:
+    """One row per array element; with two names the position comes first.
+
+    The outer form is used with a filter on its output: for the inner form the optimizer adds a filter
+    on the array itself, which computes the array twice.
+    """
+    generator = F.posexplode_outer(items) if len(names) == 2 else F.explode_outer(items)
+    return df.select(*keep, generator.alias(*names)).where(F.col(names[-1]).isNotNull())
+
+
 def non_null(*items: Column) -> Column:
     return F.array_compact(F.array(*items))

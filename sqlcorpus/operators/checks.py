@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sqlcorpus import fixed_values as fv
-from sqlcorpus.functions.text import count_literal, has, non_null
+from sqlcorpus.functions.text import count_literal, explode_present, has, non_null
 
 
 def missing_fields(present_keys: Column, required: list[str] | None = None) -> Column:
@@ -26,8 +26,8 @@ def with_missing_fields(raw: DataFrame, json_col: str, required: list[str] | Non
 def field_check(checked: DataFrame) -> DataFrame:
     """One row: counts and status of the required-field check."""
     total = F.count(F.lit(1))
-    valid = F.count_if(F.size("missing") == 0)
-    return checked.agg(total.alias("total"), valid.alias("valid")).select(
+    valid = F.count_if("ok")
+    return checked.select((F.size("missing") == 0).alias("ok")).agg(total.alias("total"), valid.alias("valid")).select(
         "total",
         "valid",
         (F.col("total") - F.col("valid")).alias("invalid"),
@@ -49,7 +49,9 @@ def first_offenders(checked: DataFrame, order_col: str, n: int = 3) -> DataFrame
 
 
 def _keyword_hits(upper: Column, keyword: str, mode: str) -> Column:
-    found = upper.contains(keyword) if mode == "substring" else has(upper, rf"\b{keyword}\b", flags="")
+    found = upper.contains(keyword)
+    if mode == "word":  # the pattern runs only on rows that hold the letters at all
+        found = found & has(upper, rf"\b{keyword}\b", flags="")
     hits = found.cast("long")
     if keyword == "SUBQUERY":
         hits = hits + (count_literal(upper, "SELECT") > 1).cast("long")
@@ -123,4 +125,4 @@ def roll_up(checks: list[DataFrame]) -> DataFrame:
 def violations(rows: DataFrame, id_cols: list[str], rules: dict[str, Column]) -> DataFrame:
     """Rule table: one row per (row, broken rule)."""
     broken = non_null(*[F.when(~F.coalesce(ok, F.lit(False)), F.lit(name)) for name, ok in rules.items()])
-    return rows.select(*id_cols, F.explode(broken).alias("violation"))
+    return explode_present(rows, id_cols, broken, "violation")

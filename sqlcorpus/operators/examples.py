@@ -34,11 +34,16 @@ def with_status(examples: DataFrame, schemas: DataFrame, broadcast_bytes: int =
 
 
 def attach_schema(
-    examples: DataFrame, schemas: DataFrame, ddl_col: str = "ddl", broadcast_bytes: int = BROADCAST_BYTES
+    examples: DataFrame,
+    schemas: DataFrame,
+    ddl_col: str = "ddl",
+    broadcast_bytes: int = BROADCAST_BYTES,
+    keep: list[str] | None = None,
+    size_bytes: int | None = None,
 ) -> DataFrame:
     """Left join of the schema text by ``db_id``; ``ddl`` is null where the schema is unknown."""
-    wide = schemas.select("db_id", ddl_col)
-    return join_wide(examples, wide, "db_id", "id", [ddl_col], broadcast_bytes)
+    wide = schemas.select("db_id", ddl_col, *(keep or []))
+    return join_wide(examples, wide, "db_id", "id", [ddl_col], broadcast_bytes, size_bytes)
 
 
 def usable(examples: DataFrame, schemas: DataFrame, broadcast_bytes: int = BROADCAST_BYTES) -> DataFrame:

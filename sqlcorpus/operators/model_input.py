@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from sqlcorpus import fixed_values as fv
 from sqlcorpus.functions import sqltext as st
 from sqlcorpus.functions.text import token_count, tokens
+from sqlcorpus.operators.skew import join_wide
 
 
 def last_per_role(turns: DataFrame) -> DataFrame:
@@ -46,15 +47,51 @@ def with_rendering(parts: DataFrame) -> DataFrame:
 
 
 def sequence_budget(rendered: DataFrame, max_length: int = fv.MAX_SEQUENCE) -> DataFrame:
-    """Add token counts, what truncation cuts, and the padding, by white-space tokens."""
+    """Add token counts, what truncation cuts, and the padding, by white-space tokens.
+
+    Prompt and answer are separated by a space, so their counts add up and no text is scanned twice.
+    """
+    answer = F.concat(F.coalesce(F.col("assistant"), F.lit("")), F.lit(fv.END_OF_TEXT))
+    counted = rendered.withColumn("_prompt_tokens", token_count(F.col("prompt"))).withColumn(
+        "n_tokens", F.col("_prompt_tokens") + token_count(answer)
+    )
+    return _with_budget(counted, max_length)
+
+
+def _with_budget(counted: DataFrame, max_length: int) -> DataFrame:
     n = F.col("n_tokens")
     return (
-        rendered.withColumn("n_tokens", token_count(F.col("text")))
-        .withColumn("kept_tokens", F.least(n, F.lit(max_length)))
+        counted.withColumn("kept_tokens", F.least(n, F.lit(max_length)))
         .withColumn("pad_tokens", F.greatest(F.lit(max_length) - n, F.lit(0)))
         .withColumn("truncated", n > max_length)
-        .withColumn("answer_lost", token_count(F.col("prompt")) >= max_length)
+        .withColumn("answer_lost", F.col("_prompt_tokens") >= max_length)
+        .drop("_prompt_tokens")
+    )
+
+
+def example_budget(
+    examples: DataFrame,
+    schemas: DataFrame,
+    ddl_col: str = "ddl",
+    sql_col: str = "sql",
+    max_length: int = fv.MAX_SEQUENCE,
+) -> DataFrame:
+    """The budget of rendered examples without rendering them.
+
+    All parts of the template are separated by white space, so token counts add up. Schemas are counted
+    once per database and only the counts are joined; no schema text is copied into an example.
+    """
+    fixed = "".join((fv.INSTRUCTION_OPEN, fv.SYSTEM_PROMPT, "\n", *fv.USER_PARTS, fv.INSTRUCTION_CLOSE))
+    counts = schemas.where(F.col("ddl").isNotNull()).select(
+        "db_id", token_count(F.col(ddl_col)).alias("_schema_tokens"), F.lit(True).alias("_known")
+    )
+    joined = join_wide(examples, counts, "db_id", "id", ["db_id"]).where(F.col("_known")).drop("_known")
+    prompt = (
+        F.lit(len(fixed.split())) + F.col("_schema_tokens") + token_count(F.col("db_id")) + token_count(F.col("question"))
     )
+    answer = token_count(F.concat(F.col(sql_col), F.lit(fv.END_OF_TEXT)))
+    counted = joined.withColumn("_prompt_tokens", prompt).withColumn("n_tokens", F.col("_prompt_tokens") + answer)
+    return _with_budget(counted.drop("_schema_tokens"), max_length)
 
 
 def budget_summary(budgeted: DataFrame) -> DataFrame:

@@ -5,21 +5,21 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sqlcorpus.functions import ddl as d
-from sqlcorpus.functions.text import find_all
 from sqlcorpus import fixed_values as fv
+from sqlcorpus.functions import ddl as d
+from sqlcorpus.functions.text import explode_present, find_all, has, regex, strip
 
 
 def schema_tables(schemas: DataFrame) -> DataFrame:
     """Long form: ``(db_id, pos, table_name)``."""
-    return schemas.select("db_id", F.posexplode(d.table_names(F.col("ddl"))).alias("pos", "table_name"))
+    return explode_present(schemas, ["db_id"], d.table_names(F.col("ddl")), "pos", "table_name")
 
 
 def schema_columns(schemas: DataFrame) -> DataFrame:
     """Long form: ``(db_id, table_name, pos, column_name)``."""
-    per_table = schemas.select("db_id", F.explode(d.table_columns(F.col("ddl"))).alias("t"))
-    return per_table.select(
-        "db_id", F.col("t.name").alias("table_name"), F.posexplode("t.columns").alias("pos", "column_name")
+    per_table = explode_present(schemas, ["db_id"], d.table_columns(F.col("ddl")), "t")
+    return explode_present(
+        per_table, ["db_id", F.col("t.name").alias("table_name")], F.col("t.columns"), "pos", "column_name"
     )
 
 
@@ -29,27 +29,31 @@ def schema_foreign_keys(schemas: DataFrame, inline: bool = False) -> DataFrame:
     ``inline`` adds ``col type REFERENCES t(c)`` edges, which the index leaves out.
     """
     ddl = F.col("ddl")
-    edges = schemas.select("db_id", F.posexplode(d.foreign_keys(ddl)).alias("pos", "fk")).select(
+    edges = explode_present(schemas, ["db_id"], d.foreign_keys(ddl), "pos", "fk").select(
         "db_id", "pos", "fk.column", "fk.references_table", "fk.references_column"
     )
-    blocks = schemas.select("db_id", F.explode(d.table_blocks(ddl)).alias("t"))
+    blocks = explode_present(schemas, ["db_id"], d.table_blocks(ddl), "t")
+    in_tables = explode_present(
+        blocks, ["db_id", F.col("t.name").alias("source_table")], d.foreign_keys(F.col("t.body")), "fk"
+    )
+    edge = ["db_id", "column", "references_table", "references_column"]
     sources = (
-        blocks.select("db_id", F.col("t.name").alias("source_table"), F.explode(d.foreign_keys(F.col("t.body"))).alias("fk"))
-        .groupBy("db_id", F.col("fk.column").alias("column"), F.col("fk.references_table").alias("references_table"),
-                 F.col("fk.references_column").alias("references_column"))
+        in_tables.select("db_id", "source_table", "fk.column", "fk.references_table", "fk.references_column")
+        .groupBy(*edge)
         .agg(F.min("source_table").alias("source_table"))
     )
-    out = edges.join(sources, ["db_id", "column", "references_table", "references_column"], "left").withColumn(
-        "kind", F.lit("table")
-    )
+    out = edges.join(sources, edge, "left").withColumn("kind", F.lit("table"))
     if not inline:
         return out
-    lines = blocks.select("db_id", F.col("t.name").alias("source_table"), F.posexplode(F.split("t.body", "\n", -1)).alias("pos", "line"))
-    refs = lines.where(~F.col("line").rlike(r"(?i)foreign\s+key")).select(
+    lines = blocks.select(
+        "db_id", F.col("t.name").alias("source_table"), F.posexplode(F.split("t.body", "\n", -1)).alias("pos", "line")
+    )
+    line = F.col("line")
+    refs = lines.where(~has(line, fv.HAS_FOREIGN_KEY)).select(
         "db_id", "pos", "source_table",
-        F.regexp_extract("line", r"""^\s*["'`]?(\w+)""", 1).alias("column"),
-        F.get(find_all(F.col("line"), fv.INLINE_REFERENCE, 1), F.lit(0)).alias("references_table"),
-        F.get(find_all(F.col("line"), fv.INLINE_REFERENCE, 2), F.lit(0)).alias("references_column"),
+        F.regexp_extract(strip(line), regex(fv.COLUMN_HEAD), 1).alias("column"),
+        F.get(find_all(line, fv.INLINE_REFERENCE, 1), F.lit(0)).alias("references_table"),
+        F.get(find_all(line, fv.INLINE_REFERENCE, 2), F.lit(0)).alias("references_column"),
         F.lit("inline").alias("kind"),
     )
     return out.unionByName(refs.where(F.col("references_table").isNotNull()))
@@ -126,7 +130,7 @@ def catalogue_check(schemas: DataFrame) -> DataFrame:
     """Broken dialect rules per finished schema; an absent DDL is itself a finding."""
     ddl = F.col("ddl")
     found = F.when(ddl.isNull(), F.array(F.lit("File not found"))).otherwise(d.catalogue_findings(ddl))
-    return schemas.select("db_id", F.explode(found).alias("finding"))
+    return explode_present(schemas, ["db_id"], found, "finding")
 
 
 def catalogue_questions(catalogue: DataFrame, name: str | None = None) -> DataFrame:

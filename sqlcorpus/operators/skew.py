@@ -54,8 +54,14 @@ def join_wide(
     spread_by: str,
     text_cols: list[str],
     broadcast_bytes: int = BROADCAST_BYTES,
+    size_bytes: int | None = None,
 ) -> DataFrame:
-    """Left join with the strategy chosen from the measured size of the wide side."""
-    if measured_bytes(wide, text_cols) <= broadcast_bytes:
+    """Left join with the strategy chosen from the measured size of the wide side.
+
+    ``size_bytes`` passes a bound that was measured before, so that a computed side is not run twice.
+    """
+    if size_bytes is None:
+        size_bytes = measured_bytes(wide, text_cols)
+    if size_bytes <= broadcast_bytes:
         return large.join(F.broadcast(wide), key, "left")
     return salted_left_join(large, wide, key, spread_by)

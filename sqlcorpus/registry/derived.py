@@ -9,6 +9,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from sqlcorpus.sources.readers import spread_small
+
 DB_OF_ORDER = "CASE WHEN o_orderkey % 20 < 7 THEN 'db_1' ELSE concat('db_', cast(o_custkey AS string)) END"
 
 QUERY_OF_ORDER = """CASE cast(o_orderkey % 9 AS int)
@@ -50,6 +52,18 @@ CHAT_LINE_OF_ORDER = """CASE
       '"}, {"role": "assistant"', CASE WHEN o_orderkey % 41 = 0 THEN '' ELSE ', "content": "SELECT 1;"' END, '}]}')
   END"""
 
+# columns of the given tables that are read here; stated, so that no read starts a schema job
+COLUMNS = {
+    "orders": "o_orderkey bigint, o_custkey bigint",
+    "customer": "c_custkey bigint, c_name string, c_mktsegment string",
+    "supplier": "s_suppkey bigint",
+    "events": "event_id bigint, ts timestamp_ntz, user_id bigint, event_type string, value double, props string",
+    "documents": "doc_id bigint, text string, lang string",
+    "benchmark": "item_id bigint, text string",
+    "labels": "doc_id bigint, quality int",
+    "conversations": "conv_id bigint, turn bigint, role string, text string",
+}
+
 # view -> (source table, filter, {column: expression})
 VIEWS: dict[str, tuple[str, str | None, dict[str, str]]] = {
     "examples": (
@@ -138,7 +152,7 @@ VIEWS: dict[str, tuple[str, str | None, dict[str, str]]] = {
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return spread_small(spark.read.schema(COLUMNS[name]).parquet(f"{sf_dir}/{name}.parquet"))
 
 
 def view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

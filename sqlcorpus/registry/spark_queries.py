@@ -357,7 +357,7 @@ def r14_rewrite_examples(spark, sf):
 def r14_rewrite_chat(spark, sf):
     """Foreign chat rows: the schema is cut out of the message and put back; same result as above."""
     chat = ex.convert(_examples(spark, sf), _schemas(spark, sf)).select("id", *fv.ROLES)
-    rewritten = rewrite.rewrite_chat(chat)
+    rewritten = rewrite.rewrite_chat_once(chat, "id")
     return rewritten.select("id", F.md5("new_user").alias("user_md5"), F.col("new_assistant").alias("assistant"), "changed")
 
 
@@ -587,15 +587,17 @@ def i3_sequence_budget(spark, sf):
 
 @registered
 def i3_budget_summary(spark, sf):
-    chat = ex.convert(_examples(spark, sf), _schemas(spark, sf))
-    return model_input.budget_summary(model_input.sequence_budget(model_input.with_rendering(chat), 60))
+    budget = model_input.example_budget(_usable(spark, sf), _schemas(spark, sf), max_length=60)
+    return model_input.budget_summary(budget)
 
 
 @registered
 def i4_training_text(spark, sf):
-    """Both sources rendered and budgeted: rows, tokens and truncated rows per source."""
-    chat = rewrite.rewrite_examples(_usable(spark, sf), _schemas(spark, sf))
-    budget = model_input.sequence_budget(model_input.with_rendering(chat), 60)
+    """Both sources rewritten and budgeted: rows, tokens and truncated rows per source."""
+    rewritten = rewrite.rewrite_queries(_usable(spark, sf))
+    budget = model_input.example_budget(
+        rewritten, rewrite.rewrite_schemas(_schemas(spark, sf)), "pg_ddl", "pg_sql", max_length=60
+    )
     return budget.groupBy("source").agg(
         F.count(F.lit(1)).alias("n"), F.sum("n_tokens").alias("n_tokens"), F.count_if("truncated").alias("n_truncated")
     )

@@ -27,6 +27,20 @@ CATALOGUE = T.StructType(
 DEMO_ENTRY = "map<string,struct<schema_file:string,name:string,description:string,tables:array<string>,sample_questions:array<string>>>"
 
 
+SMALL_INPUT_TASKS = 32
+
+
+def spread_small(df: DataFrame) -> DataFrame:
+    """Give a small input more tasks.
+
+    A file with one row group is one task, however many cores wait. Inputs that already have as many
+    tasks as cores, or more than ``SMALL_INPUT_TASKS``, are left as they are, so large inputs never pay
+    for this shuffle.
+    """
+    tasks = min(df.sparkSession.sparkContext.defaultParallelism, SMALL_INPUT_TASKS)
+    return df.repartition(tasks) if df.rdd.getNumPartitions() < tasks else df
+
+
 def path_exists(spark: SparkSession, path: str) -> bool:
     """Existence on whatever file system the path names."""
     try:
