@@ -10,7 +10,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from sqlcorpus import fixed_values as fv
-from sqlcorpus.functions.text import count_matches, find_all, has, non_null, regex, strip, strip_long, sub
+from sqlcorpus.functions.text import contains_any, count_matches, find_all, has, non_null, regex, strip, strip_long, sub
 
 
 def _rewrite_offsets(sql: Column) -> Column:
@@ -77,8 +77,8 @@ def rewrite_query(sql: Column) -> Column:
 
 
 def query_needs_rewrite(sql: Column) -> Column:
-    """One cheap scan that is true for every text any query rule can match."""
-    return has(sql, r"(?:DATETIME|DATE|TIME|STRFTIME|SUBSTR)\s*\(")
+    """A cheap test that is true for every text any query rule can match: plain word search."""
+    return contains_any(F.upper(sql), ["DATE", "TIME", "SUBSTR"])
 
 
 def query_rule_hits(sql: Column) -> dict[str, Column]:

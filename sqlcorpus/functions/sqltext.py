@@ -11,9 +11,9 @@ from sqlcorpus.functions.text import between, collapse, is_blank, position, stri
 
 def clean_query(sql: Column) -> Column:
     """One-line query ending in a semicolon; null and empty text give empty text."""
-    flat = collapse(sql)
-    closed = F.when(flat.endswith(";"), flat).otherwise(F.concat(flat, F.lit(";")))
-    return F.when(F.length(F.coalesce(sql, F.lit(""))) == 0, F.lit("")).otherwise(closed)
+    closing = F.when(strip(sql).endswith(";"), F.lit("")).otherwise(F.lit(";"))
+    empty = F.length(F.coalesce(sql, F.lit(""))) == 0
+    return F.when(empty, F.lit("")).otherwise(F.concat(collapse(sql), closing))
 
 
 def normalise_query(sql: Column) -> Column:
