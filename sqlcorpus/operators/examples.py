@@ -165,9 +165,13 @@ def conversation_violations(turns: DataFrame) -> DataFrame:
     One aggregate per conversation with partial aggregation on the map side; no list of turns is built.
     """
     user_turn = F.col("turn") == 1
+    # roles as numbers: the aggregate then works in fixed-width buffers, without sorting by conversation
+    role_code = F.lit(-1)
+    for code, role in enumerate(fv.ROLES):
+        role_code = F.when(F.col("role") == role, code).otherwise(role_code)
     per = turns.groupBy("conv_id").agg(
         F.count(F.lit(1)).alias("n"),
-        *[F.max(F.when(F.col("turn") == i, F.col("role"))).alias(f"role_{i}") for i in range(3)],
+        *[F.max(F.when(F.col("turn") == i, role_code)).alias(f"role_{i}") for i in range(3)],
         *[F.bool_or((F.col("turn") == i) & F.col("text").isNotNull()).alias(f"has_{i}") for i in range(3)],
         F.bool_or(user_turn & F.col("text").contains("Schema:")).alias("schema"),
         F.bool_or(user_turn & F.col("text").contains("CREATE TABLE")).alias("tables"),
@@ -175,7 +179,7 @@ def conversation_violations(turns: DataFrame) -> DataFrame:
     reached = F.col("n") == 3
     rules: dict[str, Column] = {"expected 3 messages": reached}
     for i, role in enumerate(fv.ROLES):
-        rules[f"message {i} is not {role}"] = ~reached | F.col(f"role_{i}").eqNullSafe(F.lit(role))
+        rules[f"message {i} is not {role}"] = ~reached | F.col(f"role_{i}").eqNullSafe(F.lit(i))
         rules[f"message {i} has no content"] = ~reached | F.col(f"has_{i}")
     rules["user message has no schema"] = ~reached | F.col("schema")
     rules["user message has no CREATE TABLE"] = ~reached | F.col("tables")

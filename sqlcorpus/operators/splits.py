@@ -113,12 +113,19 @@ def manifest(examples: DataFrame, seed: int = fv.SEED, label_col: str = "label")
     return totals.unionByName(classes).unionByName(seeds)
 
 
-def overlaps(examples: DataFrame, keys: list[str], splits: tuple[str, str, str]) -> DataFrame:
+def overlaps(
+    examples: DataFrame, keys: list[str], splits: tuple[str, str, str], by_digest: bool = False
+) -> DataFrame:
     """Distinct keys shared by each pair of splits, in one shuffle.
 
     Duplicates of a key collapse to one row before the shuffle, so a heavily copied key costs nothing.
+    ``by_digest`` shuffles SHA-256 digests of length-prefixed keys, for long texts.
     """
-    present = examples.groupBy(*keys).agg(
+    group = [F.col(k) for k in keys]
+    if by_digest:
+        parts = [F.coalesce(F.concat(F.length(k).cast("string"), F.lit(":"), k), F.lit("-")) for k in group]
+        group = [F.sha2(F.concat(*parts), 256).alias("digest")]
+    present = examples.groupBy(*group).agg(
         *[F.bool_or(F.col("split") == name).alias(f"in_{i}") for i, name in enumerate(splits)]
     )
     a, b, c = (F.col(f"in_{i}") for i in range(3))

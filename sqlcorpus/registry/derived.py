@@ -2,7 +2,7 @@
 
 The given tables hold no SQL text, so the text-to-SQL corpus is derived from them. It grows with the
 tables: one example per order, one database per customer. More than a third of the examples belong to
-one database (``db_1``), and every 25th database has no schema.
+one database (``db_1``), and the DDL file of every 25th database is missing (null).
 """
 
 from __future__ import annotations
@@ -64,11 +64,10 @@ COLUMNS = {
     "conversations": "conv_id bigint, turn bigint, role string, text string",
 }
 
-# view -> (source table, filter, {column: expression})
-VIEWS: dict[str, tuple[str, str | None, dict[str, str]]] = {
+# view -> (source table, {column: expression}); every view keeps all rows of its table
+VIEWS: dict[str, tuple[str, dict[str, str]]] = {
     "examples": (
         "orders",
-        None,
         {
             "id": "o_orderkey",
             "db_id": DB_OF_ORDER,
@@ -77,16 +76,17 @@ VIEWS: dict[str, tuple[str, str | None, dict[str, str]]] = {
             "source": "CASE WHEN o_orderkey % 10 = 0 THEN 'dev' ELSE 'train' END",
         },
     ),
-    "schemas": (
+    "schema_files": (
         "customer",
-        "c_custkey % 25 <> 24",
-        {"db_id": "concat('db_', cast(c_custkey AS string))", "ddl": DDL_OF_CUSTOMER},
+        {
+            "db_id": "concat('db_', cast(c_custkey AS string))",
+            "ddl": f"CASE WHEN c_custkey % 25 = 24 THEN NULL ELSE {DDL_OF_CUSTOMER} END",
+        },
     ),
     "listed_tables": (
         "customer",
-        "c_custkey % 50 <> 1",
         {
-            "db_id": "concat('db_', cast(c_custkey AS string))",
+            "db_id": "concat(CASE WHEN c_custkey % 50 = 1 THEN 'old_' ELSE 'db_' END, cast(c_custkey AS string))",
             "t1": "concat('PARENT_', cast(c_custkey AS string))",
             "t2": "CASE WHEN c_custkey % 5 = 0 THEN 'ghost' ELSE 'child' END",
             "t3": "CASE WHEN c_custkey % 13 > 0 THEN 'Extra' ELSE 'child' END",
@@ -94,18 +94,17 @@ VIEWS: dict[str, tuple[str, str | None, dict[str, str]]] = {
     ),
     "predictions": (
         "orders",
-        "o_orderkey % 4 <> 3",
         {
             "id": "o_orderkey",
             "generated": f"""CASE cast(o_orderkey % 4 AS int)
     WHEN 0 THEN concat('[INST] q [/INST] ', lower({QUERY_OF_ORDER}), ' ;</s>')
     WHEN 1 THEN {QUERY_OF_ORDER}
-    ELSE concat({QUERY_OF_ORDER}, ' LIMIT 1') END""",
+    WHEN 2 THEN concat({QUERY_OF_ORDER}, ' LIMIT 1')
+    ELSE NULL END""",
         },
     ),
     "trainlog": (
         "events",
-        None,
         {
             "run_id": "CASE WHEN event_id % 20 < 7 THEN 0 ELSE user_id END",
             "step": "event_id",
@@ -115,17 +114,15 @@ VIEWS: dict[str, tuple[str, str | None, dict[str, str]]] = {
     ),
     "json_lines": (
         "events",
-        None,
         {
             "event_id": "event_id",
             "line": "CASE WHEN event_id % 17 = 0 THEN substr(props, 1, length(props) - 1) WHEN event_id % 23 = 0 THEN '   ' ELSE props END",
         },
     ),
-    "raw_lines": ("orders", None, {"id": "o_orderkey", "line": RAW_LINE_OF_ORDER}),
-    "chat_lines": ("orders", None, {"id": "o_orderkey", "line": CHAT_LINE_OF_ORDER}),
+    "raw_lines": ("orders", {"id": "o_orderkey", "line": RAW_LINE_OF_ORDER}),
+    "chat_lines": ("orders", {"id": "o_orderkey", "line": CHAT_LINE_OF_ORDER}),
     "supplier_ddl": (
         "supplier",
-        None,
         {
             "db_id": "concat('shop ', cast(s_suppkey AS string))",
             "ddl": "concat('CREATE TABLE s', cast(s_suppkey AS string), ' (', chr(10), 'id int', chr(10), ');')",
@@ -133,7 +130,6 @@ VIEWS: dict[str, tuple[str, str | None, dict[str, str]]] = {
     ),
     "db_files": (
         "customer",
-        None,
         {
             "db_id": "concat('db_', cast(c_custkey % 500 AS string))",
             "path": "concat('/db_', cast(c_custkey % 500 AS string), '/', cast(c_custkey AS string), CASE WHEN c_custkey % 3 = 0 THEN '.sqlite' ELSE '.sql' END)",
@@ -141,7 +137,6 @@ VIEWS: dict[str, tuple[str, str | None, dict[str, str]]] = {
     ),
     "demo_catalogue": (
         "customer",
-        None,
         {
             "name": "concat('demo_', cast(c_custkey AS string))",
             "q1": "concat('List customers of ', c_mktsegment)",
@@ -156,16 +151,18 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    source, condition, columns = VIEWS[name]
+    source, columns = VIEWS[name]
     rows = table(spark, sf_dir, source)
-    if condition:
-        rows = rows.where(condition)
     return rows.selectExpr(*[f"{expression} AS {column}" for column, expression in columns.items()])
 
 
+def schemas(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Databases whose DDL file exists."""
+    return view(spark, sf_dir, "schema_files").where("ddl IS NOT NULL")
+
+
 def cte(name: str) -> str:
     """The same view as a DuckDB common table expression."""
-    source, condition, columns = VIEWS[name]
+    source, columns = VIEWS[name]
     body = ",\n  ".join(f"{expression} AS {column}" for column, expression in columns.items())
-    where = f" WHERE {condition}" if condition else ""
-    return f"{name} AS (SELECT {body} FROM {source}{where})"
+    return f"{name} AS (SELECT {body} FROM {source})"

@@ -7,7 +7,7 @@ recursive walks), so that they check the Spark plans and do not repeat them.
 from __future__ import annotations
 
 from sqlcorpus import fixed_values as fv
-from sqlcorpus.registry.derived import cte
+from sqlcorpus.registry.derived import VIEWS, cte
 
 ORACLES: dict[str, str] = {}
 
@@ -23,7 +23,12 @@ def nl(text: str) -> str:
 
 
 def with_(*views: str, body: str) -> str:
-    parts = [cte(v) if v in _DERIVED else _EXTRA[v] for v in views]
+    parts = []
+    for v in views:
+        if v == "schemas":
+            parts += [cte("schema_files"), "schemas AS (SELECT * FROM schema_files WHERE ddl IS NOT NULL)"]
+        else:
+            parts.append(cte(v) if v in VIEWS else _EXTRA[v])
     return "WITH RECURSIVE " + ",\n".join(parts) + "\n" + body
 
 
@@ -156,10 +161,6 @@ _REPORT_LABEL = f"""CASE WHEN {_SELECTS} > 1 OR {_JOINS} >= 2
   THEN CASE WHEN {_SELECTS} >= 2 AND {_AGG} THEN 'very_complex' ELSE 'complex' END
   WHEN {_JOIN} OR {_GROUP} THEN 'medium' ELSE 'simple' END"""
 
-_DERIVED = {
-    "examples", "schemas", "listed_tables", "predictions", "trainlog", "json_lines", "raw_lines", "chat_lines",
-    "supplier_ddl", "db_files", "demo_catalogue",
-}
 _SPLIT_RULE = "rn <= floor(n * 0.5)"
 _EXTRA = {
     "cleaned": f"cleaned AS (SELECT *, {clean('query')} AS sql FROM examples)",

@@ -16,7 +16,7 @@ from sqlcorpus.functions import sqltext as st
 from sqlcorpus.functions.text import token_count
 from sqlcorpus.operators import checks, examples as ex, model_input, rewrite, schemas as sch, scoring, splits, stats, trainlog
 from sqlcorpus.plans import corpus
-from sqlcorpus.registry.derived import table, view
+from sqlcorpus.registry.derived import schemas, table, view
 from sqlcorpus.session import scratch_path
 from sqlcorpus.sources import readers, writers
 
@@ -47,7 +47,7 @@ def _examples(spark, sf):
 
 
 def _schemas(spark, sf):
-    return view(spark, sf, "schemas")
+    return schemas(spark, sf)
 
 
 def _usable(spark, sf):
@@ -266,7 +266,7 @@ def d6_schema_index(spark, sf):
 def d7_index_statistics(spark, sf):
     """Databases used by examples, of which some have no schema."""
     used = _examples(spark, sf).select("db_id").distinct()
-    return sch.index_statistics(used.join(_schemas(spark, sf), "db_id", "left"))
+    return sch.index_statistics(used.join(view(spark, sf, "schema_files"), "db_id", "left"))
 
 
 @registered
@@ -471,12 +471,12 @@ def p4_overlaps(spark, sf):
 
 @registered
 def p4_document_overlaps(spark, sf):
-    """Exact text shared between languages' documents and the benchmark."""
+    """Texts shared between two halves of the documents and the benchmark, compared by digest."""
     documents = table(spark, sf, "documents").select(
         "text", F.when(F.col("doc_id") % 2 == 0, "train").otherwise("validation").alias("split")
     )
     benchmark = table(spark, sf, "benchmark").select("text", F.lit("test").alias("split"))
-    return splits.overlaps(documents.unionByName(benchmark), ["text"], corpus.SPLITS)
+    return splits.overlaps(documents.unionByName(benchmark), ["text"], corpus.SPLITS, by_digest=True)
 
 
 @registered

@@ -136,10 +136,12 @@ def tolerant(
     if not max_samples:
         return good, broken
     good = good.orderBy(*order_cols).limit(max_samples)
-    stop = good.agg(
+    # the one row holding the place of the last good line
+    stop = good.groupBy(F.lit("invalid JSON").alias("reason")).agg(
         F.max(F.struct(*order_cols)).alias("stop"), (F.count(F.lit(1)) >= max_samples).alias("stopped")
     )
-    seen = broken.crossJoin(F.broadcast(stop)).where(~F.col("stopped") | (F.struct(*order_cols) < F.col("stop")))
+    before_stop = ~F.coalesce(F.col("stopped"), F.lit(False)) | (F.struct(*order_cols) < F.col("stop"))
+    seen = broken.join(F.broadcast(stop), "reason", "left").where(before_stop)
     return good, seen.drop("stop", "stopped")
 
 

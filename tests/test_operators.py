@@ -9,6 +9,7 @@ from sqlcorpus import fixed_values as fv
 from sqlcorpus.functions import sqltext as st
 from sqlcorpus.operators import checks, examples as ex, model_input, rewrite, scoring
 from sqlcorpus.operators.skew import hot_keys, join_wide, measured_bytes, salted_left_join
+from sqlcorpus.registry.derived import schemas as schemas_of
 from sqlcorpus.registry.derived import view
 
 EXAMPLE = "id long, db_id string, question string, query string, source string"
@@ -97,7 +98,7 @@ def test_changed_pairs(spark):
 
 
 def test_salted_join_equals_plain_join(spark, sf):
-    examples, schemas = view(spark, sf, "examples"), view(spark, sf, "schemas")
+    examples, schemas = view(spark, sf, "examples"), schemas_of(spark, sf)
     plain = examples.join(schemas, "db_id", "left").select("id", "db_id", "ddl")
     salted = salted_left_join(examples, schemas, "db_id", "id", rows_per_salt=40).select("id", "db_id", "ddl")
     assert plain.exceptAll(salted).count() == 0 and salted.exceptAll(plain).count() == 0
@@ -109,7 +110,7 @@ def test_salted_join_equals_plain_join(spark, sf):
 def test_salting_spreads_the_hot_key(spark, sf):
     spark.conf.set("spark.sql.adaptive.enabled", "false")
     try:
-        joined = salted_left_join(view(spark, sf, "examples"), view(spark, sf, "schemas"), "db_id", "id", rows_per_salt=20)
+        joined = salted_left_join(view(spark, sf, "examples"), schemas_of(spark, sf), "db_id", "id", rows_per_salt=20)
         per_task = joined.where("db_id = 'db_1'").groupBy(F.spark_partition_id()).count().collect()
     finally:
         spark.conf.set("spark.sql.adaptive.enabled", "true")
@@ -117,7 +118,7 @@ def test_salting_spreads_the_hot_key(spark, sf):
 
 
 def test_join_strategy_follows_measured_size(spark, sf):
-    examples, schemas = view(spark, sf, "examples"), view(spark, sf, "schemas")
+    examples, schemas = view(spark, sf, "examples"), schemas_of(spark, sf)
     size = measured_bytes(schemas, ["ddl"])
     assert size > schemas.agg(F.sum(F.length("ddl"))).first()[0]
 
@@ -193,12 +194,12 @@ def test_render_messages(spark):
 
 
 def test_budget_counts_text_tokens(spark, sf):
-    chat = ex.convert(view(spark, sf, "examples"), view(spark, sf, "schemas"))
+    chat = ex.convert(view(spark, sf, "examples"), schemas_of(spark, sf))
     rendered = model_input.with_rendering(chat)
     by_text = {r.id: len(r.text.split()) for r in rendered.select("id", "text").collect()}
     full = model_input.sequence_budget(rendered, 60).select("id", "n_tokens", "kept_tokens", "pad_tokens", "truncated", "answer_lost")
-    usable = ex.usable(view(spark, sf, "examples"), view(spark, sf, "schemas"))
-    parts = model_input.example_budget(usable, view(spark, sf, "schemas"), max_length=60).select(*full.columns)
+    usable = ex.usable(view(spark, sf, "examples"), schemas_of(spark, sf))
+    parts = model_input.example_budget(usable, schemas_of(spark, sf), max_length=60).select(*full.columns)
     assert {r.id: r.n_tokens for r in full.collect()} == by_text
     assert full.exceptAll(parts).count() == 0 and full.count() == parts.count()
     assert all(r.kept_tokens + r.pad_tokens == 60 or r.truncated for r in full.collect())
