@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sqlcorpus import fixed_values as fv
@@ -90,16 +90,25 @@ def databases_without_file(files: DataFrame, n: int = 5) -> DataFrame:
     return per_dir.where(~F.col("has_sqlite")).select("db_id").orderBy("db_id").limit(n)
 
 
-def manifest_check(expected: DataFrame, observed: DataFrame) -> DataFrame:
+def manifest_check(expected: DataFrame, observed: DataFrame, decimals: int = 1) -> DataFrame:
     """``expected(name)`` against ``observed(name, size_bytes, examples)``, one row per expected file."""
     return expected.join(observed, "name", "left").select(
         "name",
         F.col("size_bytes").isNotNull().alias("present"),
-        F.round(F.coalesce(F.col("size_bytes"), F.lit(0)) / (1024 * 1024), 1).alias("size_mb"),
+        F.round(F.coalesce(F.col("size_bytes"), F.lit(0)) / (1024 * 1024), decimals).alias("size_mb"),
         F.coalesce(F.col("examples"), F.lit(0)).alias("examples"),
     )
 
 
+def required_files(spark: SparkSession, names: list[str] | None = None) -> DataFrame:
+    """The short list of expected file names."""
+    return spark.createDataFrame([(name,) for name in names or fv.REQUIRED_FILES], "name string")
+
+
+def all_present(manifest: DataFrame) -> DataFrame:
+    return manifest.agg(F.bool_and("present").alias("all_present"), F.count_if(~F.col("present")).alias("n_missing"))
+
+
 def check_row(df: DataFrame, name: str, passed: Column, message: Column) -> DataFrame:
     """Turn a one-row report into one row of the check table."""
     return df.select(

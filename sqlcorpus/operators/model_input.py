@@ -150,3 +150,18 @@ def demo_prompts(requests: DataFrame) -> DataFrame:
     """Demo prompt per ``(schema, question)``; blank input gives an error row."""
     prompt = st.demo_prompt(F.col("schema"), F.col("question"))
     return requests.withColumn("prompt", prompt).withColumn("is_error", F.col("prompt").startswith("Error: "))
+
+
+def load_training_data(
+    train: DataFrame, validation: DataFrame, order_cols: list[str], max_samples: int | None = None
+) -> tuple[DataFrame, DataFrame]:
+    """Rendered train and validation rows from tolerant-reader output with ``messages``.
+
+    ``max_samples`` caps each side to its first rows in file order, for a trial run.
+    """
+
+    def side(chat: DataFrame) -> DataFrame:
+        rows = chat.orderBy(*order_cols).limit(max_samples) if max_samples else chat
+        return render_messages(rows, *order_cols)
+
+    return side(train), side(validation)

@@ -53,6 +53,20 @@ def report_records(scored: DataFrame, order_col: str = "id", n: int = fv.REPORT_
     )
 
 
+def evaluation(
+    references: DataFrame,
+    predictions: DataFrame,
+    id_col: str = "id",
+    k: int = fv.EVAL_SAMPLES,
+    seed: int = fv.SEED,
+) -> tuple[DataFrame, DataFrame]:
+    """Sample, score and report: ``(one row of totals, the first records in sample order)``."""
+    order = "_sample_order"
+    sampled = seeded_sample(references, id_col, k, seed).withColumn(order, hash_order(id_col, seed))
+    scored = score(sampled, predictions, id_col)
+    return accuracy(scored), report_records(scored, order).drop(order)
+
+
 def perplexity(losses: DataFrame, loss_col: str, *groups: str) -> DataFrame:
     """exp(mean loss); an overflowing exponent gives infinity."""
     return losses.groupBy(*groups).agg(F.exp(F.avg(loss_col)).alias("perplexity"))

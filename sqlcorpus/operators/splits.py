@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from sqlcorpus import fixed_values as fv
+from sqlcorpus.session import stage
 
 PREFIX_DIGITS = 3
 MAX_BROADCAST_STRATA = 10_000
@@ -70,16 +71,21 @@ def stratified_split(
     names: tuple[str, str] = ("validation", "test"),
     digits: int = PREFIX_DIGITS,
     strata_bound: int | None = None,
+    durable_cuts: bool = False,
 ) -> DataFrame:
     """Add ``split``: in every stratum the first ``floor(n * ratio)`` rows in hash order go to A.
 
     ``strata_bound`` states a known bound on the number of strata (5 for complexity labels). Without
     it the strata are counted, and the table of cuts is broadcast only when they are few.
+    ``durable_cuts`` writes the cuts (one row per stratum) to the shared folder, so that results used by
+    several jobs find them once.
     """
     if strata_bound is None:
         strata_bound = rows.select(stratum).distinct().limit(MAX_BROADCAST_STRATA + 1).count()
     few = strata_bound <= MAX_BROADCAST_STRATA
     cuts = split_cuts(rows, stratum, id_col, ratio, seed, digits, few)
+    if durable_cuts:
+        cuts = stage(cuts, "cuts")
     if few:
         cuts = F.broadcast(cuts)
     h = hash_order(id_col, seed)

@@ -128,3 +128,15 @@ def full_report(examples: DataFrame, schemas: DataFrame, ddl_col: str = "ddl") -
             rows(text_distribution(examples, schemas, ddl_col), "token_stats", F.col("metric"), ["min", "max", "avg", "median"])
         )
     )
+
+
+def report_json(report: DataFrame) -> DataFrame:
+    """``full_report`` rows as one nested JSON text per split. A report has a few hundred rows."""
+    stats_of = F.map_from_entries(F.collect_list(F.struct("stat", "value")))
+    names_of = F.map_from_entries(F.collect_list(F.struct("name", "stats")))
+    sections = F.map_from_entries(F.collect_list(F.struct("section", "names")))
+    return (
+        report.groupBy("split", "section", "name").agg(stats_of.alias("stats"))
+        .groupBy("split", "section").agg(names_of.alias("names"))
+        .groupBy("split").agg(F.to_json(sections).alias("report"))
+    )

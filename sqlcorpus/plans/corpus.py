@@ -22,18 +22,21 @@ def classified(usable: DataFrame, sql_col: str = "pg_sql") -> DataFrame:
     return upper.withColumn("label", class_label(split_class(F.col(UPPER)))).drop(UPPER)
 
 
-def final_splits(labelled: DataFrame, ratio: float = fv.SPLIT_RATIO, seed: int = fv.SEED) -> DataFrame:
+def final_splits(
+    labelled: DataFrame, ratio: float = fv.SPLIT_RATIO, seed: int = fv.SEED, durable_cuts: bool = False
+) -> DataFrame:
     """Train stays; dev is cut into validation and test, stratified by class."""
     train = labelled.where(F.col("source") == "train").withColumn("split", F.lit("train"))
     dev = labelled.where(F.col("source") == "dev")
-    cut = splits.stratified_split(dev, "label", ratio=ratio, seed=seed, strata_bound=COMPLEXITY_LABELS)
+    cut = splits.stratified_split(
+        dev, "label", ratio=ratio, seed=seed, strata_bound=COMPLEXITY_LABELS, durable_cuts=durable_cuts
+    )
     return train.unionByName(cut)
 
 
 def prepared(examples: DataFrame, schemas: DataFrame) -> DataFrame:
-    """Usable examples with cleaned and rewritten query, class label and split."""
-    rewritten = rewrite.rewrite_queries(ex.usable(examples, schemas))
-    return final_splits(classified(rewritten))
+    """Usable examples with cleaned and rewritten query and class label."""
+    return classified(rewrite.rewrite_queries(ex.usable(examples, schemas)))
 
 
 SPLITS = ("train", "validation", "test")
@@ -69,9 +72,13 @@ class CorpusRun:
 
 
 def run(examples: DataFrame, schemas: DataFrame) -> CorpusRun:
-    """Prepare once, stage the two shared results as Parquet, and describe them."""
+    """Prepare once, stage the two shared results as Parquet, and describe them.
+
+    The text is written once. The split is a small table of cuts applied on read, and the passes that
+    find the cuts read only labels and ids of the staged rows.
+    """
     pg = stage(rewrite.rewrite_schemas(schemas), "schemas")
-    done = stage(prepared(examples, schemas), "examples")
+    done = final_splits(stage(prepared(examples, schemas), "examples"), durable_cuts=True)
     overlap_and_drift = gate(done)
     residue = rewrite.residue_report(done, pg, "pg_sql", "pg_ddl")
     clean = residue.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"))

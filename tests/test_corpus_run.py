@@ -2,6 +2,7 @@
 
 import json
 
+from sqlcorpus.operators import stats
 from sqlcorpus.operators.examples import usable
 from sqlcorpus.plans import corpus
 from sqlcorpus.registry.derived import schemas as schemas_of
@@ -34,6 +35,8 @@ def test_run_and_write(spark, sf, tmp_path):
     assert not any("PRAGMA" in row["messages"][1]["content"] for row in lines)
     written = spark.read.json(str(tmp_path / "out" / "statistics"))
     assert written.where("section = 'totals' AND name = 'examples' AND split IS NULL").first().value == n
+    nested = {r.split: json.loads(r.report) for r in stats.report_json(result.statistics).collect()}
+    assert nested["train"]["totals"]["examples"]["n"] == counts["train"] and nested[None]["totals"]["examples"]["n"] == n
 
 
 def test_scratch_is_the_configured_folder(spark):

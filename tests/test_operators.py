@@ -254,3 +254,27 @@ def test_exact_match_pairs(spark):
     df = spark.createDataFrame([("SELECT COUNT(*) FROM users;", "  select  count(*)   from   users  ;  "), ("SELECT a", "SELECT b")], "g string, r string")
     assert [r[0] for r in df.select(scoring.exact_match(F.col("g"), F.col("r"))).collect()] == [True, False]
     assert df.select(st.normalise_query(F.col("g"))).first()[0] == "select count(*) from users"
+
+
+def test_evaluation_report(spark):
+    refs = spark.range(80).selectExpr("id", "concat('SELECT ', id) AS reference", "'p' AS prompt")
+    preds = spark.range(80).selectExpr("id", "CASE WHEN id % 2 = 0 THEN concat('select ', id) END AS generated")
+    totals, records = scoring.evaluation(refs, preds)
+    sample = [r.id for r in scoring.seeded_sample(refs).collect()]
+    row = totals.first()
+    assert (row.num_samples, row.exact_matches) == (50, sum(i % 2 == 0 for i in sample))
+    assert [int(r.reference.split()[1]) for r in records.collect()] == sample[:10]
+
+
+def test_load_training_data(spark):
+    rows = [(i, [("user", f"u{i}"), ("assistant", "a")]) for i in range(5)]
+    df = spark.createDataFrame(rows, "pos int, messages array<struct<role:string,content:string>>")
+    train, validation = model_input.load_training_data(df, df, ["pos"], max_samples=2)
+    assert [r.text for r in train.orderBy("pos").collect()] == ["<s>[INST] u0 [/INST] a</s>", "<s>[INST] u1 [/INST] a</s>"]
+    assert model_input.load_training_data(df, df, ["pos"])[1].count() == 5 and validation.count() == 2
+
+
+def test_required_files(spark):
+    observed = spark.createDataFrame([("dev.json", 1, 1)], "name string, size_bytes long, examples long")
+    row = checks.all_present(checks.manifest_check(checks.required_files(spark), observed, 2)).first()
+    assert (row.all_present, row.n_missing) == (False, 3)
