@@ -119,16 +119,19 @@ def check_row(df: DataFrame, name: str, passed: Column, message: Column) -> Data
 
 
 def roll_up(checks: list[DataFrame]) -> DataFrame:
-    """All check rows plus the closing ``all_passed`` row."""
-    table = reduce(DataFrame.unionByName, checks)
-    rows = table.select("check_name", "passed", "message", F.lit(False).alias("is_total"))
-    total = table.agg(F.bool_and("passed").alias("passed"), F.count_if(~F.col("passed")).alias("n")).select(
-        F.lit("all_passed").alias("check_name"),
-        F.coalesce("passed", F.lit(True)).alias("passed"),
-        F.concat(F.col("n").cast("string"), F.lit(" failed")).alias("message"),
-        F.lit(True).alias("is_total"),
+    """All check rows plus the closing ``all_passed`` row, from one evaluation of the checks."""
+    table = reduce(DataFrame.unionByName, checks).withColumn("ok", F.col("passed"))
+    row = ("check_name", "passed", "message")
+    grouped = table.groupingSets([row, ()], *row).agg(
+        F.grouping("check_name").alias("total"), F.bool_and("ok").alias("all_ok"), F.count_if(~F.col("ok")).alias("n_failed")
+    )
+    is_total = F.col("total") == 1
+    return grouped.select(
+        F.when(is_total, "all_passed").otherwise(F.col("check_name")).alias("check_name"),
+        F.when(is_total, F.coalesce("all_ok", F.lit(True))).otherwise(F.col("passed")).alias("passed"),
+        F.when(is_total, F.concat(F.col("n_failed").cast("string"), F.lit(" failed"))).otherwise(F.col("message")).alias("message"),
+        is_total.alias("is_total"),
     )
-    return rows.unionByName(total)
 
 
 def violations(rows: DataFrame, id_cols: list[str], rules: dict[str, Column]) -> DataFrame:

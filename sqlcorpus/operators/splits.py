@@ -88,6 +88,12 @@ def stratified_split(
         cuts = stage(cuts, "cuts")
     if few:
         cuts = F.broadcast(cuts)
+    in_first, placed = place(rows, stratum, id_col, seed, cuts)
+    return placed.select(*rows.columns, F.when(in_first, names[0]).otherwise(names[1]).alias("split"))
+
+
+def place(rows: DataFrame, stratum: str, id_col: str, seed: int, cuts: DataFrame) -> tuple[Column, DataFrame]:
+    """Join the cuts and tell whether a row lies before the cut of its stratum."""
     h = hash_order(id_col, seed)
     placed = rows.join(cuts, F.col(stratum).eqNullSafe(F.col("_s")), "left")
     in_first = (
@@ -95,7 +101,7 @@ def stratified_split(
         | (h < F.col("_cut_h"))
         | ((h == F.col("_cut_h")) & F.coalesce(F.col(id_col) <= F.col("_cut_id"), F.lit(False)))
     )
-    return placed.select(*rows.columns, F.when(in_first, names[0]).otherwise(names[1]).alias("split"))
+    return in_first, placed
 
 
 def split_statistics(examples: DataFrame) -> DataFrame:
@@ -109,14 +115,19 @@ def class_counts(examples: DataFrame, label_col: str = "label") -> DataFrame:
 
 
 def manifest(examples: DataFrame, seed: int = fv.SEED, label_col: str = "label") -> DataFrame:
-    """Long manifest ``(split, metric, value)`` with counts, databases, classes and the seed."""
-    base = split_statistics(examples)
-    totals = base.unpivot(["split"], ["n_rows", "n_databases"], "metric", "value")
-    classes = class_counts(examples, label_col).select(
-        "split", F.concat(F.lit("class:"), F.col("label")).alias("metric"), F.col("n").alias("value")
+    """Long manifest ``(split, metric, value)`` with counts, databases, classes and the seed; one pass."""
+    labels = [*fv.CLASS_LABELS.values(), fv.UNKNOWN_LABEL]
+    per_db = examples.groupBy("split", "db_id").agg(
+        F.count(F.lit(1)).alias("n"), *[F.count_if(F.col(label_col) == name).alias(name) for name in labels]
+    )
+    per_split = per_db.groupBy("split").agg(
+        F.sum("n").alias("n_rows"),
+        F.count("db_id").alias("n_databases"),
+        *[F.nullif(F.sum(name), F.lit(0)).alias(f"class:{name}") for name in labels],
+        F.lit(seed).cast("long").alias("seed"),
     )
-    seeds = base.select("split", F.lit("seed").alias("metric"), F.lit(seed).cast("long").alias("value"))
-    return totals.unionByName(classes).unionByName(seeds)
+    metrics = [name for name in per_split.columns if name != "split"]
+    return per_split.unpivot(["split"], [F.col(f"`{m}`") for m in metrics], "metric", "value").where("value IS NOT NULL")
 
 
 def overlaps(
@@ -160,19 +171,14 @@ def drift(counts: DataFrame, first: str = "validation", second: str = "test") ->
 
 def split_gate(overlap: DataFrame, drifted: DataFrame, limit: float = fv.MAX_DRIFT_POINTS) -> DataFrame:
     """Two one-row reports to check rows: shared keys between val and test or drift are errors."""
-    leak = overlap.select(
-        F.lit("val_test_overlap").alias("check_name"),
-        (F.col("val_test_overlap") == 0).alias("passed"),
-        F.concat(F.col("val_test_overlap").cast("string"), F.lit(" shared")).alias("message"),
+    names = ["val_test_overlap", "train_val_overlap", "train_test_overlap"]
+    counts = overlap.unpivot([], names, "check_name", "n")
+    is_error = F.col("check_name") == names[0]
+    leak = counts.select(
+        "check_name",
+        (~is_error | (F.col("n") == 0)).alias("passed"),
+        F.concat(F.col("n").cast("string"), F.when(is_error, " shared").otherwise(" shared (warning)")).alias("message"),
     )
-    for other in ("train_val_overlap", "train_test_overlap"):
-        leak = leak.unionByName(
-            overlap.select(
-                F.lit(other).alias("check_name"),
-                F.lit(True).alias("passed"),
-                F.concat(F.col(other).cast("string"), F.lit(" shared (warning)")).alias("message"),
-            )
-        )
     shift = drifted.select(
         F.lit("distribution").alias("check_name"),
         (F.col("max_diff") <= limit).alias("passed"),

@@ -9,8 +9,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from sqlcorpus.fixed_values import CLASS_LABELS
 from sqlcorpus.functions.features import UPPER, flag_columns, report_label, with_upper
 from sqlcorpus.functions.text import token_count
+from sqlcorpus.session import stage
 
 
 def length_columns(parts: dict[str, Column]) -> dict[str, Column]:
@@ -94,23 +96,62 @@ def example_totals(examples: DataFrame, group: str = "split") -> DataFrame:
 TEXT_METRICS = ["schema_chars", "question_chars", "sql_chars", "schema_tokens", "question_tokens", "sql_tokens"]
 
 
-def text_distribution(examples: DataFrame, schemas: DataFrame, ddl_col: str = "ddl") -> DataFrame:
-    """All six text distributions per split. Schema text is measured once per database and weighted."""
+def own_text_distribution(examples: DataFrame) -> DataFrame:
+    """Distributions of the texts every example owns: question and query."""
     own = examples.select(
         "split",
         *[c.alias(n) for n, c in length_columns({"question": F.col("question"), "sql": F.col("sql")}).items()],
     )
-    own_stats = distribution(own, "split", [m for m in TEXT_METRICS if not m.startswith("schema")])
-    per_db = examples.groupBy("split", "db_id").agg(F.count(F.lit(1)).alias("w"))
+    return distribution(own, "split", [m for m in TEXT_METRICS if not m.startswith("schema")])
+
+
+def schema_text_distribution(per_db: DataFrame, schemas: DataFrame, ddl_col: str = "ddl") -> DataFrame:
+    """Distributions of schema text, measured once per database and weighted by its examples.
+
+    ``per_db(split, db_id, n)`` holds the number of examples.
+    """
     measured = schemas.select(
         "db_id", *[c.alias(n) for n, c in length_columns({"schema": F.col(ddl_col)}).items()]
     )
-    weighted = per_db.join(measured, "db_id", "left").na.fill(0, ["schema_chars", "schema_tokens"])
-    return own_stats.unionByName(distribution(weighted, "split", ["schema_chars", "schema_tokens"], weight="w"))
+    weighted = per_db.select("split", "db_id", "n").join(measured, "db_id", "left")
+    return distribution(
+        weighted.na.fill(0, ["schema_chars", "schema_tokens"]), "split", ["schema_chars", "schema_tokens"], weight="n"
+    )
+
+
+def text_distribution(examples: DataFrame, schemas: DataFrame, ddl_col: str = "ddl") -> DataFrame:
+    """All six text distributions per split."""
+    per_db = examples.groupBy("split", "db_id").agg(F.count(F.lit(1)).alias("n"))
+    return own_text_distribution(examples).unionByName(schema_text_distribution(per_db, schemas, ddl_col))
+
+
+def database_facts(examples: DataFrame, sql_col: str = "sql") -> DataFrame:
+    """One row per (split, database): examples, features and classes, all from one pass.
+
+    Every count of the report follows from this table, which is as long as there are databases.
+    """
+    upper = F.col(UPPER)
+    flags = flag_columns(upper)
+    label = report_label(upper)
+    counted = with_upper(examples.select("split", "db_id", sql_col), sql_col).select(
+        "split", "db_id", *[flag.alias(name) for name, flag in flags.items()], label.alias("_label")
+    )
+    return counted.groupBy("split", "db_id").agg(
+        F.count(F.lit(1)).alias("n"),
+        *[F.count_if(name).alias(name) for name in flags],
+        *[F.count_if(F.col("_label") == name).alias(f"class_{name}") for name in CLASS_LABELS.values()],
+    )
 
 
 def full_report(examples: DataFrame, schemas: DataFrame, ddl_col: str = "ddl") -> DataFrame:
-    """Everything as long rows ``(split, section, name, stat, value)``; the total has a null split."""
+    """Everything as long rows ``(split, section, name, stat, value)``; the total has a null split.
+
+    Two passes over the examples: one for ``database_facts``, staged because five sections read it, and
+    one for the text histograms.
+    """
+    facts = stage(database_facts(examples), "database-facts")
+    features = [name for name in facts.columns if name.startswith("has_")]
+    classes = [f"class_{name}" for name in CLASS_LABELS.values()]
 
     def rows(df: DataFrame, section: str, name: Column, stats: list[str]) -> DataFrame:
         cast = df.select("split", name.alias("name"), *[F.col(s).cast("double").alias(s) for s in stats])
@@ -118,15 +159,24 @@ def full_report(examples: DataFrame, schemas: DataFrame, ddl_col: str = "ddl") -
             "split", F.lit(section).alias("section"), "name", "stat", "value"
         )
 
-    total = F.lit("examples")
+    per_split = facts.groupBy("split").agg(
+        F.sum("n").alias("total_rows"),
+        F.count("db_id").alias("n_databases"),
+        *[F.sum(name).alias(name) for name in features + classes],
+    )
+
+    def shares(columns: list[str]) -> DataFrame:
+        long_form = per_split.unpivot(["split", "total_rows"], columns, "name", "n").where("n > 0")
+        return long_form.withColumn("pct", F.round(F.col("n") / F.col("total_rows") * 100, 1))
+
+    totals = facts.groupingSets([("split",), ()], "split").agg(F.sum("n").alias("n"))
+    texts = own_text_distribution(examples).unionByName(schema_text_distribution(facts, schemas, ddl_col))
     return (
-        rows(example_totals(examples), "totals", total, ["n"])
-        .unionByName(rows(distinct_databases(examples), "totals", F.lit("databases"), ["n_databases"]))
-        .unionByName(rows(feature_counts(examples), "sql_features", F.col("feature"), ["n", "pct"]))
-        .unionByName(rows(report_classes(examples), "complexity", F.col("label"), ["n", "pct"]))
-        .unionByName(
-            rows(text_distribution(examples, schemas, ddl_col), "token_stats", F.col("metric"), ["min", "max", "avg", "median"])
-        )
+        rows(totals, "totals", F.lit("examples"), ["n"])
+        .unionByName(rows(per_split, "totals", F.lit("databases"), ["n_databases"]))
+        .unionByName(rows(shares(features), "sql_features", F.col("name"), ["n", "pct"]))
+        .unionByName(rows(shares(classes), "complexity", F.regexp_replace("name", "^class_", ""), ["n", "pct"]))
+        .unionByName(rows(texts, "token_stats", F.col("metric"), ["min", "max", "avg", "median"]))
     )
 
 

@@ -25,13 +25,18 @@ def classified(usable: DataFrame, sql_col: str = "pg_sql") -> DataFrame:
 def final_splits(
     labelled: DataFrame, ratio: float = fv.SPLIT_RATIO, seed: int = fv.SEED, durable_cuts: bool = False
 ) -> DataFrame:
-    """Train stays; dev is cut into validation and test, stratified by class."""
-    train = labelled.where(F.col("source") == "train").withColumn("split", F.lit("train"))
+    """Train stays; dev is cut into validation and test, stratified by class.
+
+    The cuts come from the dev rows; then one pass labels the rows of both sources.
+    """
     dev = labelled.where(F.col("source") == "dev")
-    cut = splits.stratified_split(
-        dev, "label", ratio=ratio, seed=seed, strata_bound=COMPLEXITY_LABELS, durable_cuts=durable_cuts
-    )
-    return train.unionByName(cut)
+    cuts = splits.split_cuts(dev, "label", "id", ratio, seed, splits.PREFIX_DIGITS, few_strata=True)
+    if durable_cuts:
+        cuts = stage(cuts, "cuts")
+    both = labelled.where(F.col("source").isin("train", "dev"))
+    in_first, placed = splits.place(both, "label", "id", seed, F.broadcast(cuts))  # one row per class
+    split = F.when(F.col("source") == "train", "train").when(in_first, "validation").otherwise("test")
+    return placed.select(*labelled.columns, split.alias("split"))
 
 
 def prepared(examples: DataFrame, schemas: DataFrame) -> DataFrame:
