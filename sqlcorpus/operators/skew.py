@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 BROADCAST_BYTES = 64 * 1024 * 1024
 ROWS_PER_SALT = 1_000_000
+NULL_KEY_SALTS = 10_000
 
 
 def measured_bytes(df: DataFrame, text_cols: list[str]) -> int:
@@ -35,9 +36,13 @@ def hot_keys(large: DataFrame, key: str, rows_per_salt: int = ROWS_PER_SALT) ->
 def salted_left_join(
     large: DataFrame, wide: DataFrame, key: str, spread_by: str, rows_per_salt: int = ROWS_PER_SALT
 ) -> DataFrame:
-    """Left join on ``key`` in which no task gets much more than ``rows_per_salt`` rows of one key."""
+    """Left join on ``key`` in which no task gets much more than ``rows_per_salt`` rows of one key.
+
+    Rows without a key match nothing, so they are spread freely.
+    """
     hot = F.broadcast(hot_keys(large, key, rows_per_salt))
-    salt = F.pmod(F.xxhash64(F.col(spread_by)), F.coalesce(F.col("_salts"), F.lit(1)).cast("long"))
+    salts = F.when(F.col(key).isNull(), F.lit(NULL_KEY_SALTS)).otherwise(F.coalesce(F.col("_salts"), F.lit(1)))
+    salt = F.pmod(F.xxhash64(F.col(spread_by)), salts.cast("long"))
     spread = large.join(hot, key, "left").withColumn("_salt", salt.cast("int")).drop("_salts")
     repeated = (
         wide.join(hot, key, "left")

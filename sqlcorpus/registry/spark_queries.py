@@ -118,7 +118,7 @@ def s3_jsonl_tolerant_files(spark, sf):
 def s4_ddl_corpus(spark, sf):
     """One DDL file per database directory, written and read back."""
     path = scratch_path(spark, "ddl")
-    view(spark, sf, "supplier_ddl").repartition("db_id").write.partitionBy("db_id").text(path)
+    writers.write_ddl_corpus(view(spark, sf, "supplier_ddl"), path)
     back = readers.read_ddl_corpus(spark, path, "*.txt")
     return back.select("db_id", F.rtrim(F.col("ddl"), F.lit("\n")).alias("ddl"))
 

@@ -22,6 +22,17 @@ def write_chat(chat: DataFrame, path: str, mode: str = "error") -> None:
     write_jsonl(chat_rows(chat, "split"), path, "split", mode=mode)
 
 
+def write_ddl_corpus(schemas: DataFrame, path: str, mode: str = "error") -> None:
+    """One text file per database directory (``db_id=...``), the layout ``read_ddl_corpus`` reads.
+
+    The number of tasks is stated: adaptive execution would join small texts into one task, which then
+    opens all files one after the other.
+    """
+    tasks = 4 * schemas.sparkSession.sparkContext.defaultParallelism
+    texts = schemas.select("db_id", "ddl").where("ddl IS NOT NULL").repartition(tasks, "db_id")
+    texts.write.mode(mode).partitionBy("db_id").text(path)
+
+
 def write_schema_index(schemas: DataFrame, path: str, mode: str = "error") -> None:
     """The index with the DDL text as a column, as Parquet."""
     index = schema_index(schemas)

@@ -10,17 +10,13 @@ SMALL = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
 
 
 @pytest.fixture(scope="session")
-def spark(tmp_path_factory):
+def spark():
     from sqlcorpus.session import build_session
 
     session = build_session(
         "tests",
         "local[4]",
-        **{
-            "spark.sql.shuffle.partitions": 4,
-            "spark.ui.enabled": "false",
-            "spark.checkpoint.dir": str(tmp_path_factory.mktemp("scratch")),
-        },
+        **{"spark.sql.shuffle.partitions": 4, "spark.ui.enabled": "false"},
     )
     session.sparkContext.setLogLevel("ERROR")
     yield session

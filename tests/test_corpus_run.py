@@ -40,4 +40,5 @@ def test_run_and_write(spark, sf, tmp_path):
 
 
 def test_scratch_is_the_configured_folder(spark):
-    assert scratch_root(spark) == spark.conf.get("spark.checkpoint.dir")
+    configured = spark.conf.get("spark.checkpoint.dir", None)
+    assert scratch_root(spark) == (configured or spark.conf.get("spark.checkpoint.dir")).rstrip("/")

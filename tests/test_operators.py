@@ -117,6 +117,14 @@ def test_salting_spreads_the_hot_key(spark, sf):
     assert len(per_task) > 1
 
 
+def test_salted_join_keeps_rows_without_key(spark):
+    large = spark.range(90).selectExpr("id", "CASE WHEN id % 3 = 0 THEN NULL WHEN id % 3 = 1 THEN 'hot' ELSE 'none' END AS k")
+    wide = spark.createDataFrame([("hot", "text"), (None, "never")], "k string, t string")
+    out = salted_left_join(large, wide, "k", "id", rows_per_salt=4).collect()
+    assert len(out) == 90 and len({r.id for r in out}) == 90
+    assert all(r.t == ("text" if r.k == "hot" else None) for r in out)
+
+
 def test_join_strategy_follows_measured_size(spark, sf):
     examples, schemas = view(spark, sf, "examples"), schemas_of(spark, sf)
     size = measured_bytes(schemas, ["ddl"])
