@@ -6,11 +6,14 @@ text, so no array of lines is built. Every match is rewritten with its own argum
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import or_
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from sqlcorpus import fixed_values as fv
-from sqlcorpus.functions.text import contains_any, count_matches, find_all, has, non_null, regex, strip, strip_long, sub
+from sqlcorpus.functions.text import contains_any, count_matches, has, strip_long, sub
 
 
 def _rewrite_offsets(sql: Column) -> Column:
@@ -23,40 +26,27 @@ def _rewrite_offsets(sql: Column) -> Column:
     return sql
 
 
-# private-use characters that bracket a format string while it is translated
-_OPEN, _CLOSE = chr(0xE002), chr(0xE003)
-
-
-def _pg_format(fmt: Column) -> Column:
-    for theirs, ours in fv.STRFTIME_FORMATS:
-        fmt = F.replace(fmt, F.lit(theirs), F.lit(ours))
-    return fmt
+# private-use characters: brackets around a format string while it is translated, and their escape
+_OPEN, _CLOSE, _ESCAPE = chr(0xE002), chr(0xE003), chr(0xE004)
+_ESCAPED = [(_ESCAPE, _ESCAPE + "0"), (_OPEN, _ESCAPE + "1"), (_CLOSE, _ESCAPE + "2")]
 
 
 def _rewrite_strftime(sql: Column) -> Column:
     """Turn each call around with its format in brackets, then translate codes inside brackets only.
 
-    Every step reads the step before once, so long rule chains stay one pass per rule.
+    Bracket characters of the text itself are escaped meanwhile. Every step reads the step before once,
+    so the chain stays one pass per rule and needs no arrays.
     """
+    for char, escaped in _ESCAPED:
+        sql = F.replace(sql, F.lit(char), F.lit(escaped))
     pattern = fv.STRFTIME.replace(r"([^)]+)\)", r"([^)]+?)\s*\)")
     out = sub(sql, pattern, f"TO_CHAR($2, '{_OPEN}$1{_CLOSE}')")
     for theirs, ours in fv.STRFTIME_FORMATS:
         out = F.regexp_replace(out, F.lit(f"{theirs}(?=[^{_OPEN}{_CLOSE}]*{_CLOSE})"), F.lit(ours))
-    return F.translate(out, _OPEN + _CLOSE, "")
-
-
-def _rewrite_strftime_by_parts(sql: Column) -> Column:
-    """Same result without brackets, for text that itself holds the bracket characters: cut the text
-    at the calls, rebuild each call, and join both lists again."""
-    gaps = F.split(sql, regex(fv.STRFTIME), -1)
-    calls = F.zip_with(
-        find_all(sql, fv.STRFTIME, 1),
-        find_all(sql, fv.STRFTIME, 2),
-        lambda fmt, expr: F.concat(F.lit("TO_CHAR("), strip(expr), F.lit(", '"), _pg_format(fmt), F.lit("')")),
-    )
-    return F.array_join(
-        F.zip_with(gaps, calls, lambda gap, call: F.concat(gap, F.coalesce(call, F.lit("")))), ""
-    )
+    out = F.translate(out, _OPEN + _CLOSE, "")
+    for char, escaped in reversed(_ESCAPED):
+        out = F.replace(out, F.lit(escaped), F.lit(char))
+    return out
 
 
 def _rewrite_substr(sql: Column) -> Column:
@@ -68,11 +58,7 @@ def rewrite_query(sql: Column) -> Column:
     dated = sub(sql, fv.DATETIME_NOW, "CURRENT_TIMESTAMP")
     dated = F.when(has(sql, fv.DATETIME_OFFSET), _rewrite_offsets(dated)).otherwise(dated)
     dated = sub(sub(dated, fv.DATE_NOW, "CURRENT_DATE"), fv.TIME_NOW, "CURRENT_TIME")
-    formatted = (
-        F.when(~has(sql, r"strftime\s*\("), dated)
-        .when(has(sql, f"[{_OPEN}{_CLOSE}]"), _rewrite_strftime_by_parts(dated))
-        .otherwise(_rewrite_strftime(dated))
-    )
+    formatted = F.when(has(sql, r"strftime\s*\("), _rewrite_strftime(dated)).otherwise(dated)
     return F.when(query_needs_rewrite(sql), _rewrite_substr(formatted)).otherwise(sql)
 
 
@@ -160,14 +146,22 @@ def detected_patterns(text: Column) -> dict[str, Column]:
     return out
 
 
+def residue_tests(text: Column, *, per_line: bool = False) -> list[tuple[Column, str]]:
+    """``(test, message)`` per SQLite form; ``per_line`` lets the PRAGMA rule see every line."""
+    return [
+        (has(text, pattern, in_line=per_line and pattern.startswith("^")), message) for pattern, message in fv.RESIDUE
+    ]
+
+
+def residue_messages(text: Column, *, per_line: bool = False) -> Column:
+    """One array slot per form: its message, or null when the form is absent."""
+    return F.array(*[F.when(test, F.lit(message)) for test, message in residue_tests(text, per_line=per_line)])
+
+
 def residue(text: Column, *, per_line: bool = False) -> Column:
-    """Messages for SQLite forms still present; ``per_line`` lets the PRAGMA rule see every line."""
-    issues = []
-    for pattern, message in fv.RESIDUE:
-        line_rule = per_line and pattern.startswith("^")
-        issues.append(F.when(has(text, pattern, in_line=line_rule), F.lit(message)))
-    return non_null(*issues)
+    """Messages for SQLite forms still present."""
+    return F.array_compact(residue_messages(text, per_line=per_line))
 
 
 def is_clean(text: Column, *, per_line: bool = False) -> Column:
-    return F.size(residue(text, per_line=per_line)) == 0
+    return ~reduce(or_, [test for test, _ in residue_tests(text, per_line=per_line)])

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sqlcorpus import fixed_values as fv
-from sqlcorpus.functions.text import count_literal, explode_present, has, non_null
+from sqlcorpus.functions.text import count_literal, explode_present, has
 
 
 def missing_fields(present_keys: Column, required: list[str] | None = None) -> Column:
@@ -136,5 +136,5 @@ def roll_up(checks: list[DataFrame]) -> DataFrame:
 
 def violations(rows: DataFrame, id_cols: list[str], rules: dict[str, Column]) -> DataFrame:
     """Rule table: one row per (row, broken rule)."""
-    broken = non_null(*[F.when(~F.coalesce(ok, F.lit(False)), F.lit(name)) for name, ok in rules.items()])
+    broken = F.array(*[F.when(~F.coalesce(ok, F.lit(False)), F.lit(name)) for name, ok in rules.items()])
     return explode_present(rows, id_cols, broken, "violation")

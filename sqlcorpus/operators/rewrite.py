@@ -124,13 +124,13 @@ def rewrite_accounting(usable: DataFrame, schemas: DataFrame) -> DataFrame:
 def residue_report(examples: DataFrame, schemas: DataFrame, sql_col: str, ddl_col: str) -> DataFrame:
     """Issues left in all rows: ``(scope, issue, n)``, schema issues counted per carrying example."""
     in_sql = (
-        explode_present(examples, [], dl.residue(F.col(sql_col)), "issue")
+        explode_present(examples, [], dl.residue_messages(F.col(sql_col)), "issue")
         .groupBy("issue")
         .agg(F.count(F.lit(1)).alias("n"))
         .select(F.lit("query").alias("scope"), "issue", "n")
     )
     per_db = examples.groupBy("db_id").agg(F.count(F.lit(1)).alias("n"))
-    issues = explode_present(schemas, ["db_id"], dl.residue(F.col(ddl_col), per_line=True), "issue")
+    issues = explode_present(schemas, ["db_id"], dl.residue_messages(F.col(ddl_col), per_line=True), "issue")
     in_ddl = (
         issues.join(per_db, "db_id").groupBy("issue").agg(F.sum("n").alias("n")).select(
             F.lit("schema").alias("scope"), "issue", "n"
@@ -141,7 +141,7 @@ def residue_report(examples: DataFrame, schemas: DataFrame, sql_col: str, ddl_co
 
 def residue_sample(examples: DataFrame, order_col: str, sql_col: str, n: int = 100) -> DataFrame:
     """Issues in the first ``n`` queries, for a quick look."""
-    return explode_present(examples.orderBy(order_col).limit(n), [order_col], dl.residue(F.col(sql_col)), "issue")
+    return explode_present(examples.orderBy(order_col).limit(n), [order_col], dl.residue_messages(F.col(sql_col)), "issue")
 
 
 def changed_pairs(rewritten: DataFrame, order_col: str, before: str = "sql", after: str = "pg_sql", n: int = 1) -> DataFrame:

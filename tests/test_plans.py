@@ -69,3 +69,12 @@ def test_accounting_joins_counts_only(spark, sf):
 def test_wide_feature_pass_upper_cases_once(spark, sf):
     plan = contract.queries()["f1_f7_features"](spark, sf)._jdf.queryExecution().optimizedPlan().toString()
     assert len(re.findall(r"\bupper\(", plan)) == 1
+
+
+@pytest.mark.parametrize(
+    "name", ["e1_clean_query", "r1_r7_rewrite_query", "r8_r13_rewrite_ddl", "f1_f7_features", "f8_f9_split_class", "x3_normalise"]
+)
+def test_row_expressions_stay_in_generated_code(name, spark, sf):
+    """No expression of the hot projections falls back to interpretation."""
+    plan = physical(contract.queries()[name](spark, sf))
+    assert not re.search(r"lambdafunction|zip_with\(|transform\(|filter\(", plan)

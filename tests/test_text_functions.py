@@ -67,10 +67,24 @@ def test_rewrite_is_idempotent(evaluate):
     assert evaluate(dl.rewrite_query, once) == once
 
 
-def test_both_strftime_forms_agree(evaluate):
-    texts = [c for c, _ in REWRITE if c]
-    with_calls = [t for t in texts if re.search("strftime", t) and chr(0xE002) not in t]
-    assert evaluate(dl._rewrite_strftime, with_calls) == evaluate(dl._rewrite_strftime_by_parts, with_calls)
+def _strftime_per_match(text):
+    def call(m):
+        fmt = m[1]
+        for theirs, ours in fv.STRFTIME_FORMATS:
+            fmt = fmt.replace(theirs, ours)
+        return f"TO_CHAR({m[2].strip()}, '{fmt}')"
+
+    return re.sub(r"""\bstrftime\s*\(\s*['"]([^'"]+)['"]\s*,\s*([^)]+)\)""", call, text, flags=re.I)
+
+
+def test_strftime_equals_a_rewrite_per_match(evaluate):
+    marks = [chr(c) for c in (0xE002, 0xE003, 0xE004)]
+    texts = [c for c, _ in REWRITE if c] + [
+        f"'%Y{marks[0]}' strftime('%Y%%m {marks[1]}%d', {marks[2]}0 x ) '{marks[2]}1%H{marks[1]}'",
+        "strftime('%Y', a), '%Y', STRFTIME( \"%H:%M\" , b ) || '%S'",
+        "strftime('%s %j %Y', a",
+    ]
+    assert evaluate(dl._rewrite_strftime, texts) == [_strftime_per_match(t) for t in texts]
 
 
 def test_needs_rewrite_covers_all_rules(evaluate):
