@@ -6,7 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from sqlcorpus import fixed_values as fv
-from sqlcorpus.functions.text import count_literal, find_all, has, is_blank, non_null, regex, strip, strip_long
+from sqlcorpus.functions.text import count_literal, find_all, has, is_blank, non_null, regex, strip
 
 _DOTALL = {"flags": "ius"}
 
@@ -114,9 +114,3 @@ def catalogue_findings(ddl: Column) -> Column:
     rules += [F.when(~ddl.contains(word), F.lit(text)) for word, text in fv.CATALOGUE_REQUIRED]
     return non_null(*rules)
 
-
-__all__ = [
-    "catalogue_findings", "column_names", "ddl_is_valid", "ddl_warnings", "foreign_keys",
-    "has_foreign_keys", "has_pragma", "has_primary_keys", "last_definitions", "strip_long",
-    "table_blocks", "table_columns", "table_names",
-]

@@ -158,3 +158,10 @@ def test_questions_of_unknown_schema(spark):
     rows = spark.createDataFrame([("shop", ["q1", "q2"])], "name string, sample_questions array<string>")
     assert [r.question for r in sch.catalogue_questions(rows, "shop").orderBy("pos").collect()] == ["q1", "q2"]
     assert sch.catalogue_questions(rows, "nope").count() == 0
+
+
+def test_rewrite_growth_is_bounded(evaluate):
+    from sqlcorpus.operators.rewrite import GROWTH
+
+    texts = ["REAL", "real REAL\nREAL", "DATETIME DEFAULT DATETIME('now')", "BLOB", "x INTEGER AUTOINCREMENT", "PRAGMA x"]
+    assert all(len(new) <= GROWTH * len(old) for old, new in zip(texts, evaluate(dl.rewrite_ddl, texts)))
