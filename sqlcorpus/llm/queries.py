@@ -7,7 +7,7 @@ import os
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sqlcorpus.llm import decontaminate, exact_dedup, packing, simhash, toxicity
+from sqlcorpus.llm import decontaminate, exact_dedup, language_id, packing, simhash, toxicity, url_reputation
 from sqlcorpus.llm.common import table
 
 #: Folder of the public tokenizers' files.
@@ -41,6 +41,26 @@ def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id", toxicity.held_out(F.col("doc_id"), 5, 0).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
 
+def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    model = language_id.fit(docs.where(~toxicity.held_out(F.col("doc_id"), 3, 1)))
+    return model.predict(docs.drop("lang")).select(
+        "doc_id", toxicity.held_out(F.col("doc_id"), 3, 1).alias("held_out"), "language.lang_pred", "language.score")
+
+
+#: FIXED VALUES: the rules of the URL query as (verdict, host, path).
+URL_RULES = [
+    ("allow", "com", "/"), ("block", "example.com", "/en/"), ("allow", "www.example.com", "/en/"), ("block", "net", "/es/"), ("block", "net", "/fr/"),
+]
+
+
+def op5_url_reputation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Outcomes: the labelled quality of the document with the page's number, 0 being bad."""
+    pages = table(spark, sf_dir, "pages").select("page_id", "url")
+    outcomes = table(spark, sf_dir, "labels").select(F.col("doc_id").alias("page_id"), (1 - F.col("quality")).alias("bad"))
+    return url_reputation.judge(pages, outcomes, URL_RULES).drop("bad_rate", "bound")
+
+
 def op7_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.mark(table(spark, sf_dir, "documents"))
 
@@ -55,7 +75,7 @@ def op10_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     f.__name__: f
-    for f in (op1_benchmark_decontamination, op2_toxicity, op7_exact_dedup, op8_packing, op10_simhash_near_dedup)
+    for f in (op1_benchmark_decontamination, op2_toxicity, op4_language_id, op5_url_reputation, op7_exact_dedup, op8_packing, op10_simhash_near_dedup)
 }
 
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"

@@ -33,9 +33,10 @@ FIT_ROWS = 30_000
 LEXICON = 500
 TREES = 12
 DEPTH = 3
-#: An entry occurs in at least so many toxic texts, and its share of toxic texts is so many times that of clean ones.
-SUPPORT = 3
-LIFT = 12.0
+#: An entry's share of toxic texts is, at a bound of so many standard errors, so many times that of clean ones.
+LIFT = 4.0
+ERRORS = 2.2
+STRONG = 0.6
 STEMS = (4, 5, 6)
 #: Words between a lexicon hit and a second-person word that count as close.
 NEAR = 5
@@ -47,7 +48,7 @@ SECOND_PERSON = (
 #: FIXED VALUES: characters that stand for letters in obfuscated words.
 LOOK_ALIKES = {"0": "o", "1": "i", "3": "e", "4": "a", "5": "s", "7": "t", "@": "a", "$": "s", "!": "i"}
 FEATURES = (
-    "lexicon_rate lexicon_log lexicon_distinct deobfuscated_rate near_second_person second_person_rate capital_rate "
+    "strong_rate strong_log strong_distinct lexicon_rate deobfuscated_rate near_second_person second_person_rate capital_rate "
     "capital_word_rate punctuation_rate exclamation_rate obfuscation_rate words_log"
 ).split()
 
@@ -55,36 +56,44 @@ FEATURES = (
 def _terms(text: Column) -> Column:
     """Distinct words (longer than two letters) and stems of a text."""
     words = F.array_distinct(F.filter(F.split(F.lower(text), r"[^\p{L}]+"), lambda w: F.length(w) > 2))
-    stems = [F.transform(F.filter(words, lambda w, n=n: F.length(w) > n), lambda w, n=n: F.concat(F.substring(w, 1, n), F.lit("*"))) for n in STEMS]
-    return F.array_distinct(F.concat(words, *stems))
 
+    def stems(n: int) -> Column:
+        return F.transform(F.filter(words, lambda w: F.length(w) > n), lambda w: F.concat(F.substring(w, 1, n), F.lit("*")))
 
-def learn_lexicon(rows: DataFrame) -> list[tuple[str, float]]:
-    """(entry, log lift) of the entries that mark toxic texts; ``rows``: ``text, toxic``."""
+    return F.array_distinct(F.concat(words, *map(stems, STEMS)))
+
+
+def learn_lexicon(rows: DataFrame) -> list[tuple[str, bool]]:
+    """(entry, strong) of the entries that mark toxic texts; ``rows``: ``text, toxic``.
+
+    Copies of a text count once. Strong entries have a log lift of at least STRONG times the greatest.
+    """
+    rows = rows.dropDuplicates(["text"])
     totals = rows.agg(F.sum("toxic").alias("t"), F.count(F.lit(1)).alias("n")).first()
     toxic, clean = totals.t or 0, totals.n - (totals.t or 0)
     if not toxic or not clean:
         return []
     lift = F.log(((F.col("t") + 0.5) / (toxic + 1)) / ((F.col("c") + 0.5) / (clean + 1)))
+    error = F.sqrt(1 / (F.col("t") + 0.5) + 1 / (F.col("c") + 0.5))
     entries = (
         rows.select("toxic", F.explode(_terms(F.col("text"))).alias("term"))
         .groupBy("term").agg(F.sum("toxic").alias("t"), F.sum(1 - F.col("toxic")).alias("c"))
-        .where(F.col("t") >= SUPPORT)
-        .withColumn("lift", lift).where(F.col("lift") >= F.log(F.lit(LIFT)))
+        .withColumn("lift", lift - ERRORS * error).where(F.col("lift") >= F.log(F.lit(LIFT)))
         .orderBy(F.desc("lift"), "term").limit(LEXICON)
     )
-    return [(r.term, float(r.lift)) for r in entries.collect()]
+    found = entries.collect()
+    return [(r.term, r.lift >= STRONG * found[0].lift) for r in found]
 
 
-def feature_udf(lexicon: list[tuple[str, float]]):
+def feature_udf(lexicon: list[tuple[str, bool]]):
     """A pandas UDF from texts to the array of FEATURES; the lexicon has at most LEXICON entries."""
 
     def of(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         import math
         import re
 
-        whole = {t for t, _ in lexicon if not t.endswith("*")}
-        stems = {t[:-1] for t, _ in lexicon if t.endswith("*")}
+        whole = {t: 1 if strong else 16 for t, strong in lexicon if not t.endswith("*")}
+        stems = {t[:-1]: 1 if strong else 16 for t, strong in lexicon if t.endswith("*")}
         sizes = sorted({len(s) for s in stems})
         person = set(SECOND_PERSON.split())
         token, mark = re.compile(r"\S+"), re.compile(r"[^\W\d_]")
@@ -95,19 +104,24 @@ def feature_udf(lexicon: list[tuple[str, float]]):
         known: dict[str, bool] = {}
 
         def listed(word):
-            if word in whole:
-                return True
-            return any(len(word) > n and word[:n] in stems for n in sizes)
+            found = whole.get(word, 0)
+            for n in sizes:
+                if len(word) > n:
+                    found |= stems.get(word[:n], 0)
+            return found
 
         def kind(raw):
-            """bits of a token: 1 in the lexicon, 2 after undoing obfuscation, 4 second person, 8 obfuscated"""
+            """bits of a token: 1 strong entry, 16 other entry, 2 strong after undoing obfuscation, 4 second person, 8 obfuscated"""
             word = raw.strip(edges).lower()
             if word.isalpha():
                 return listed(word) | 4 * (word in person)
             plain = "".join(c for c in word.translate(alike) if mark.match(c))
             hidden = bool(len(plain) > 2 and mark.match(word) and "-" not in word)
             parts = re.split(r"[^\w]+", word)
-            return any(listed(p) for p in parts) | 2 * (hidden and listed(plain)) | 4 * any(p in person for p in parts) | 8 * hidden
+            found = 0
+            for p in parts:
+                found |= listed(p)
+            return found | 2 * (hidden and listed(plain) & 1) | 4 * any(p in person for p in parts) | 8 * hidden
 
         def one(text):
             raws = token.findall(text) if text else []
@@ -135,7 +149,7 @@ def feature_udf(lexicon: list[tuple[str, float]]):
             marks = size - len(data.translate(None, punctuation))
             return [
                 len(hits) / n, math.log1p(len(hits)), float(len({raws[i].strip(edges).lower() for i in hits})),
-                sum(1 for i in hits if kinds[i] & 2) / n, near / max(1, len(hits)), len(persons) / n, capitals / size,
+                sum(1 for k in kinds if k & 17) / n, sum(1 for i in hits if kinds[i] & 2) / n, near / max(1, len(hits)), len(persons) / n, capitals / size,
                 sum(r.isupper() and len(r) > 1 for r in raws) / n, marks / size, data.count(b"!") / n,
                 sum(1 for k in kinds if k & 8) / n, math.log1p(n),
             ]
