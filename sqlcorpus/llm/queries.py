@@ -7,7 +7,7 @@ import os
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sqlcorpus.llm import decontaminate, exact_dedup, language_id, packing, simhash, toxicity, url_reputation
+from sqlcorpus.llm import decontaminate, exact_dedup, language_id, packing, simhash, toxicity, url_reputation, warc
 from sqlcorpus.llm.common import table
 
 #: Folder of the public tokenizers' files.
@@ -41,6 +41,10 @@ def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id", toxicity.held_out(F.col("doc_id"), 5, 0).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
 
+def op3_warc_archives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.round_trip(table(spark, sf_dir, "pages")).drop("url")
+
+
 def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
     model = language_id.fit(docs.where(~toxicity.held_out(F.col("doc_id"), 3, 1)))
@@ -75,7 +79,7 @@ def op10_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     f.__name__: f
-    for f in (op1_benchmark_decontamination, op2_toxicity, op4_language_id, op5_url_reputation, op7_exact_dedup, op8_packing, op10_simhash_near_dedup)
+    for f in (op1_benchmark_decontamination, op2_toxicity, op3_warc_archives, op4_language_id, op5_url_reputation, op7_exact_dedup, op8_packing, op10_simhash_near_dedup)
 }
 
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -104,6 +108,54 @@ SELECT doc_id, len(w) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items,
        coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(w) AS contaminated
 FROM docs LEFT JOIN hit USING (r) LEFT JOIN listed USING (r)
 """,
+    "op3_warc_archives": r"""
+WITH p AS (SELECT page_id, encode(coalesce(html, '')) AS b FROM pages),
+h AS (SELECT page_id, octet_length(b) AS payload_bytes, sha1(b) AS sha FROM p),
+g AS (SELECT *, min(page_id) OVER (PARTITION BY sha, payload_bytes) AS first FROM h)
+SELECT page_id, payload_bytes,
+       array_to_string(list_transform(range(0, 32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', 1 +
+           ((16 * (instr('0123456789abcdef', substr(sha, 1 + (5 * i) // 4, 1)) - 1)
+             + greatest(instr('0123456789abcdef', substr(sha, 2 + (5 * i) // 4, 1)) - 1, 0) * (CASE WHEN 2 + (5 * i) // 4 <= 40 THEN 1 ELSE 0 END))
+            // (CASE (5 * i) % 4 WHEN 0 THEN 8 WHEN 1 THEN 4 WHEN 2 THEN 2 ELSE 1 END)) % 32, 1)), '') AS payload_digest,
+       CASE WHEN page_id = first THEN 'response' ELSE 'revisit' END AS record_type,
+       CASE WHEN page_id <> first THEN first END AS refers_to
+FROM g
+""",
+    "op5_url_reputation": r"""
+WITH u AS (
+    SELECT page_id, coalesce(regexp_extract(url, '(?s)^.*?://([^/?#]*)([^?#]*)', 1), '') AS h0,
+           coalesce(regexp_extract(url, '(?s)^.*?://([^/?#]*)([^?#]*)', 2), '') AS path FROM pages),
+seen AS (SELECT page_id, translate(h0, '@UP', '@LOW') AS host, path FROM u),
+counted AS (SELECT doc_id AS page_id, count(*) AS n, sum(1 - quality) AS bad FROM labels WHERE doc_id IS NOT NULL AND quality IS NOT NULL GROUP BY 1),
+hosts AS (
+    SELECT host, coalesce(sum(n), 0) AS n, coalesce(sum(bad), 0) AS bad, regexp_replace(regexp_replace(host, '^.*@', ''), '(:\d*)?\.?$', '') AS bare
+    FROM seen LEFT JOIN counted USING (page_id) GROUP BY host),
+split AS (SELECT *, string_split(bare, '.') AS l, regexp_matches(bare, '^\d+\.\d+\.\d+\.\d+$') OR len(string_split(bare, '.')) < 2 AS whole FROM hosts),
+two AS (SELECT *, array_to_string(l[greatest(len(l) - 1, 1) : len(l)], '.') AS t2, array_to_string(l[greatest(len(l) - 2, 1) : len(l)], '.') AS t3 FROM split),
+units AS (
+    SELECT host, n, bad, CASE WHEN whole THEN bare WHEN t2 IN (@SUFFIXES) THEN t3 ELSE t2 END AS domain,
+           CASE WHEN whole THEN bare WHEN t2 IN (@SUFFIXES) THEN t2 ELSE l[len(l)] END AS suffix FROM two),
+l0 AS (SELECT (sum(bad) + 0.5) / (sum(n) + 1) AS m FROM units),
+s0 AS (SELECT suffix, sum(n) AS n, sum(bad) AS bad, any_value(m) AS m FROM units, l0 GROUP BY suffix),
+ks AS (SELECT sum(CASE WHEN n > 1 THEN (bad - n * m) * (bad - n * m) / n - m * (1 - m) END) / sum(CASE WHEN n > 1 THEN m * (1 - m) * (n - 1) END) AS rho FROM s0),
+s1 AS (SELECT s0.*, CASE WHEN rho > 0 THEN least(greatest(1 / rho - 1, 1), 1000) ELSE 1000 END AS k FROM s0, ks),
+s2 AS (SELECT suffix, (bad + k * m) / (n + k) AS post FROM s1),
+d0 AS (SELECT suffix, domain, sum(n) AS n, sum(bad) AS bad, any_value(post) AS m FROM units JOIN s2 USING (suffix) GROUP BY suffix, domain),
+kd AS (SELECT sum(CASE WHEN n > 1 THEN (bad - n * m) * (bad - n * m) / n - m * (1 - m) END) / sum(CASE WHEN n > 1 THEN m * (1 - m) * (n - 1) END) AS rho FROM d0),
+d1 AS (SELECT d0.*, CASE WHEN rho > 0 THEN least(greatest(1 / rho - 1, 1), 1000) ELSE 1000 END AS k FROM d0, kd),
+d2 AS (SELECT domain, (bad + k * m) / (n + k) AS post FROM d1),
+h0 AS (SELECT host, n, bad, post AS m FROM units JOIN d2 USING (domain)),
+kh AS (SELECT sum(CASE WHEN n > 1 THEN (bad - n * m) * (bad - n * m) / n - m * (1 - m) END) / sum(CASE WHEN n > 1 THEN m * (1 - m) * (n - 1) END) AS rho FROM h0),
+h1 AS (SELECT h0.*, CASE WHEN rho > 0 THEN least(greatest(1 / rho - 1, 1), 1000) ELSE 1000 END AS k FROM h0, kh),
+h2 AS (SELECT host, (bad + k * m) / (n + k) AS rate, n + k AS strength FROM h1),
+rules(what, h, p) AS (VALUES ('allow', 'com', '/'), ('block', 'example.com', '/en/'), ('allow', 'www.example.com', '/en/'), ('block', 'net', '/es/'), ('block', 'net', '/fr/')),
+fit AS (
+    SELECT page_id, host, path, arg_max(h || p, length(h || p)) AS rule, arg_max(what, length(h || p)) AS what
+    FROM seen JOIN rules ON (host = h OR ends_with(host, '.' || h)) AND starts_with(path, p) GROUP BY page_id, host, path)
+SELECT s.page_id, s.host, s.path, rule,
+       coalesce(what, CASE WHEN rate - 1.64 * sqrt(rate * (1 - rate) / (strength + 1)) > 0.5 THEN 'block' ELSE 'allow' END) AS verdict
+FROM seen s JOIN h2 ON s.host = h2.host LEFT JOIN fit f ON f.page_id IS NOT DISTINCT FROM s.page_id AND f.host = s.host AND f.path = s.path
+""".replace("@UP", _UPPER).replace("@LOW", _LOWER).replace("@SUFFIXES", ", ".join(f"'{x}'" for x in url_reputation.TWO_LABEL_SUFFIXES)),
     "op7_exact_dedup": r"""
 WITH n AS (
     SELECT doc_id, length(coalesce(text, '')) AS chars, sha256(regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]', '', 'g')) AS sha
