@@ -47,3 +47,29 @@ def free_name(df: DataFrame, name: str) -> str:
     while name.lower() in taken:
         name = "_" + name
     return name
+
+
+#: Bits of one bitmap of the SQL bitmap functions.
+BLOCK_BITS = 32768
+
+
+def bitmaps(positions: DataFrame, column: str) -> DataFrame:
+    """Bitmaps ``(_block, _map)`` in which the positions (from 1) of ``column`` are set."""
+    return positions.groupBy(F.bitmap_bucket_number(column).alias("_block")).agg(
+        F.bitmap_construct_agg(F.bitmap_bit_position(column)).alias("_map"))
+
+
+def probe(df: DataFrame, maps: DataFrame, positions: list[Column], name: str) -> DataFrame:
+    """``df`` with a boolean ``name``: whether all ``positions`` are set in ``maps``, which are broadcast.
+
+    The caller bounds the number of bits, and so the size of the broadcast.
+    """
+    out, hits = df, F.lit(True)
+    for i, position in enumerate(positions):
+        part = F.broadcast(maps.select(F.col("_block").alias(f"_b{i}"), F.col("_map").alias(f"_m{i}")))
+        out = out.withColumn(f"_p{i}", position).join(part, F.bitmap_bucket_number(f"_p{i}") == F.col(f"_b{i}"), "left")
+        at = F.bitmap_bit_position(f"_p{i}")
+        byte = F.conv(F.hex(F.substring(F.col(f"_m{i}"), (at / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
+        bit = F.call_function("shiftright", byte, (at % 8).cast("int")).bitwiseAND(F.lit(1))
+        hits = hits & (F.coalesce(bit, F.lit(0)) == 1)
+    return out.withColumn(name, hits).drop(*[f"_{c}{i}" for c in "bmp" for i in range(len(positions))])

@@ -18,15 +18,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from sqlcorpus.llm.common import attach, without_ascii_space
+from sqlcorpus.llm.common import BLOCK_BITS, attach, bitmaps, probe, without_ascii_space
 from sqlcorpus.session import stage
 
 HASHES = 2
 #: Bits of the filter for each row, and the most bits it may have: 128 MB of bitmap, the bound of the broadcast.
 BITS_PER_ROW = 16
 MAX_BITS = 1 << 30
-#: Bits of one bitmap of the SQL bitmap functions.
-_BLOCK = 32768
 
 
 def fingerprint(text: Column) -> Column:
@@ -35,7 +33,7 @@ def fingerprint(text: Column) -> Column:
 
 
 def filter_bits(rows: int) -> int:
-    return min(MAX_BITS, max(_BLOCK, 1 << (max(1, rows) * BITS_PER_ROW - 1).bit_length()))
+    return min(MAX_BITS, max(BLOCK_BITS, 1 << (max(1, rows) * BITS_PER_ROW - 1).bit_length()))
 
 
 def _positions(sha: Column, bits: int) -> list[Column]:
@@ -44,26 +42,13 @@ def _positions(sha: Column, bits: int) -> list[Column]:
 
 def repeated_positions(digests: DataFrame, bits: int) -> DataFrame:
     """Pass 1: bitmaps ``(_block, _map)`` of the positions that more than one row hit."""
-    return (
-        digests.select(F.explode(F.array(*_positions(F.col("_sha"), bits))).alias("_p"))
-        .groupBy("_p").count().where("count > 1")
-        .groupBy(F.bitmap_bucket_number("_p").alias("_block"))
-        .agg(F.bitmap_construct_agg(F.bitmap_bit_position("_p")).alias("_map"))
-    )
+    hit = digests.select(F.explode(F.array(*_positions(F.col("_sha"), bits))).alias("_p")).groupBy("_p").count()
+    return bitmaps(hit.where("count > 1"), "_p")
 
 
-def flag_possible_copies(df: DataFrame, bitmaps: DataFrame, bits: int) -> DataFrame:
+def flag_possible_copies(df: DataFrame, maps: DataFrame, bits: int) -> DataFrame:
     """Pass 2: adds ``_maybe``, true where every position of ``_sha`` is set."""
-    out, hits = df, F.lit(True)
-    for i, position in enumerate(_positions(F.col("_sha"), bits)):
-        part = F.broadcast(bitmaps.select(F.col("_block").alias(f"_b{i}"), F.col("_map").alias(f"_m{i}")))
-        out = out.withColumn(f"_p{i}", position).join(part, F.bitmap_bucket_number(f"_p{i}") == F.col(f"_b{i}"), "left")
-        at = F.bitmap_bit_position(f"_p{i}")
-        byte = F.conv(F.hex(F.substring(F.col(f"_m{i}"), (at / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
-        bit = F.call_function("shiftright", byte, (at % 8).cast("int"))
-        hits = hits & (F.coalesce(bit, F.lit(0)).bitwiseAND(F.lit(1)) == 1)
-    drop = [f"_{c}{i}" for c in "bmp" for i in range(HASHES)]
-    return out.withColumn("_maybe", hits).drop(*drop)
+    return probe(df, maps, _positions(F.col("_sha"), bits), "_maybe")
 
 
 def _first(digests: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -116,14 +101,14 @@ def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     at = {c: f"c{i}" for i, c in enumerate(docs.columns)}
     digests = stage(_digests(inner, at[id_col], at[text_col]), "digests")
     bits = filter_bits(digests.count())
-    bitmaps = stage(repeated_positions(digests, bits), "bitmaps")
-    _, best = _first(flag_possible_copies(digests, bitmaps, bits).where("_maybe"))
+    maps = stage(repeated_positions(digests, bits), "bitmaps")
+    _, best = _first(flag_possible_copies(digests, maps, bits).where("_maybe"))
     keys = inner.withColumns({
         "_id": F.col(at[id_col]),
         "_sha": fingerprint(F.col(at[text_col])),
         "_chars": F.coalesce(F.char_length(at[text_col]), F.lit(0)).cast("long"),
     })
-    flagged = flag_possible_copies(keys, bitmaps, bits)
+    flagged = flag_possible_copies(keys, maps, bits)
     best = best.select(F.col("_sha").alias("_s"), F.col("_best_chars").alias("_n"), F.col("_best_id").alias("_k"))
     one = W.partitionBy("_sha", "_chars", "_id").orderBy(F.lit(1))
     copies = (

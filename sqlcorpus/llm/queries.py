@@ -7,7 +7,7 @@ import os
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sqlcorpus.llm import decontaminate, exact_dedup, language_id, packing, simhash, toxicity, url_reputation, warc
+from sqlcorpus.llm import decontaminate, exact_dedup, language_id, packing, simhash, substring_dedup, toxicity, url_reputation, warc
 from sqlcorpus.llm.common import table
 
 #: Folder of the public tokenizers' files.
@@ -65,6 +65,11 @@ def op5_url_reputation(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_reputation.judge(pages, outcomes, URL_RULES).drop("bad_rate", "bound")
 
 
+def op6_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return substring_dedup.remove(docs).select("doc_id", "removal.n_words", "removal.n_removed", "removal.kept_sha256")
+
+
 def op7_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.mark(table(spark, sf_dir, "documents"))
 
@@ -79,7 +84,7 @@ def op10_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     f.__name__: f
-    for f in (op1_benchmark_decontamination, op2_toxicity, op3_warc_archives, op4_language_id, op5_url_reputation, op7_exact_dedup, op8_packing, op10_simhash_near_dedup)
+    for f in (op1_benchmark_decontamination, op2_toxicity, op3_warc_archives, op4_language_id, op5_url_reputation, op6_substring_dedup, op7_exact_dedup, op8_packing, op10_simhash_near_dedup)
 }
 
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -156,6 +161,15 @@ SELECT s.page_id, s.host, s.path, rule,
        coalesce(what, CASE WHEN rate - 1.64 * sqrt(rate * (1 - rate) / (strength + 1)) > 0.5 THEN 'block' ELSE 'allow' END) AS verdict
 FROM seen s JOIN h2 ON s.host = h2.host LEFT JOIN fit f ON f.page_id IS NOT DISTINCT FROM s.page_id AND f.host = s.host AND f.path = s.path
 """.replace("@UP", _UPPER).replace("@LOW", _LOWER).replace("@SUFFIXES", ", ".join(f"'{x}'" for x in url_reputation.TWO_LABEL_SUFFIXES)),
+    "op6_substring_dedup": r"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+g AS (SELECT r, doc_id, i, array_to_string(w[i : i + 19], ' ') AS s FROM (SELECT r, doc_id, w, unnest(range(1, len(w) - 18)) AS i FROM d WHERE len(w) >= 20)),
+later AS (SELECT r, i FROM (SELECT r, i, row_number() OVER (PARTITION BY s ORDER BY doc_id, i) AS k FROM g) WHERE k > 1),
+gone AS (SELECT DISTINCT r, unnest(range(i, i + 20)) AS p FROM later),
+words AS (SELECT r, unnest(w) AS x, unnest(range(1, len(w) + 1)) AS p FROM d),
+kept AS (SELECT r, string_agg(x, ' ' ORDER BY p) AS s, count(*) AS n FROM words ANTI JOIN gone USING (r, p) GROUP BY r)
+SELECT doc_id, len(w) AS n_words, len(w) - coalesce(n, 0) AS n_removed, sha256(coalesce(s, '')) AS kept_sha256 FROM d LEFT JOIN kept USING (r)
+""",
     "op7_exact_dedup": r"""
 WITH n AS (
     SELECT doc_id, length(coalesce(text, '')) AS chars, sha256(regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]', '', 'g')) AS sha
