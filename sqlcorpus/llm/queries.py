@@ -7,7 +7,7 @@ import os
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sqlcorpus.llm import decontaminate, exact_dedup, language_id, packing, simhash, substring_dedup, toxicity, url_reputation, warc
+from sqlcorpus.llm import decontaminate, exact_dedup, language_id, line_dedup, packing, simhash, substring_dedup, toxicity, url_reputation, warc
 from sqlcorpus.llm.common import table
 
 #: Folder of the public tokenizers' files.
@@ -78,13 +78,17 @@ def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), tokenizer_path()).drop("ids")
 
 
+def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_dedup.report(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def op10_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.mark(table(spark, sf_dir, "documents"))
 
 
 QUERIES = {
     f.__name__: f
-    for f in (op1_benchmark_decontamination, op2_toxicity, op3_warc_archives, op4_language_id, op5_url_reputation, op6_substring_dedup, op7_exact_dedup, op8_packing, op10_simhash_near_dedup)
+    for f in (op1_benchmark_decontamination, op2_toxicity, op3_warc_archives, op4_language_id, op5_url_reputation, op6_substring_dedup, op7_exact_dedup, op8_packing, op9_line_dedup, op10_simhash_near_dedup)
 }
 
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -177,5 +181,29 @@ WITH n AS (
 SELECT doc_id, first_value(doc_id) OVER best AS keep_id, count(*) OVER (PARTITION BY sha) AS group_size,
        row_number() OVER best = 1 AS kept, sha AS text_sha256
 FROM n WINDOW best AS (PARTITION BY sha ORDER BY chars DESC, doc_id)
+""",
+    "op9_line_dedup": r"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, string_split(text, chr(10)) AS l FROM documents),
+raw AS (SELECT r, doc_id, unnest(l) AS line, unnest(range(0, len(l))) AS line_no FROM d),
+lines AS (
+    SELECT r, doc_id, line_no, w, array_to_string(w, ' ') AS s
+    FROM (SELECT r, doc_id, line_no, regexp_extract_all(lower(line), '[^\x20\x09-\x0D]+') AS w FROM raw) WHERE len(w) > 0),
+classes AS (SELECT s, any_value(w) AS w, row_number() OVER (ORDER BY s) AS c FROM lines GROUP BY s),
+tokens AS (
+    SELECT DISTINCT c, array_to_string(w[i : i + 4], ' ') AS t
+    FROM (SELECT c, w, unnest(range(1, greatest(len(w) - 4, 1) + 1)) AS i FROM classes)),
+sizes AS (SELECT c, count(*) AS n FROM tokens GROUP BY c),
+shared AS (SELECT x.c AS a, y.c AS b, count(*) AS k FROM tokens x JOIN tokens y ON x.t = y.t AND x.c <> y.c GROUP BY ALL),
+links AS (SELECT a, b FROM shared JOIN sizes p ON p.c = a JOIN sizes q ON q.c = b WHERE 5 * k >= 4 * (p.n + q.n - k)),
+degree AS (SELECT a AS c, count(*) AS n FROM links GROUP BY a),
+placed AS (SELECT r, doc_id, line_no, c FROM lines JOIN classes USING (s)),
+firsts AS (SELECT c, min((doc_id, line_no)) AS p FROM placed GROUP BY c),
+best AS (SELECT c, min(p) AS p FROM (SELECT c, p FROM firsts UNION ALL SELECT a, p FROM links JOIN firsts ON firsts.c = b) GROUP BY c),
+judged AS (
+    SELECT r, line_no, coalesce(n, 0) AS n, CASE WHEN p < (doc_id, line_no) THEN line_no || ':' || p[1] END AS m
+    FROM placed JOIN best USING (c) LEFT JOIN degree USING (c)),
+summed AS (SELECT r, count(*) AS n_lines, count(m) AS n_removed, CAST(sum(n) AS BIGINT) AS n_links, string_agg(m, ',' ORDER BY line_no) AS m FROM judged GROUP BY r)
+SELECT doc_id, coalesce(n_lines, 0) AS n_lines, coalesce(n_removed, 0) AS n_removed, coalesce(n_links, 0) AS n_links, coalesce(m, '') AS removed
+FROM d LEFT JOIN summed USING (r)
 """,
 }
