@@ -13,6 +13,8 @@ document and a smaller line number; lines are judged on the input, so no chain o
    positional filter (tokens before and behind the shared one bound the overlap).
 4. Candidates are verified on their whole token sets. Only classes whose number is in a bitmap of the
    candidates, of bounded size, are shuffled for it.
+   (Explodes are outer ones: no array is empty, and others would push a filter on it below the projection
+   that splits the words.)
 5. Each line learns the earliest match of its class; the most frequent lines by a broadcast of fixed size.
 
 Defined cases: lines without words are kept and not counted; null texts have no lines; rows that share an
@@ -43,25 +45,27 @@ def normal(line: Column) -> Column:
     return F.trim(F.regexp_replace(F.lower(line), "[ \\t\\x0B\\f\\r]+", " "))
 
 
-def shingles(text: Column, size: int = SHINGLE) -> Column:
-    """Distinct 64-bit hashes of the ``size``-word sequences of a normal line."""
-    words = F.split(text, " ")
-    n = F.size(words)
-    each = F.transform(
-        F.sequence(F.lit(0), n - size), lambda i: F.xxhash64(*[F.get(words, i + k) for k in range(size)]))
-    return F.when(n < size, F.array(F.xxhash64(text))).otherwise(F.array_distinct(each))
+def with_tokens(classes: DataFrame, size: int = SHINGLE) -> DataFrame:
+    """Adds ``tokens``, the distinct 64-bit hashes of the ``size``-word sequences of the normal line ``norm``.
+
+    Words are split in a projection of their own, because a lambda would split them again for each token.
+    """
+    words, n = F.col("_words"), F.size("_words")
+    each = F.transform(F.sequence(F.lit(0), n - size), lambda i: F.xxhash64(*[F.get(words, i + k) for k in range(size)]))
+    tokens = F.when(n < size, F.array(F.xxhash64("norm"))).otherwise(F.array_distinct(each))
+    return classes.withColumn("_words", F.split("norm", " ")).withColumn("tokens", tokens).drop("_words")
 
 
 def _bucket(token: Column) -> Column:
     return F.pmod(token, F.lit(RARITY))
 
 
-def _rarity(classes: DataFrame) -> DataFrame:
-    """One row with an array: how many tokens of all classes fall into each bucket."""
-    counts = classes.select(F.explode("tokens").alias("t")).groupBy(_bucket(F.col("t")).alias("b")).count()
-    every = classes.sparkSession.range(RARITY).select(F.col("id").alias("b")).join(counts, "b", "left")
-    listed = F.sort_array(F.collect_list(F.struct("b", F.coalesce("count", F.lit(0)).alias("c"))))
-    return every.agg(F.transform(listed, lambda x: x["c"]).alias("counts"))
+def _rarity(classes: DataFrame) -> Column:
+    """A constant array: how many tokens of all classes fall into each of the RARITY buckets."""
+    counts = [0] * RARITY
+    for row in classes.select(F.explode_outer("tokens").alias("t")).groupBy(_bucket(F.col("t")).alias("b")).count().collect():
+        counts[row["b"]] = row["count"]
+    return F.split(F.lit(",".join(map(str, counts))), ",").cast("array<bigint>")
 
 
 def _lines(docs: DataFrame) -> DataFrame:
@@ -78,13 +82,12 @@ def _place() -> Column:
 def _candidates(classes: DataFrame) -> DataFrame:
     """Pairs ``(a, b)`` of class numbers that pass the filters on their prefixes."""
     num, den = SIMILARITY
-    counts = _rarity(classes).scalar()
-    ranked = F.sort_array(F.transform("tokens", lambda t: F.struct(F.element_at(F.col("counts"), (_bucket(t) + 1).cast("int")).alias("c"), t.alias("t"))))
+    counts = _rarity(classes)
+    ranked = F.sort_array(F.transform("tokens", lambda t: F.struct(F.element_at(counts, (_bucket(t) + 1).cast("int")).alias("c"), t.alias("t"))))
     n = F.size("tokens")
     prefix = n - F.floor((num * n + den - 1) / den).cast("int") + 1
     posts = (
-        classes.select("class", "tokens").withColumn("counts", counts)
-        .select("class", n.alias("n"), F.posexplode(F.slice(ranked, F.lit(1), prefix)).alias("pos", "token"))
+        classes.select("class", n.alias("n"), F.posexplode_outer(F.slice(ranked, F.lit(1), prefix)).alias("pos", "token"))
         .select(F.col("token.t").alias("t"), "class", F.struct("n", "pos").alias("at"))
     )
     shared = posts.withColumn("_posts", F.count(F.lit(1)).over(W.partitionBy("t"))).where("_posts > 1").drop("_posts")
@@ -125,7 +128,7 @@ def matched_lines(docs: DataFrame) -> DataFrame:
     path = scratch_path(spark, "line-classes")
     grouped.withColumn("class", F.monotonically_increasing_id()).write.option("compression", "zstd").parquet(path)
     texts = spark.read.parquet(path)
-    links = _links(texts.select("class", "first", shingles(F.col("norm")).alias("tokens")))
+    links = _links(with_tokens(texts).select("class", "first", "tokens"))
     known = links.groupBy("class").agg(F.count(F.lit(1)).alias("links"), F.min("other").alias("other"))
     facts = stage(
         texts.select("key", "class", "rows", "first").join(known, "class", "left").select(
