@@ -1,0 +1,24 @@
+"""The pipeline stage by stage, and its awkward inputs."""
+
+import corpus_pipeline
+from sqlcorpus.llm.common import table
+
+
+def test_stages_keep_columns_and_take_effect(spark, sf):
+    docs = table(spark, sf, "documents")
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        out = stage(spark, docs, sf)
+        assert out.columns == docs.columns, name
+        out = spark.createDataFrame(out.collect(), docs.schema)
+        assert 0 < out.count() <= docs.count()
+        docs = out
+    assert docs.count() < table(spark, sf, "documents").count()
+    packed = corpus_pipeline.STAGES[-1][1](spark, docs, sf)
+    assert {r.doc_id for r in packed.select("doc_id").collect()} == {r.doc_id for r in docs.select("doc_id").collect()}
+
+
+def test_no_documents(spark, sf):
+    docs = table(spark, sf, "documents").limit(0)
+    for _, stage in corpus_pipeline.STAGES:
+        out = stage(spark, docs, sf)
+        assert out.count() == 0
