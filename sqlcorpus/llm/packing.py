@@ -28,7 +28,7 @@ from sqlcorpus.session import stage
 LENGTH = 2048
 WINDOWS = 64
 END = 1
-CACHE = 300_000
+CACHE = 600_000
 #: Sequences merged from left-over windows are numbered from here; others by partition and window.
 MERGED = 1 << 62
 _PIECE = (
@@ -38,20 +38,28 @@ _PIECE = (
 
 
 def encoder(path: str, cache_size: int = CACHE):
-    """Text to its ids as little-endian unsigned 32-bit bytes."""
+    """Text to its ids as little-endian unsigned 32-bit bytes.
+
+    A worker keeps the tokenizer and the words' ids over its tasks. A full store takes no more words,
+    so the frequent ones, which come first, stay.
+    """
     from array import array
 
-    from tokenizers import Tokenizer
+    import tokenizers
 
-    tokenizer, known = Tokenizer.from_file(path), {}
+    kept = vars(tokenizers).setdefault("_kept_encoders", {})
+    if path not in kept:
+        kept[path] = tokenizers.Tokenizer.from_file(path), {}
+    tokenizer, known = kept[path]
 
     def encode(text: str) -> bytes:
-        words = text.replace("\n", " ").split(" ")
-        if len(known) > cache_size:
-            known.clear()
-        new = [w for w in set(words) if w not in known]
-        for w in new:
-            known[w] = array("I", tokenizer.encode(w, add_special_tokens=False).ids).tobytes()
+        words, rest = text.replace("\n", " ").split(" "), {}
+        for w in set(words):
+            if w not in known:
+                ids = array("I", tokenizer.encode(w, add_special_tokens=False).ids).tobytes()
+                (known if len(known) < cache_size else rest)[w] = ids
+        if rest:
+            return b"".join([known[w] if w in known else rest[w] for w in words])
         return b"".join(map(known.__getitem__, words))
 
     return encode
