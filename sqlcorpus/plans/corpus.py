@@ -25,17 +25,17 @@ def classified(usable: DataFrame, sql_col: str = "pg_sql") -> DataFrame:
 def final_splits(
     labelled: DataFrame, ratio: float = fv.SPLIT_RATIO, seed: int = fv.SEED, durable_cuts: bool = False
 ) -> DataFrame:
-    """Train stays; dev is cut into validation and test, stratified by class.
+    """Train stays; dev is cut into validation and test, stratified by class; other sources are the split ``other``.
 
-    The cuts come from the dev rows; then one pass labels the rows of both sources.
+    The cuts come from the dev rows; then one pass labels the rows of all sources, so that none is lost.
     """
     dev = labelled.where(F.col("source") == "dev")
     cuts = splits.split_cuts(dev, "label", "id", ratio, seed, splits.PREFIX_DIGITS, few_strata=True)
     if durable_cuts:
         cuts = stage(cuts, "cuts")
-    both = labelled.where(F.col("source").isin("train", "dev"))
-    in_first, placed = splits.place(both, "label", "id", seed, F.broadcast(cuts))  # one row per class
-    split = F.when(F.col("source") == "train", "train").when(in_first, "validation").otherwise("test")
+    in_first, placed = splits.place(labelled, "label", "id", seed, F.broadcast(cuts))  # one row per class
+    dev_split = F.when(in_first, "validation").otherwise("test")
+    split = F.when(F.col("source") == "train", "train").when(F.col("source") == "dev", dev_split).otherwise("other")
     return placed.select(*labelled.columns, split.alias("split"))
 
 

@@ -9,7 +9,6 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from sqlcorpus.sources.readers import spread_small
 
 DB_OF_ORDER = "CASE WHEN o_orderkey % 20 < 7 THEN 'db_1' ELSE concat('db_', cast(o_custkey AS string)) END"
 
@@ -147,7 +146,7 @@ VIEWS: dict[str, tuple[str, dict[str, str]]] = {
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spread_small(spark.read.schema(COLUMNS[name]).parquet(f"{sf_dir}/{name}.parquet"))
+    return spark.read.schema(COLUMNS[name]).parquet(f"{sf_dir}/{name}.parquet")
 
 
 def view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

@@ -31,10 +31,16 @@ def build_session(app_name: str = "sqlcorpus", master: str | None = None, **conf
 
 
 def scratch_root(spark: SparkSession) -> str:
-    """The shared folder named by the cluster; a temporary one only where none is set (tests)."""
+    """The shared folder named by the cluster; a temporary one only where none is set in local mode.
+
+    On a cluster a machine's own folder would lose the parts that other machines wrote, so there a
+    missing setting is an error.
+    """
     root = spark.conf.get(CHECKPOINT_DIR, None)
     if not root:
         root = spark.sparkContext.getCheckpointDir()
+    if not root and not spark.sparkContext.master.startswith("local["):
+        raise ValueError(f"set {CHECKPOINT_DIR} to a folder that the driver and all executors share")
     if not root:
         root = os.path.join(tempfile.gettempdir(), "sqlcorpus-scratch")
         spark.conf.set(CHECKPOINT_DIR, root)

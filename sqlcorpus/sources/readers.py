@@ -27,20 +27,6 @@ CATALOGUE = T.StructType(
 DEMO_ENTRY = "map<string,struct<schema_file:string,name:string,description:string,tables:array<string>,sample_questions:array<string>>>"
 
 
-SMALL_INPUT_TASKS = 32
-
-
-def spread_small(df: DataFrame) -> DataFrame:
-    """Give a small input more tasks.
-
-    A file with one row group is one task, however many cores wait. Inputs that already have as many
-    tasks as cores, or more than ``SMALL_INPUT_TASKS``, are left as they are, so large inputs never pay
-    for this shuffle.
-    """
-    tasks = min(df.sparkSession.sparkContext.defaultParallelism, SMALL_INPUT_TASKS)
-    return df.repartition(tasks) if df.rdd.getNumPartitions() < tasks else df
-
-
 def path_exists(spark: SparkSession, path: str) -> bool:
     """Existence on whatever file system the path names."""
     try:
@@ -168,9 +154,13 @@ def read_ddl_corpus(spark: SparkSession, root: str, file_name: str = "schema.sql
         .option("pathGlobFilter", file_name)
         .text(root, wholetext=True)
     )
-    folder = F.element_at(F.split(F.col("_metadata.file_path"), "/"), -2)
-    name = F.url_decode(F.regexp_replace(folder, r"^db_id=", ""))
-    return files.select(name.alias("db_id"), F.col("value").alias("ddl"))
+    return files.select(_database_of(F.col("_metadata.file_path")).alias("db_id"), F.col("value").alias("ddl"))
+
+
+def _database_of(path: Column) -> Column:
+    """The database named by a file's folder: percent escapes decoded, ``+`` as it is, without ``db_id=``."""
+    folder = F.replace(F.element_at(F.split(path, "/"), -2), F.lit("+"), F.lit("%2B"))
+    return F.regexp_replace(F.url_decode(folder), r"^db_id=", "")
 
 
 def list_files(spark: SparkSession, root: str, glob: str = "*") -> DataFrame:
@@ -184,7 +174,7 @@ def list_files(spark: SparkSession, root: str, glob: str = "*") -> DataFrame:
     parts = F.split("path", "/")
     return listing.select(
         "path",
-        F.element_at(parts, -2).alias("db_id"),
+        _database_of(F.col("_metadata.file_path")).alias("db_id"),
         F.element_at(parts, -1).alias("name"),
         F.col("length").alias("size_bytes"),
     )

@@ -42,3 +42,11 @@ def test_run_and_write(spark, sf, tmp_path):
 def test_scratch_is_the_configured_folder(spark):
     configured = spark.conf.get("spark.checkpoint.dir", None)
     assert scratch_root(spark) == (configured or spark.conf.get("spark.checkpoint.dir")).rstrip("/")
+
+
+def test_no_source_is_lost(spark):
+    from sqlcorpus.plans.corpus import final_splits
+
+    rows = spark.createDataFrame([(i, ("train", "dev", "others")[i % 3], "simple") for i in range(60)], "id long, source string, label string")
+    counts = {r.split: r["count"] for r in final_splits(rows).groupBy("split").count().collect()}
+    assert counts == {"train": 20, "validation": 10, "test": 10, "other": 20}

@@ -129,6 +129,11 @@ def test_report_is_one_file(spark, tmp_path):
     assert len(list((tmp_path / "r").glob("*.json"))) == 1
 
 
-def test_spread_small(spark):
-    assert readers.spread_small(spark.range(10).coalesce(1)).rdd.getNumPartitions() == 4
-    assert readers.spread_small(spark.range(10, numPartitions=50)).rdd.getNumPartitions() == 50
+def test_folder_names_keep_their_plus(spark, tmp_path):
+    for name in ("c++_db", "a b", "x%y"):
+        (tmp_path / name).mkdir()
+        (tmp_path / name / "schema.sql").write_text("CREATE TABLE t (id INT);")
+    (tmp_path / "no+ddl").mkdir()
+    (tmp_path / "no+ddl" / "other.txt").write_text("x")
+    assert {r.db_id for r in readers.read_ddl_corpus(spark, str(tmp_path)).collect()} == {"c++_db", "a b", "x%y"}
+    assert [r.db_id for r in readers.ddl_corpus_gaps(spark, str(tmp_path)).collect()] == ["no+ddl"]
