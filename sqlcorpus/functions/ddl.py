@@ -71,6 +71,21 @@ def foreign_keys(ddl: Column) -> Column:
     )
 
 
+def foreign_keys_by_table(ddl: Column) -> Column:
+    """``foreign_keys`` in the same order with ``source_table``, null outside the CREATE TABLE statements.
+
+    One walk: each piece of text is a whole statement or a clause that stands outside of one.
+    """
+    block = regex(fv.TABLE_BLOCK, **_DOTALL)
+    pieces = F.regexp_extract_all(ddl, F.lit(f"{block}|{regex(fv.FOREIGN_KEY)}"), F.lit(0))
+
+    def edges(piece: Column) -> Column:
+        table = F.nullif(F.regexp_extract(piece, block, 1), F.lit(""))
+        return F.transform(foreign_keys(piece), lambda fk: F.struct(table.alias("source_table"), fk.alias("edge")))
+
+    return F.flatten(F.transform(pieces, edges))
+
+
 def has_foreign_keys(ddl: Column) -> Column:
     return has(ddl, fv.HAS_FOREIGN_KEY)
 

@@ -13,6 +13,7 @@ from sqlcorpus.functions.features import with_upper, UPPER, flag_columns
 from sqlcorpus.functions.text import is_blank
 from sqlcorpus.operators.checks import violations
 from sqlcorpus.operators.skew import BROADCAST_BYTES, join_wide
+from sqlcorpus.sources.readers import JSON_OPTIONS, is_valid_json
 
 EMPTY_QUERY = "skipped_empty_query"
 MISSING_SCHEMA = "skipped_missing_schema"
@@ -139,9 +140,9 @@ CHAT_LINE = "messages array<struct<role:string,content:string>>"
 
 def chat_line_violations(lines: DataFrame, line_col: str, id_cols: list[str]) -> DataFrame:
     """Structure rules over every JSON line. A rule that ends the check hides the later ones."""
-    chat = F.from_json(F.col(line_col), CHAT_LINE)["messages"]
+    chat = F.from_json(F.col(line_col), CHAT_LINE, JSON_OPTIONS)["messages"]
     rows = lines.select(
-        *id_cols, F.try_parse_json(F.col(line_col)).isNotNull().alias("_valid"), chat.alias("_m"),
+        *id_cols, is_valid_json(F.col(line_col)).alias("_valid"), chat.alias("_m"),
     ).withColumn("_n", F.coalesce(F.size("_m"), F.lit(-1)))
     reached = F.col("_valid") & (F.col("_n") == 3)
     rules: dict[str, Column] = {

@@ -29,22 +29,13 @@ def schema_foreign_keys(schemas: DataFrame, inline: bool = False) -> DataFrame:
     ``inline`` adds ``col type REFERENCES t(c)`` edges, which the index leaves out.
     """
     ddl = F.col("ddl")
-    edges = explode_present(schemas, ["db_id"], d.foreign_keys(ddl), "pos", "fk").select(
-        "db_id", "pos", "fk.column", "fk.references_table", "fk.references_column"
+    out = explode_present(schemas, ["db_id"], d.foreign_keys_by_table(ddl), "pos", "fk").select(
+        "db_id", "pos", "fk.source_table", "fk.edge.column", "fk.edge.references_table", "fk.edge.references_column",
+        F.lit("table").alias("kind"),
     )
-    blocks = explode_present(schemas, ["db_id"], d.table_blocks(ddl), "t")
-    in_tables = explode_present(
-        blocks, ["db_id", F.col("t.name").alias("source_table")], d.foreign_keys(F.col("t.body")), "fk"
-    )
-    edge = ["db_id", "column", "references_table", "references_column"]
-    sources = (
-        in_tables.select("db_id", "source_table", "fk.column", "fk.references_table", "fk.references_column")
-        .groupBy(*edge)
-        .agg(F.min("source_table").alias("source_table"))
-    )
-    out = edges.join(sources, edge, "left").withColumn("kind", F.lit("table"))
     if not inline:
         return out
+    blocks = explode_present(schemas, ["db_id"], d.table_blocks(ddl), "t")
     lines = blocks.select(
         "db_id", F.col("t.name").alias("source_table"), F.posexplode(F.split("t.body", "\n", -1)).alias("pos", "line")
     )

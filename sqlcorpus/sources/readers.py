@@ -24,6 +24,10 @@ CATALOGUE = T.StructType(
         T.StructField("table_names_original", T.ArrayType(T.StringType())),
     ]
 )
+#: Lengths without limit and the numbers of the usual JSON writers; text in single quotes is no JSON.
+JSON_OPTIONS = {
+    "maxStringLen": "2147483647", "maxNumLen": "2147483647", "allowNonNumericNumbers": "true", "allowSingleQuotes": "false",
+}
 DEMO_ENTRY = "map<string,struct<schema_file:string,name:string,description:string,tables:array<string>,sample_questions:array<string>>>"
 
 
@@ -44,7 +48,7 @@ def read_example_array(spark: SparkSession, path: str | list[str], schema: T.Str
     One array file is one task, since an array has no split points: write large corpora as JSON
     lines or Parquet once, or as many array files.
     """
-    rows = spark.read.schema(schema).option("multiLine", True).option("mode", "FAILFAST").json(path)
+    rows = spark.read.schema(schema).options(multiLine=True, mode="FAILFAST", **JSON_OPTIONS).json(path)
     return rows.na.fill("", [f.name for f in schema.fields if isinstance(f.dataType, T.StringType)])
 
 
@@ -55,13 +59,16 @@ def read_example_array_or_none(spark: SparkSession, path: str) -> DataFrame | No
 
 def array_documents(documents: DataFrame, text_col: str, *keep: str) -> DataFrame:
     """Rows of JSON array documents held in a text column."""
-    items = F.from_json(F.col(text_col), T.ArrayType(EXAMPLE), {"mode": "FAILFAST"})
+    items = F.from_json(F.col(text_col), T.ArrayType(EXAMPLE), {"mode": "FAILFAST", **JSON_OPTIONS})
     return documents.select(*keep, F.inline(items)).na.fill("", ["db_id", "question", "query"])
 
 
 def read_jsonl(spark: SparkSession, path: str | list[str], schema: T.StructType | str = CHAT) -> DataFrame:
-    """Strict reader: one broken line fails the job. Blank lines are skipped by the JSON source."""
-    return spark.read.schema(schema).option("mode", "FAILFAST").json(path)
+    """Strict reader: a line that is not exactly one JSON value fails the job. Blank lines are skipped."""
+    line = strip(F.col("value"))
+    checked = F.when(is_valid_json(line), line).otherwise(F.raise_error(F.lit("not exactly one JSON value in a line")))
+    lines = spark.read.text(path).where(~is_blank(F.col("value")))
+    return lines.select(F.from_json(checked, schema, {"mode": "FAILFAST", **JSON_OPTIONS}).alias("r")).select("r.*")
 
 
 def read_lines(spark: SparkSession, path: str | list[str]) -> DataFrame:
@@ -97,7 +104,14 @@ def with_line_numbers(lines: DataFrame, wanted: Column) -> DataFrame:
 
 
 def is_valid_json(line: Column) -> Column:
-    return F.try_parse_json(line).isNotNull()
+    """Whether the line is exactly one JSON value; repeated keys are allowed.
+
+    The parser ends with the first value, so the line is read as the first element of an array that a hash
+    of the line closes: with anything behind its value the second element is no longer that hash.
+    """
+    mark = F.xxhash64(line).cast("string")
+    values = F.from_json(F.concat(F.lit("["), line, F.lit(","), mark, F.lit("]")), "array<string>", JSON_OPTIONS)
+    return F.coalesce((F.size(values) == 2) & (F.get(values, F.lit(1)) == mark), F.lit(False))
 
 
 def classify_lines(lines: DataFrame, line_col: str = "line") -> DataFrame:
@@ -138,7 +152,7 @@ def read_jsonl_tolerant(
     place = ["file", "block_start", "line_in_task"]
     lines = read_lines(spark, path)
     good, broken = tolerant(lines, place, max_samples=max_samples)
-    parsed = good.select(F.from_json(strip(F.col("line")), schema).alias("r")).select("r.*")
+    parsed = good.select(F.from_json(strip(F.col("line")), schema, JSON_OPTIONS).alias("r")).select("r.*")
     numbered = with_line_numbers(classify_lines(lines), F.col("line_status") == "broken")
     if max_samples:
         seen = broken.select("file", "block_start", "line_in_task").withColumn("seen", F.lit(True))
@@ -148,13 +162,18 @@ def read_jsonl_tolerant(
 
 
 def read_ddl_corpus(spark: SparkSession, root: str, file_name: str = "schema.sql") -> DataFrame:
-    """``(db_id, ddl)`` from one DDL file per database directory below ``root``."""
+    """``(db_id, ddl)``, one row per database, from the DDL files in database directories below ``root``.
+
+    Of several directories of one database the last by path counts.
+    """
     files = (
         spark.read.option("recursiveFileLookup", True)
         .option("pathGlobFilter", file_name)
         .text(root, wholetext=True)
     )
-    return files.select(_database_of(F.col("_metadata.file_path")).alias("db_id"), F.col("value").alias("ddl"))
+    path = F.col("_metadata.file_path")
+    named = files.select(_database_of(path).alias("db_id"), path.alias("path"), F.col("value").alias("ddl"))
+    return named.groupBy("db_id").agg(F.max_by("ddl", "path").alias("ddl"))
 
 
 def _database_of(path: Column) -> Column:
@@ -199,7 +218,7 @@ def line_counts(spark: SparkSession, paths: str | list[str]) -> DataFrame:
 
 def read_catalogue(spark: SparkSession, path: str) -> DataFrame:
     """Catalogue of table names per database, one JSON array file."""
-    return spark.read.schema(CATALOGUE).option("multiLine", True).option("mode", "FAILFAST").json(path)
+    return spark.read.schema(CATALOGUE).options(multiLine=True, mode="FAILFAST", **JSON_OPTIONS).json(path)
 
 
 def read_demo_catalogue(spark: SparkSession, json_path: str, ddl_dir: str | None = None) -> DataFrame:

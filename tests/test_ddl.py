@@ -52,6 +52,14 @@ def test_index_row(spark):
     assert [t.name for t in row.table_columns] == ["one_line", "orders", "users"]
 
 
+def test_tables_with_the_same_edge(spark):
+    ddl = "".join(f"CREATE TABLE {t} (\nid int,\nFOREIGN KEY (user_id) REFERENCES users(id)\n);\n" for t in ("reviews", "orders"))
+    ddl = "ALTER TABLE x ADD FOREIGN KEY (user_id) REFERENCES users(id);\n" + ddl
+    rows = sch.schema_foreign_keys(_one(spark, ddl)).orderBy("pos").collect()
+    assert [(r.pos, r.source_table) for r in rows] == [(0, None), (1, "reviews"), (2, "orders")]
+    assert {(r.column, r.references_table, r.references_column) for r in rows} == {("user_id", "users", "id")}
+
+
 def test_foreign_keys_with_source(spark):
     rows = sch.schema_foreign_keys(_one(spark, SHOP), inline=True).collect()
     assert {(r.source_table, r.column, r.references_table, r.references_column, r.kind) for r in rows} == {

@@ -137,3 +137,49 @@ def test_folder_names_keep_their_plus(spark, tmp_path):
     (tmp_path / "no+ddl" / "other.txt").write_text("x")
     assert {r.db_id for r in readers.read_ddl_corpus(spark, str(tmp_path)).collect()} == {"c++_db", "a b", "x%y"}
     assert [r.db_id for r in readers.ddl_corpus_gaps(spark, str(tmp_path)).collect()] == ["no+ddl"]
+
+
+ODD_LINES = {
+    '{"a": 1} garbage': False,
+    '{"a": 1}{"a": 2}': False,
+    '{"a": 1}, {"a": 2}': False,
+    '{"a": 1}], [': False,
+    '{"a": 1, "a": 2}': True,
+    '{"a": NaN}': True,
+    "{'a': 1}": False,
+    '{"a": "cut': False,
+    "null": True,
+}
+
+
+def test_a_line_is_exactly_one_value(spark):
+    lines = spark.createDataFrame([(k,) for k in ODD_LINES], "line string")
+    found = readers.classify_lines(lines).collect()
+    assert {r.line: r.line_status == "ok" for r in found} == ODD_LINES
+
+
+@pytest.mark.parametrize("line", [k for k, good in ODD_LINES.items() if not good])
+def test_strict_reader_takes_one_value_a_line(spark, tmp_path, line):
+    path = tmp_path / "odd.jsonl"
+    path.write_text(line + "\n", encoding="utf-8")
+    with pytest.raises(Exception, match="exactly one JSON value"):
+        readers.read_jsonl(spark, str(path), "a int").collect()
+
+
+def test_very_long_texts(spark, tmp_path):
+    path = tmp_path / "long.jsonl"
+    row = {"messages": [{"role": "user", "content": "x" * 20_500_000}]}
+    path.write_text(json.dumps(row) + "\n", encoding="utf-8")
+    size = "length(messages[0].content) AS n"
+    good, broken = readers.read_jsonl_tolerant(spark, str(path))
+    assert good.selectExpr(size).first().n == 20_500_000 and broken.count() == 0
+    assert readers.read_jsonl(spark, str(path)).selectExpr(size).first().n == 20_500_000
+    path.write_text(json.dumps([{"db_id": "d", "question": "x" * 20_500_000}]), encoding="utf-8")
+    assert readers.read_example_array(spark, str(path)).selectExpr("length(question) AS n").first().n == 20_500_000
+
+
+def test_one_row_per_database(spark, tmp_path):
+    for root in ("a", "b"):
+        (tmp_path / root / "shop").mkdir(parents=True)
+        (tmp_path / root / "shop" / "schema.sql").write_text(f"-- {root}", encoding="utf-8")
+    assert [tuple(r) for r in readers.read_ddl_corpus(spark, str(tmp_path)).collect()] == [("shop", "-- b")]
