@@ -108,13 +108,20 @@ def test_salted_join_equals_plain_join(spark, sf):
 
 
 def test_salting_spreads_the_hot_key(spark, sf):
-    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    """In a shuffle join; a small wide side would be broadcast and nothing shuffled."""
+    settings = {"spark.sql.adaptive.enabled": "false", "spark.sql.autoBroadcastJoinThreshold": "-1"}
+    before = {k: spark.conf.get(k) for k in settings}
+    examples, schemas = view(spark, sf, "examples"), schemas_of(spark, sf)
+    tasks = lambda joined: joined.where("db_id = 'db_1'").groupBy(F.spark_partition_id()).count().count()
     try:
-        joined = salted_left_join(view(spark, sf, "examples"), schemas_of(spark, sf), "db_id", "id", rows_per_salt=20)
-        per_task = joined.where("db_id = 'db_1'").groupBy(F.spark_partition_id()).count().collect()
+        for k, v in settings.items():
+            spark.conf.set(k, v)
+        salted = tasks(salted_left_join(examples, schemas, "db_id", "id", rows_per_salt=20))
+        plain = tasks(examples.join(schemas, "db_id", "left"))
     finally:
-        spark.conf.set("spark.sql.adaptive.enabled", "true")
-    assert len(per_task) > 1
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    assert plain == 1 and salted > 1
 
 
 def test_salted_join_keeps_rows_without_key(spark):
