@@ -12,6 +12,7 @@ from sqlcorpus.functions import sqltext as st
 from sqlcorpus.functions.features import with_upper, UPPER, flag_columns
 from sqlcorpus.functions.text import is_blank
 from sqlcorpus.operators.checks import violations
+from sqlcorpus.operators.schemas import has_ddl
 from sqlcorpus.operators.skew import BROADCAST_BYTES, join_wide
 from sqlcorpus.sources.readers import JSON_OPTIONS, is_valid_json
 
@@ -28,8 +29,11 @@ def status(query: Column, has_schema: Column) -> Column:
 
 
 def with_status(examples: DataFrame, schemas: DataFrame, broadcast_bytes: int = BROADCAST_BYTES) -> DataFrame:
-    """Add ``status`` per example. Only database ids take part in the join, no schema text."""
-    known = schemas.where(F.col("ddl").isNotNull()).select("db_id", F.lit(True).alias("_known"))
+    """Add ``status`` per example. Only database ids take part in the join, no schema text.
+
+    A column ``has_ddl`` of ``schemas`` spares the read of the text for its null test.
+    """
+    known = schemas.where(has_ddl(schemas)).select("db_id", F.lit(True).alias("_known"))
     joined = join_wide(examples, known, "db_id", "id", ["db_id"], broadcast_bytes)
     return joined.withColumn("status", status(F.col("query"), F.col("_known"))).drop("_known")
 
@@ -80,7 +84,7 @@ def conversion_counts(examples: DataFrame, schemas: DataFrame) -> DataFrame:
     counted = examples.groupBy("source", "db_id", is_blank(F.col("query")).alias("blank")).agg(
         F.count(F.lit(1)).alias("n")
     )
-    known = schemas.where(F.col("ddl").isNotNull()).select("db_id", F.lit(True).alias("known"))
+    known = schemas.where(has_ddl(schemas)).select("db_id", F.lit(True).alias("known"))
     joined = counted.join(known, "db_id", "left").na.fill(False, ["known"])
 
     def total(condition: Column) -> Column:

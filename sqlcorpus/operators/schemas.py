@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sqlcorpus import fixed_values as fv
@@ -50,8 +50,13 @@ def schema_foreign_keys(schemas: DataFrame, inline: bool = False) -> DataFrame:
     return out.unionByName(refs.where(F.col("references_table").isNotNull()))
 
 
-def schema_index(schemas: DataFrame) -> DataFrame:
-    """One row per readable database; a null DDL (missing file) is excluded."""
+def has_ddl(schemas: DataFrame) -> Column:
+    """Whether a database's DDL was found: the column ``has_ddl`` where a table keeps it, so that no text is read."""
+    return F.col("has_ddl") if "has_ddl" in schemas.columns else F.col("ddl").isNotNull()
+
+
+def schema_index(schemas: DataFrame, *keep: str) -> DataFrame:
+    """One row per readable database; a null DDL (missing file) is excluded. ``keep`` names further columns."""
     ddl = F.col("ddl")
     return schemas.where(ddl.isNotNull()).select(
         "db_id",
@@ -62,6 +67,7 @@ def schema_index(schemas: DataFrame) -> DataFrame:
         d.has_primary_keys(ddl).alias("has_primary_keys"),
         d.has_pragma(ddl).alias("has_pragma"),
         F.length(ddl).cast("long").alias("content_length"),
+        *keep,
     ).withColumn("num_tables", F.size("tables"))
 
 

@@ -80,10 +80,11 @@ def run(examples: DataFrame, schemas: DataFrame) -> CorpusRun:
     """Prepare once, stage the two shared results as Parquet, and describe them.
 
     The text is written once. The split is a small table of cuts applied on read, and the passes that
-    find the cuts read only labels and ids of the staged rows.
+    find the cuts read only labels and ids of the staged rows. The staged schemas tell by ``has_ddl`` which
+    databases are known, so that statuses and counts read no schema text.
     """
-    pg = stage(rewrite.rewrite_schemas(schemas), "schemas")
-    done = final_splits(stage(prepared(examples, schemas), "examples"), durable_cuts=True)
+    pg = stage(rewrite.rewrite_schemas(schemas).withColumn("has_ddl", F.col("ddl").isNotNull()), "schemas")
+    done = final_splits(stage(prepared(examples, pg), "examples"), durable_cuts=True)
     overlap_and_drift = gate(done)
     residue = rewrite.residue_report(done, pg, "pg_sql", "pg_ddl")
     clean = residue.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"))
@@ -97,7 +98,7 @@ def run(examples: DataFrame, schemas: DataFrame) -> CorpusRun:
     return CorpusRun(
         examples=done,
         schemas=pg,
-        conversion=ex.conversion_counts(examples, schemas),
+        conversion=ex.conversion_counts(examples, pg),
         accounting=rewrite.rewrite_accounting(done.drop("pg_sql"), pg.drop("pg_ddl")),
         manifest=splits.manifest(done),
         statistics=stats.full_report(report, pg, "pg_ddl"),

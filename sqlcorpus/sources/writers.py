@@ -34,16 +34,18 @@ def write_ddl_corpus(schemas: DataFrame, path: str, mode: str = "error") -> None
 
 
 def write_schema_index(schemas: DataFrame, path: str, mode: str = "error") -> None:
-    """The index with the DDL text as a column, as Parquet."""
-    index = schema_index(schemas)
-    index.join(schemas.select("db_id", "ddl"), "db_id").withColumn(
+    """The index with the DDL text as a column, as Parquet. Every row is made from its own DDL: nothing is shuffled."""
+    schema_index(schemas, "ddl").withColumn(
         "parsed_timestamp", F.date_format(F.current_timestamp(), "yyyy-MM-dd'T'HH:mm:ss.SSSSSS")
     ).write.mode(mode).parquet(path)
 
 
 def write_report(report: DataFrame, path: str, mode: str = "error") -> None:
-    """A long metric table as one small JSON file. Reports have a bounded number of rows."""
-    report.coalesce(1).write.mode(mode).option("ignoreNullFields", False).json(path)
+    """A long metric table as one small JSON file. Reports have a bounded number of rows.
+
+    The finished rows are shuffled into one task: merging partitions would compute the report in it.
+    """
+    report.repartition(1).write.mode(mode).option("ignoreNullFields", False).json(path)
 
 
 def write_demo_catalogue(catalogue: DataFrame, path: str, mode: str = "error") -> None:

@@ -6,7 +6,8 @@ import pytest
 from pyspark.sql import functions as F
 
 import __spark_entry__ as contract
-from sqlcorpus.operators import splits, stats
+from sqlcorpus.operators import examples, splits, stats
+from sqlcorpus.operators import schemas as schema_operators
 from sqlcorpus.registry.derived import view
 from sqlcorpus.registry.spark_queries import QUERIES
 
@@ -55,8 +56,8 @@ def test_split_labels_rows_without_shuffling_them(spark, tmp_path):
 
 
 def test_scans_are_pruned_and_filtered(spark, sf):
-    examples = view(spark, sf, "examples").where(F.col("id") < 100).select("id")
-    plan = physical(examples)
+    few = view(spark, sf, "examples").where(F.col("id") < 100).select("id")
+    plan = physical(few)
     assert "ReadSchema: struct<o_orderkey:bigint>" in plan and "LessThan(o_orderkey,100)" in plan
 
 
@@ -79,3 +80,25 @@ def test_row_expressions_stay_in_generated_code(name, spark, sf):
     """No expression of the hot projections falls back to interpretation."""
     plan = physical(contract.queries()[name](spark, sf))
     assert not re.search(r"lambdafunction|zip_with\(|transform\(|filter\(", plan)
+
+
+def _staged_schemas(spark, path):
+    spark.createDataFrame([("a", "CREATE TABLE t (x int)", True), ("b", None, False)], "db_id string, ddl string, has_ddl boolean").write.parquet(path)
+    return spark.read.parquet(path)
+
+
+def test_status_and_counts_read_no_schema_text(spark, tmp_path):
+    schemas = _staged_schemas(spark, str(tmp_path / "schemas"))
+    asked = spark.createDataFrame([(1, "a", "q", "SELECT 1", "train"), (2, "b", "q", "SELECT 1", "train")], "id long, db_id string, question string, query string, source string")
+    status = examples.with_status(asked, schemas)
+    for df in (status, examples.conversion_counts(asked, schemas)):
+        read = re.findall(r"ReadSchema: struct<([^>]*)>", physical(df))
+        assert read and all("has_ddl" in s and "ddl:string" not in s for s in read)
+    assert {r.id: r.status for r in status.collect()} == {1: examples.WRITTEN, 2: examples.MISSING_SCHEMA}
+
+
+def test_schema_index_with_its_text_is_not_shuffled(spark, tmp_path):
+    index = schema_operators.schema_index(_staged_schemas(spark, str(tmp_path / "schemas")), "ddl")
+    plan = physical(index)
+    assert "Exchange" not in plan and "Join" not in plan and plan.count("ReadSchema") == 1
+    assert [r.ddl for r in index.collect()] == ["CREATE TABLE t (x int)"]
