@@ -138,12 +138,15 @@ def components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
 
 
 def _groups(rows: DataFrame, max_bits: int) -> DataFrame:
-    """``(fp, component_id, rows)`` for every distinct ``fp`` of the staged ``rows(_id, fp)``."""
+    """``(fp, root, component_id)`` for every distinct ``fp`` of the staged ``rows(_id, fp)``, with its least id and rows.
+
+    Only ``root`` tells components apart: several may share a ``component_id``, as ids may repeat or be null.
+    """
     distinct = stage(rows.groupBy("fp").agg(F.min("_id").alias("_min"), F.count(F.lit(1)).alias("_rows")), "fingerprints")
     roots = components(distinct.select(F.col("fp").alias("node")), links(distinct.select("fp"), max_bits))
     rooted = roots.withColumnRenamed("node", "fp").join(distinct, "fp")
     first = rooted.groupBy("root").agg(F.min("_min").alias("component_id"), F.count(F.lit(1)).alias("_n"))
-    return stage(attach(rooted, first, ["root"], "_n").select("fp", "component_id", "_rows"), "groups")
+    return stage(attach(rooted, first, ["root"], "_n").select("fp", "root", "component_id", "_min", "_rows"), "groups")
 
 
 def mark(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, max_bits: int = MAX_BITS) -> DataFrame:
@@ -162,9 +165,9 @@ def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     at = {c: f"c{i}" for i, c in enumerate(docs.columns)}
     hashed = inner.withColumn("_fp", fingerprints(shingle)(F.col(at[text_col])))
     rows = stage(hashed.select(F.col(at[id_col]).alias("_id"), F.col("_fp").alias("fp")), "simhash")
-    first = attach(rows, _groups(rows, max_bits), ["fp"], "_rows").where(F.col("_id").eqNullSafe(F.col("component_id")))
-    # two fingerprints of a component may carry its smallest id: the smaller fingerprint stays
-    keep = first.groupBy("component_id").agg(F.min("fp").alias("_keep"))
+    first = _groups(rows, max_bits).where(F.col("_min").eqNullSafe(F.col("component_id")))
+    # several fingerprints of a component may carry its smallest id: the smallest fingerprint stays
+    keep = first.groupBy("root").agg(F.min("fp").alias("_keep"), F.min("component_id").alias("component_id"))
     one = W.partitionBy("_fp", at[id_col]).orderBy(F.lit(1))
     kept = (
         hashed.join(keep, (F.col("_fp") == F.col("_keep")) & F.col(at[id_col]).eqNullSafe(F.col("component_id")), "left_semi")

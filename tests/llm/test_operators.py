@@ -82,6 +82,20 @@ def test_simhash(odd, empty):
     assert simhash.mark(empty).count() == 0 == simhash.deduplicate(empty).count()
 
 
+def test_simhash_keeps_one_row_of_each_component(spark):
+    a, b, c, d = (" ".join(f"{x}{i}" for i in range(40)) for x in "abcd")
+    rows = [(None, a), (None, b), (None, b.upper()), (7, c), (7, d), (8, d + " "), (9, c.upper()), (None, d), (3, "z y x"), (3, "z  y x"), (4, None), (None, " ")]
+    fps = [(i, _slow_fingerprint(t)) for i, t in rows]
+    root = _slow_components({f for _, f in fps}, lambda x, y: (x ^ y).bit_count() <= 3)
+    assert len(set(root.values())) == 6
+    best = {}
+    for i, f in fps:
+        best[root[f]] = min(best.get(root[f], (True, 0, 2**63)), (i is None, i or 0, f - 2**64 if f >> 63 else f))
+    kept = simhash.deduplicate(spark.createDataFrame(rows, "doc_id bigint, text string"))
+    got = Counter((i is None, i or 0, f - 2**64 if f >> 63 else f) for i, f in ((i, _slow_fingerprint(t)) for i, t in pairs(kept, "doc_id", "text")))
+    assert got == Counter(best.values())
+
+
 def test_links_and_components(spark):
     rng = random.Random(5)
     base = [rng.getrandbits(64) for _ in range(12)]
