@@ -169,6 +169,10 @@ def _passages(shared):
         bits, hot = shared.value
         table, mask = np.frombuffer(bits, np.uint8), np.uint64(8 * len(bits) - 1)
         seen: dict[bytes, tuple] = {}
+
+        def spread(*place) -> int:
+            return int.from_bytes(xxhash.xxh3_64_digest(repr(place).encode()), "little", signed=True)
+
         kind = pa.schema([("doc_id", pa.int64()), ("row_key", pa.int64()), ("shard", pa.int64()), ("start", pa.int32()), ("stop", pa.int32()), ("words", pa.binary())])
         for batch in batches:
             rows = []
@@ -205,7 +209,8 @@ def _passages(shared):
                             seen.clear()
                         seen[digest] = place
                         rows.append((doc, row_key, int(shards[a].view(np.int64)), start, stop, passage))
-                rows += [(doc, row_key, row_key, start, stop, None) for start, stop in settled]
+                # settled spans need no neighbours: spread, as all copies of a text share its row_key
+                rows += [(doc, row_key, spread(doc, row_key, start), start, stop, None) for start, stop in settled]
             if rows:
                 yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), kind, strict=True)], schema=kind)
 

@@ -274,3 +274,15 @@ def test_hot_keys_meet_their_rows(spark, monkeypatch):
     facts = rows.where("k < 6").groupBy("k").count()
     got = common.attach(rows, facts, ["k"], "count")
     assert got.count() == 100 and got.where("count IS NULL").count() == rows.where("k = 6").count()
+
+
+def test_settled_copies_spread_over_shards():
+    import pyarrow as pa
+    from types import SimpleNamespace
+
+    text = " ".join(f"w{i}" for i in range(40))
+    batch = pa.RecordBatch.from_arrays([pa.array(range(300), pa.int64()), pa.array([5] * 300, pa.int64()), pa.array([text] * 300)], names=["doc_id", "row_key", "text"])
+    out = pa.Table.from_batches(list(substring_dedup._passages(SimpleNamespace(value=(b"\xff" * 8, [])))([batch])))
+    settled = [r for r in out.to_pylist() if r["words"] is None]
+    assert {r["doc_id"] for r in settled} == set(range(1, 300))
+    assert max(Counter(r["shard"] for r in settled).values()) == 1
