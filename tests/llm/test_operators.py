@@ -286,3 +286,14 @@ def test_settled_copies_spread_over_shards():
     settled = [r for r in out.to_pylist() if r["words"] is None]
     assert {r["doc_id"] for r in settled} == set(range(1, 300))
     assert max(Counter(r["shard"] for r in settled).values()) == 1
+
+
+def test_every_language_is_learned(spark, monkeypatch):
+    words = {f"l{i}": " ".join(chr(97 + i) + chr(97 + (i * 7 + j) % 26) * 3 for j in range(9)) for i in range(7)}
+    rows = [(k, t, x) for k, (x, t) in enumerate((x, t) for i, (x, t) in enumerate(words.items()) for _ in range(i + 1))]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, lang string")
+    whole = {r.doc_id: r.language for r in language_id.fit(docs).predict(docs).collect()}
+    monkeypatch.setattr(language_id, "LANGUAGES", 3)
+    got = {r.doc_id: (r.lang, r.language) for r in language_id.fit(docs).predict(docs).collect()}
+    assert len(got) == len(rows) and all(x == found.lang_pred for x, found in got.values())
+    assert all(found.score == pytest.approx(whole[k].score) for k, (_, found) in got.items())
