@@ -17,6 +17,8 @@ own at every level.
 
 from __future__ import annotations
 
+from collections.abc import Collection
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -28,7 +30,7 @@ LIMIT = 0.5
 DEVIATIONS = 1.64
 #: Least and greatest prior strength, in pages.
 STRENGTH = (1.0, 1000.0)
-#: FIXED VALUES: public suffixes of two labels that are told apart from domains.
+#: FIXED VALUES: the suffixes of several labels that are told apart from domains where the caller gives no table.
 TWO_LABEL_SUFFIXES = (
     "co.uk org.uk ac.uk gov.uk me.uk net.uk com.au net.au org.au edu.au gov.au co.nz org.nz ac.nz co.jp ne.jp or.jp ac.jp go.jp "
     "com.br net.br org.br gov.br co.in net.in org.in ac.in co.kr or.kr com.cn net.cn org.cn gov.cn com.mx com.ar com.tr co.za co.il com.sg com.hk com.tw"
@@ -57,16 +59,25 @@ def rule_of(host: Column, path: Column, rules: list[tuple[str, str, str]]) -> tu
     return name, verdict
 
 
-def units_of(host: Column) -> tuple[Column, Column]:
-    """(registered domain, suffix) of a host, without user and port."""
+def units_of(host: Column, suffixes: Collection[str] = TWO_LABEL_SUFFIXES) -> tuple[Column, Column]:
+    """(registered domain, suffix) of a host, without user and port.
+
+    ``suffixes`` are the public ones of two labels or more; the longest that ends a host holds, else its last label.
+    """
     bare = F.regexp_replace(F.regexp_replace(host, r"^.*@", ""), r"(:\d*)?\.?$", "")
     labels = F.split(bare, r"\.")
     two = F.array_join(F.slice(labels, F.greatest(F.size(labels) - 1, F.lit(1)), F.lit(2)), ".")
-    long = two.isin(*TWO_LABEL_SUFFIXES)
-    suffix = F.when(long, two).otherwise(F.element_at(labels, -1))
-    three = F.array_join(F.slice(labels, F.greatest(F.size(labels) - 2, F.lit(1)), F.lit(3)), ".")
+    domain, suffix = two, F.element_at(labels, -1)
+    by_size: dict[int, list[str]] = {}
+    for s in suffixes:
+        by_size.setdefault(s.count(".") + 1, []).append(s)
+    for n in sorted(n for n in by_size if n > 1):
+        last = F.array_join(F.slice(labels, F.greatest(F.size(labels) - n + 1, F.lit(1)), F.lit(n)), ".")
+        more = F.array_join(F.slice(labels, F.greatest(F.size(labels) - n, F.lit(1)), F.lit(n + 1)), ".")
+        fits = last.isin(*by_size[n])
+        domain, suffix = F.when(fits, more).otherwise(domain), F.when(fits, last).otherwise(suffix)
     whole = bare.rlike(r"^\d+\.\d+\.\d+\.\d+$") | (F.size(labels) < 2)
-    return F.when(whole, bare).when(long, three).otherwise(two), F.when(whole, bare).otherwise(suffix)
+    return F.when(whole, bare).otherwise(domain), F.when(whole, bare).otherwise(suffix)
 
 
 def _shrunk(units: DataFrame, key: str, prior: str) -> DataFrame:
@@ -88,9 +99,9 @@ def _shrunk(units: DataFrame, key: str, prior: str) -> DataFrame:
     )
 
 
-def reputations(hosts: DataFrame) -> DataFrame:
+def reputations(hosts: DataFrame, suffixes: Collection[str] = TWO_LABEL_SUFFIXES) -> DataFrame:
     """``(host, rate, strength)`` of every host of ``hosts(host, n, bad)``, ``n`` labelled pages of which ``bad`` are bad."""
-    domain, suffix = units_of(F.col("host"))
+    domain, suffix = units_of(F.col("host"), suffixes)
     hosts = stage(hosts.select("host", domain.alias("domain"), suffix.alias("suffix"), "n", "bad"), "hosts")
     domains = hosts.groupBy("suffix", "domain").agg(F.sum("n").alias("n"), F.sum("bad").alias("bad"))
     suffixes = domains.groupBy("suffix").agg(F.sum("n").alias("n"), F.sum("bad").alias("bad"), F.count(F.lit(1)).alias("_domains"))
@@ -105,7 +116,7 @@ def reputations(hosts: DataFrame) -> DataFrame:
 
 def judge(
     pages: DataFrame, outcomes: DataFrame, rules: list[tuple[str, str, str]], page_id: str = "page_id", url_col: str = "url",
-    limit: float = LIMIT, deviations: float = DEVIATIONS,
+    limit: float = LIMIT, deviations: float = DEVIATIONS, suffixes: Collection[str] = TWO_LABEL_SUFFIXES,
 ) -> DataFrame:
     """One row per page: ``page_id, host, path, rule, verdict`` and the host's ``bad_rate`` and ``bound``.
 
@@ -119,7 +130,7 @@ def judge(
         seen.join(counted, "page_id", "left").groupBy("host")
         .agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.coalesce(F.sum("bad"), F.lit(0)).alias("bad"), F.count(F.lit(1)).alias("_pages")),
         "host-outcomes")
-    known = stage(reputations(hosts).join(hosts.select("host", "_pages"), "host"), "reputations")
+    known = stage(reputations(hosts, suffixes).join(hosts.select("host", "_pages"), "host"), "reputations")
     deviation = F.sqrt(F.col("rate") * (1 - F.col("rate")) / (F.col("strength") + 1))
     rule, verdict = rule_of(F.col("host"), F.col("path"), rules)
     judged = attach(seen, known, ["host"], "_pages").withColumn("bound", F.col("rate") - deviations * deviation)

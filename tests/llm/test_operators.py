@@ -297,3 +297,14 @@ def test_every_language_is_learned(spark, monkeypatch):
     got = {r.doc_id: (r.lang, r.language) for r in language_id.fit(docs).predict(docs).collect()}
     assert len(got) == len(rows) and all(x == found.lang_pred for x, found in got.values())
     assert all(found.score == pytest.approx(whole[k].score) for k, (_, found) in got.items())
+
+
+def test_suffixes_of_the_caller(spark):
+    hosts = spark.createDataFrame([("a.shop.co.id",), ("x.k12.ca.us",), ("b.k12.ca.us",), ("a.b.co.uk",), ("z.com",)], "host string")
+    suffixes = ["co.id", "ca.us", "k12.ca.us", "co.uk"]
+    got = {r.host: (r.d, r.s) for r in hosts.select("host", *[c.alias(n) for c, n in zip(url_reputation.units_of(F.col("host"), suffixes), "ds")]).collect()}
+    assert got == {"a.shop.co.id": ("shop.co.id", "co.id"), "x.k12.ca.us": ("x.k12.ca.us", "k12.ca.us"), "b.k12.ca.us": ("b.k12.ca.us", "k12.ca.us"), "a.b.co.uk": ("b.co.uk", "co.uk"), "z.com": ("z.com", "com")}
+    assert {r.d for r in hosts.limit(1).select(url_reputation.units_of(F.col("host"))[0].alias("d")).collect()} == {"co.id"}
+    pages = spark.createDataFrame([(i, f"http://bad{i % 40}.co.id/") for i in range(400)] + [(900, "http://new.co.id/")], "page_id bigint, url string")
+    outcomes = spark.createDataFrame([(i, 1) for i in range(400)], "page_id bigint, bad int")
+    assert url_reputation.judge(pages, outcomes, [], suffixes=suffixes).count() == 401
