@@ -45,7 +45,8 @@ STAGES = [
     ("packing", pack_sequences),
 ]
 
-#: SQL cannot express the trained model, the fingerprints and the tokenizer; tests compare with brute force.
+#: SQL cannot express the trained model, the fingerprints and the tokenizer; tests/llm/test_pipeline_survivors.py compares a run
+#: with plain Python (without labels: which rows a fitted toxicity model drops is not compared).
 ORACLE_SQL = None
 
 
