@@ -131,12 +131,12 @@ def manifest(examples: DataFrame, seed: int = fv.SEED, label_col: str = "label")
 
 
 def overlaps(
-    examples: DataFrame, keys: list[str], splits: tuple[str, str, str], by_digest: bool = False
+    examples: DataFrame, keys: list[str], splits: tuple[str, ...], by_digest: bool = False
 ) -> DataFrame:
     """Distinct keys shared by each pair of splits, in one shuffle.
 
     Duplicates of a key collapse to one row before the shuffle, so a heavily copied key costs nothing.
-    ``by_digest`` shuffles SHA-256 digests of length-prefixed keys, for long texts.
+    A fourth split adds its keys shared with the second and third, null where it has no rows. ``by_digest`` shuffles SHA-256 digests of length-prefixed keys, for long texts.
     """
     group = [F.col(k) for k in keys]
     if by_digest:
@@ -145,11 +145,16 @@ def overlaps(
     present = examples.groupBy(*group).agg(
         *[F.bool_or(F.col("split") == name).alias(f"in_{i}") for i, name in enumerate(splits)]
     )
-    a, b, c = (F.col(f"in_{i}") for i in range(3))
+    a, b, c, *further = (F.col(f"in_{i}") for i in range(len(splits)))
+    other = [
+        F.when(F.count_if(d) > 0, F.count_if(x & d)).alias(name)
+        for d in further for x, name in ((b, "other_val_overlap"), (c, "other_test_overlap"))
+    ]
     return present.agg(
         F.count_if(a & b).alias("train_val_overlap"),
         F.count_if(a & c).alias("train_test_overlap"),
         F.count_if(b & c).alias("val_test_overlap"),
+        *other,
     )
 
 
@@ -170,9 +175,10 @@ def drift(counts: DataFrame, first: str = "validation", second: str = "test") ->
 
 
 def split_gate(overlap: DataFrame, drifted: DataFrame, limit: float = fv.MAX_DRIFT_POINTS) -> DataFrame:
-    """Two one-row reports to check rows: shared keys between val and test or drift are errors."""
+    """Two one-row reports to check rows: shared keys between val and test or drift are errors; a null count is no row."""
     names = ["val_test_overlap", "train_val_overlap", "train_test_overlap"]
-    counts = overlap.unpivot([], names, "check_name", "n")
+    names += [c for c in overlap.columns if c.startswith("other_")]
+    counts = overlap.unpivot([], names, "check_name", "n").where("n IS NOT NULL")
     is_error = F.col("check_name") == names[0]
     leak = counts.select(
         "check_name",

@@ -49,7 +49,7 @@ SPLITS = ("train", "validation", "test")
 
 def gate(split_examples: DataFrame, sql_col: str = "pg_sql") -> DataFrame:
     """Leak and drift checks of finished splits as check rows."""
-    overlap = splits.overlaps(split_examples, ["question", sql_col], SPLITS)
+    overlap = splits.overlaps(split_examples, ["question", sql_col], (*SPLITS, "other"))
     return splits.split_gate(overlap, splits.drift(splits.class_counts(split_examples)))
 
 

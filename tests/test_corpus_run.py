@@ -50,3 +50,11 @@ def test_no_source_is_lost(spark):
     rows = spark.createDataFrame([(i, ("train", "dev", "others")[i % 3], "simple") for i in range(60)], "id long, source string, label string")
     counts = {r.split: r["count"] for r in final_splits(rows).groupBy("split").count().collect()}
     assert counts == {"train": 20, "validation": 10, "test": 10, "other": 20}
+
+
+def test_gate_counts_other_sources(spark):
+    rows = [("train", "a"), ("validation", "b"), ("test", "c"), ("other", "b"), ("other", "c"), ("other", "d"), ("test", "d")]
+    data = spark.createDataFrame([(s, q, "SELECT 1", "simple") for s, q in rows], "split string, question string, pg_sql string, label string")
+    got = {r.check_name: r.message for r in corpus.gate(data).collect()}
+    assert (got["other_val_overlap"], got["other_test_overlap"]) == ("1 shared (warning)", "2 shared (warning)")
+    assert not any(r.check_name.startswith("other") for r in corpus.gate(data.where("split <> 'other'")).collect())
