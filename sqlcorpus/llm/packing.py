@@ -7,12 +7,12 @@ Only the windows that are open at a partition's end are left over: less than ``W
 partition. They are merged across partitions by running lengths, and the last sequence is cut into
 powers of two, which need no padding.
 
-Each document's ids are those of the tokenizer and then ``END``. Splitting a text at blanks and newlines
-gives the ids of the whole text, because no token of this tokenizer spans white space; the ids of a word
-are kept for its next use, for at most ``CACHE`` words.
+Each document's ids are those of the tokenizer and then ``END``; how texts are encoded is told at
+``encoder``. What a task remembers of words is bounded and ends with the task.
 
 Defined cases: null counts as empty text, which has the one id ``END``; repeated rows are documents of
-their own; a null ``doc_id`` is carried; an empty table gives no pieces.
+their own; a null ``doc_id`` is carried; a text of any length is encoded whole and cut into pieces; further
+columns are ignored, whatever their names; an empty table gives no pieces.
 """
 
 from __future__ import annotations
@@ -28,7 +28,29 @@ from sqlcorpus.session import stage
 LENGTH = 2048
 WINDOWS = 64
 END = 1
-CACHE = 600_000
+#: Words and pieces whose ids a task remembers (about 150 bytes each), characters and texts that are encoded at once.
+WORDS = 400_000
+SLICE_CHARS = 8 << 20
+DOCS = 2000
+#: Marks that are parted from words before words are looked up.
+MARKS = '.,;:!?"()-'
+#: FIXED VALUES: the steps of a tokenizer under which words are encoded one by one.
+BY_WORDS = {
+    "normalizer": {
+        "type": "Sequence",
+        "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "}, {"type": "Lowercase"}],
+    },
+    "pre_tokenizer": {
+        "type": "Sequence",
+        "pretokenizers": [
+            {
+                "type": "Split", "behavior": "Removed", "invert": True,
+                "pattern": {"Regex": r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"},
+            },
+            {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False},
+        ],
+    },
+}
 #: Sequences merged from left-over windows are numbered from here; others by partition and window.
 MERGED = 1 << 62
 _PIECE = (
@@ -37,30 +59,104 @@ _PIECE = (
 )
 
 
-def encoder(path: str, cache_size: int = CACHE):
-    """Text to its ids as little-endian unsigned 32-bit bytes.
+def encoder(path: str, words: int = WORDS):
+    """A function from a list of texts to their ids as little-endian unsigned 32-bit bytes.
 
-    A worker keeps the tokenizer and the words' ids over its tasks. A full store takes no more words,
-    so the frequent ones, which come first, stay.
+    A tokenizer with exactly the steps of ``BY_WORDS`` never joins what blanks or newlines part, so each
+    distinct word is encoded once while it is remembered: at most ``words`` words, for the caller's life
+    only. Words of ASCII and Latin letters skip the normaliser; any other word takes all steps. Every other
+    tokenizer encodes whole texts.
     """
-    from array import array
+    import json
+    import re
 
-    import tokenizers
+    import numpy as np
+    import pyarrow as pa
+    import pyarrow.compute as pc
+    import regex
+    from tokenizers import Tokenizer, pre_tokenizers
 
-    kept = vars(tokenizers).setdefault("_kept_encoders", {})
-    if path not in kept:
-        kept[path] = tokenizers.Tokenizer.from_file(path), {}
-    tokenizer, known = kept[path]
+    tokenizer = Tokenizer.from_file(path)
+    steps = json.loads(tokenizer.to_str())
+    special = [t["content"] for t in steps["added_tokens"]]
 
-    def encode(text: str) -> bytes:
-        words, rest = text.replace("\n", " ").split(" "), {}
-        for w in set(words):
-            if w not in known:
-                ids = array("I", tokenizer.encode(w, add_special_tokens=False).ids).tobytes()
-                (known if len(known) < cache_size else rest)[w] = ids
-        if rest:
-            return b"".join([known[w] if w in known else rest[w] for w in words])
-        return b"".join(map(known.__getitem__, words))
+    def whole(texts):
+        return [np.array(e.ids, dtype="<u4").tobytes() for e in tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
+    if {k: steps[k] for k in BY_WORDS} != BY_WORDS or any(c.isspace() for t in special for c in t):
+        return whole
+
+    bare = Tokenizer.from_str(tokenizer.to_str())
+    bare.normalizer = None
+    bare.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.WhitespaceSplit(), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
+    simple = all(t.startswith("<") for t in special)
+    plain = re.compile("[!-;=-~\u00C0-\u00D6\u00D8-\u00F6\u00F8-\u00FF]+")  # without "<", which starts special tokens
+    parts = regex.compile(BY_WORDS["pre_tokenizer"]["pretokenizers"][0]["pattern"]["Regex"])
+    # the steps make one piece of two marks in a row, and of an apostrophe and some letters
+    close_marks = re.compile("[^ \\t\\n\\r0-9A-Za-z\u00C0-\u00D6\u00D8-\u00F6\u00F8-\u00FF]{2}")
+    known: dict[str, bytes] = {}
+
+    def latin(text):
+        try:
+            return text.isascii() or bool(text.encode("latin-1"))
+        except UnicodeEncodeError:
+            return False
+
+    def apart(text):
+        """A text in which blanks part the words: Latin text lower-cased, with single marks apart, so that fewer words are distinct."""
+        if simple and "<" not in text and latin(text):
+            text = text.lower()
+            if not close_marks.search(text):
+                for mark in MARKS:
+                    text = text.replace(mark, f" {mark} ")
+        return text.replace("\n", " ")
+
+    def learn(new):
+        """Put the ids of all ``new`` words into ``known``."""
+        pieces, several, slow = [], {}, []
+        for w in new:
+            if w.isalpha() and latin(w) and w == w.lower():
+                pieces.append(w)
+            elif simple and plain.fullmatch(w):
+                several[w] = parts.findall(w.lower())
+            else:
+                slow.append(w)
+        pieces += {p for ps in several.values() for p in ps}.difference(pieces).difference(known)
+        for at in range(0, len(pieces), 1000):
+            some = pieces[at : at + 1000]
+            found = bare.encode(" ".join(some), add_special_tokens=False)
+            of, ids = np.array(found.word_ids, dtype="int64"), np.array(found.ids, dtype="<u4").tobytes()
+            ends = (4 * np.searchsorted(of, np.arange(len(some)), side="right")).tolist()
+            known.update(zip(some, map(ids.__getitem__, map(slice, [0, *ends[:-1]], ends)), strict=True))
+        for w, ps in several.items():
+            known[w] = b"".join([known[p] for p in ps])
+        known.update(zip(slow, whole(slow), strict=True))
+
+    def encode(texts):
+        out, at = [], 0
+        while at < len(texts):
+            if len(known) > words:
+                known.clear()
+            split, size = [], 0
+            while at < len(texts) and size < SLICE_CHARS:
+                split.append(apart(texts[at]))
+                size, at = size + len(split[-1]), at + 1
+            lists = pc.split_pattern(pa.array(split, pa.large_string()), " ")
+            coded = lists.flatten().dictionary_encode()
+            distinct = coded.dictionary.to_pylist()
+            learn([w for w in distinct if w not in known])
+            # ids of the distinct words in a row, then those of every word of every text
+            stored = [known[w] for w in distinct]
+            sizes = np.fromiter(map(len, stored), dtype="int64", count=len(stored)) // 4
+            values = np.frombuffer(b"".join(stored), dtype="<u4")
+            codes = coded.indices.to_numpy()
+            lengths = sizes[codes]
+            ends = np.concatenate([[0], np.cumsum(lengths)])
+            shift = (np.cumsum(sizes) - sizes)[codes] - ends[:-1]
+            ids = values[np.arange(ends[-1]) + np.repeat(shift, lengths)]
+            bounds = ends[lists.offsets.to_numpy()]
+            out += [ids[a:b].tobytes() for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True)]
+        return out
 
     return encode
 
@@ -93,9 +189,15 @@ def _packer(tokenizer: str, length: int, windows: int, keep_ids: bool):
             rows.clear()
             return batch
 
+        def encoded(batch):
+            """Ids of a batch's documents, a few texts at a time; a long text is encoded whole."""
+            for at in range(0, batch.num_rows, DOCS):
+                some = batch.slice(at, DOCS)
+                yield from zip(some.column(0).to_pylist(), encode([t or "" for t in some.column(1).to_pylist()]), strict=True)
+
         for batch in batches:
-            for doc, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                ids = encode(text.as_py() or "") + end
+            for doc, ids in encoded(batch):
+                ids += end
                 total, start = len(ids) // 4, 0
                 while total - start >= length:
                     leave([number, length, [(doc, start, ids[4 * start : 4 * (start + length)], total)]])

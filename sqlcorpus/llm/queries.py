@@ -2,22 +2,21 @@
 
 from __future__ import annotations
 
-import os
-
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sqlcorpus.llm import decontaminate, exact_dedup, language_id, line_dedup, packing, simhash, substring_dedup, toxicity, url_reputation, warc
+from sqlcorpus.llm import (
+    decontaminate, divergence, exact_dedup, language_id, line_dedup, packing, prefix_trie, sharding, simhash, substring_dedup, toxicity, url_reputation, warc,
+)
 from sqlcorpus.llm.common import table
 
-#: Folder of the public tokenizers' files.
-TOKENIZERS = os.environ.get("TOKENIZERS_DIR", "/opt/tokenizers")
 #: The tokenizer that the packing query is bound to.
 TOKENIZER = "word_bpe_49k.json"
 
 
 def tokenizer_path() -> str:
-    return os.path.join(TOKENIZERS, TOKENIZER)
+    return public_tokenizers.path(TOKENIZER)
 
 
 def op1_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -86,9 +85,25 @@ def op10_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.mark(table(spark, sf_dir, "documents"))
 
 
+def op11_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefix_trie.trie(prefix_trie.grafted(prefix_trie.turns_of(table(spark, sf_dir, "conversations"))))
+
+
+def op12_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.audit(table(spark, sf_dir, "documents"))
+
+
+def op13_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    placed = sharding.assign(table(spark, sf_dir, "documents"))
+    return placed.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
+
+
 QUERIES = {
     f.__name__: f
-    for f in (op1_benchmark_decontamination, op2_toxicity, op3_warc_archives, op4_language_id, op5_url_reputation, op6_substring_dedup, op7_exact_dedup, op8_packing, op9_line_dedup, op10_simhash_near_dedup)
+    for f in (
+        op1_benchmark_decontamination, op2_toxicity, op3_warc_archives, op4_language_id, op5_url_reputation, op6_substring_dedup, op7_exact_dedup, op8_packing,
+        op9_line_dedup, op10_simhash_near_dedup, op11_prefix_trie, op12_source_divergence, op13_sharding,
+    )
 }
 
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -205,5 +220,65 @@ judged AS (
 summed AS (SELECT r, count(*) AS n_lines, count(m) AS n_removed, CAST(sum(n) AS BIGINT) AS n_links, string_agg(m, ',' ORDER BY line_no) AS m FROM judged GROUP BY r)
 SELECT doc_id, coalesce(n_lines, 0) AS n_lines, coalesce(n_removed, 0) AS n_removed, coalesce(n_links, 0) AS n_links, coalesce(m, '') AS removed
 FROM d LEFT JOIN summed USING (r)
+""",
+    "op11_prefix_trie": r"""
+WITH t AS (
+    SELECT conv_id, coalesce(role, '') AS role, coalesce(text, '') AS text,
+           row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, coalesce(role, ''), coalesce(text, '')) AS i
+    FROM conversations WHERE conv_id IS NOT NULL),
+ids AS (SELECT DISTINCT conv_id, CAST(conv_id AS VARCHAR) AS s FROM t),
+c AS (
+    SELECT conv_id, conv_id - conv_id % 20 AS base,
+           xor(4294967295, list_reduce(range(0, 8 * length(s)), lambda a, k: xor(
+               (CASE WHEN k % 8 = 0 THEN xor(a, CAST(ascii(s[k // 8 + 1]) AS BIGINT)) ELSE a END) >> 1,
+               ((CASE WHEN k % 8 = 0 THEN xor(a, CAST(ascii(s[k // 8 + 1]) AS BIGINT)) ELSE a END) & 1) * 3988292384), 4294967295)) % 4 AS h
+    FROM ids),
+r AS (
+    SELECT c.conv_id, 0 AS half, i, role, text FROM c JOIN t ON t.conv_id = c.base AND i <= h
+    UNION ALL SELECT c.conv_id, 1, i, role, text FROM c JOIN t ON t.conv_id = c.conv_id AND i > h),
+x AS (
+    SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY half, i) AS d, md5(length(role) || ':' || role || text) AS turn_id,
+           len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')) AS words
+    FROM r),
+pre AS (
+    SELECT conv_id, d, words, string_agg(turn_id, '') OVER (PARTITION BY conv_id ORDER BY d) AS k FROM x
+    UNION ALL SELECT conv_id, 0, 0, '' FROM c),
+n AS (SELECT k, d, min(conv_id) AS conv_id, count(*) AS n_convs, any_value(words) AS words FROM pre GROUP BY k, d),
+last AS (SELECT conv_id, max(d) AS d FROM pre GROUP BY conv_id),
+ended AS (SELECT k, string_agg(CAST(conv_id AS VARCHAR), ',' ORDER BY conv_id) AS s FROM pre JOIN last USING (conv_id, d) GROUP BY k),
+kids AS (SELECT left(k, length(k) - 32) AS k, count(*) AS n_children FROM n WHERE d > 0 GROUP BY 1),
+whole AS (SELECT n.*, coalesce(n_children, 0) AS n_children FROM n LEFT JOIN kids USING (k)),
+below AS (
+    SELECT a.k, count(*) FILTER (WHERE b.n_children = 0) AS n_leaves, CAST(sum((b.n_convs - 1) * b.words) AS BIGINT) AS saved_tokens
+    FROM whole a JOIN whole b ON starts_with(b.k, a.k) GROUP BY a.k)
+SELECT w.conv_id, w.d AS depth, p.conv_id AS parent_conv_id, w.n_convs, w.n_children, n_leaves, saved_tokens, sha256(coalesce(s, '')) AS ends_sha256
+FROM whole w JOIN below USING (k) LEFT JOIN ended USING (k) LEFT JOIN n p ON p.d = w.d - 1 AND p.k = left(w.k, length(w.k) - 32)
+""",
+    "op12_source_divergence": rf"""
+WITH d AS (
+    SELECT row_number() OVER () AS r, coalesce(lang, '') AS lang, coalesce(source, '') AS source,
+           regexp_extract_all(translate(coalesce(text, ''), '{_UPPER}', '{_LOWER}'), '[^\x00-\x40\x5B-\x60\x7B-\x7F]+') AS w
+    FROM documents),
+o AS (SELECT r, lang, source, unnest(w) AS term FROM d),
+c AS (SELECT lang, source, term, count(*) AS n, count(DISTINCT r) AS docs FROM o GROUP BY ALL),
+kept AS (SELECT lang, term, sum(n) AS total FROM c GROUP BY lang, term HAVING sum(docs) >= 30),
+v AS (SELECT lang, count(*) AS v, sum(total) AS n_lang FROM kept GROUP BY lang),
+g AS (SELECT DISTINCT lang, source FROM d),
+cells AS (SELECT lang, source, term, coalesce(c.n, 0) AS n, total FROM g JOIN kept USING (lang) LEFT JOIN c USING (lang, source, term)),
+sums AS (SELECT lang, source, sum(n) AS n_group FROM cells GROUP BY lang, source),
+shares AS (
+    SELECT lang, source, term, n, 1 + (CAST(1000000000 AS HUGEINT) * (n + 5)) // (n_group + 5 * v) AS p,
+           1 + (CAST(1000000000 AS HUGEINT) * (total + 5)) // (n_lang + 5 * v) AS q
+    FROM cells JOIN sums USING (lang, source) JOIN v USING (lang)),
+pair AS (
+    SELECT g.lang, g.source, h.source AS item, CAST(coalesce(sum(abs(a.p - b.p)), 0) AS BIGINT) AS value
+    FROM g JOIN g h ON h.lang = g.lang AND h.source <> g.source
+    LEFT JOIN shares a ON a.lang = g.lang AND a.source = g.source LEFT JOIN shares b ON b.lang = h.lang AND b.source = h.source AND b.term = a.term
+    GROUP BY g.lang, g.source, h.source),
+term AS (SELECT lang, source, term AS item, CAST(p - q AS BIGINT) AS value FROM shares WHERE n > 0 AND p > q),
+ranked AS (
+    SELECT *, row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, encode(item)) AS rank
+    FROM (SELECT *, 'pair' AS part FROM pair UNION ALL SELECT *, 'term' FROM term))
+SELECT lang, source, part, item, value, CAST(rank AS INTEGER) AS rank FROM ranked WHERE part = 'pair' OR rank <= 50
 """,
 }

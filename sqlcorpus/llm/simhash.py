@@ -24,7 +24,6 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import Window as W
 
 from sqlcorpus.llm.common import attach
 from sqlcorpus.session import stage
@@ -159,18 +158,18 @@ def mark(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingl
 def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, max_bits: int = MAX_BITS) -> DataFrame:
     """``docs`` with one row of each component, that of the smallest id; columns stay as they are.
 
-    Texts meet the rows to keep on (fingerprint, id), which spreads every group over the partitions.
+    Rows get their number and fingerprint once and are staged with them; groups are found on numbers alone,
+    and texts meet the numbers of the rows to keep in one shuffle, spread evenly.
     """
-    inner = docs.toDF(*[f"c{i}" for i in range(len(docs.columns))])
-    at = {c: f"c{i}" for i, c in enumerate(docs.columns)}
-    hashed = inner.withColumn("_fp", fingerprints(shingle)(F.col(at[text_col])))
-    rows = stage(hashed.select(F.col(at[id_col]).alias("_id"), F.col("_fp").alias("fp")), "simhash")
+    names = [f"c{i}" for i in range(len(docs.columns))]
+    id_name, text_name = (names[docs.columns.index(c)] for c in (id_col, text_col))
+    inner = docs.toDF(*names)
+    inner = stage(inner.select("*", F.monotonically_increasing_id().alias("_row"), fingerprints(shingle)(F.col(text_name)).alias("_fp")), "simhash")
+    rows = inner.select("_row", F.col(id_name).alias("_id"), F.col("_fp").alias("fp"))
     first = _groups(rows, max_bits).where(F.col("_min").eqNullSafe(F.col("component_id")))
     # several fingerprints of a component may carry its smallest id: the smallest fingerprint stays
-    keep = first.groupBy("root").agg(F.min("fp").alias("_keep"), F.min("component_id").alias("component_id"))
-    one = W.partitionBy("_fp", at[id_col]).orderBy(F.lit(1))
-    kept = (
-        hashed.join(keep, (F.col("_fp") == F.col("_keep")) & F.col(at[id_col]).eqNullSafe(F.col("component_id")), "left_semi")
-        .withColumn("_row", F.row_number().over(one)).where("_row = 1")
-    )
-    return kept.select(*inner.columns).toDF(*docs.columns)
+    keep = first.groupBy("root").agg(F.min("fp").alias("fp"), F.min("component_id").alias("_keep"), F.max("_rows").alias("_rows"))
+    numbers = (
+        attach(rows, keep.select("fp", "_keep", "_rows", F.lit(True).alias("_found")), ["fp"], "_rows").where(F.col("_found") & F.col("_id").eqNullSafe(F.col("_keep")))
+        .groupBy("fp", "_id").agg(F.min("_row").alias("_row")))
+    return inner.join(numbers.select("_row"), "_row", "left_semi").select(*names).toDF(*docs.columns)

@@ -11,7 +11,8 @@ and length.
 
 Defined cases: null and empty texts are scored like any other (all features zero); without labels of
 both classes in the second part, or with an empty lexicon, every score is the share of toxic labels (0
-without labels); rows with a null label or id are not learned from; further columns pass unchanged.
+without labels); without labels of both classes in the third part the trees' own probability is the score;
+rows with a null label or id are not learned from; further columns pass unchanged.
 """
 
 from __future__ import annotations
@@ -167,13 +168,16 @@ class ToxicityModel:
         self.prior, self.lexicon, self.trees, self.calibration = prior, list(lexicon), trees, calibration
 
     def score(self, docs: DataFrame, text_col: str = "text", name: str = "score") -> DataFrame:
-        """``docs`` with a column ``name`` between 0 and 1."""
+        """``docs`` with a column ``name`` between 0 and 1; ``name`` must be free."""
+        if name != free_name(docs, name):
+            raise ValueError(f"the documents have a column {name}; give another name")
         if self.trees is None:
             return docs.withColumn(name, F.lit(self.prior))
         inner = docs.toDF(*[f"c{i}" for i in range(len(docs.columns))])
         text = F.col(f"c{docs.columns.index(text_col)}").cast("string")
         raw = _raw(self.trees, inner.withColumn("features", array_to_vector(feature_udf(self.lexicon)(text))))
-        scored = self.calibration.transform(raw).withColumn("_score", F.least(F.greatest(F.col("calibrated"), F.lit(0.0)), F.lit(1.0)))
+        scored = self.calibration.transform(raw) if self.calibration else raw.withColumn("calibrated", F.col("raw_score"))
+        scored = scored.withColumn("_score", F.least(F.greatest(F.col("calibrated"), F.lit(0.0)), F.lit(1.0)))
         return scored.select(*inner.columns, "_score").toDF(*docs.columns, name)
 
 
@@ -202,9 +206,9 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
         "toxicity-features").withColumn("features", array_to_vector("f"))
     trees = GBTClassifier(labelCol="label", featuresCol="features", maxIter=TREES, maxDepth=DEPTH, stepSize=0.3, seed=42).fit(
         features.where("part < 4").coalesce(4))
-    held = _raw(trees, features.where("part = 4"))
     if not counts.get((2, 0)) or not counts.get((2, 1)):
-        held = _raw(trees, features)  # too few labels for a calibration part of its own
+        return ToxicityModel(prior, lexicon, trees)
+    held = _raw(trees, features.where("part = 4"))
     calibration = IsotonicRegression(featuresCol="raw_score", labelCol="label", predictionCol="calibrated").fit(
         held.select("raw_score", "label").coalesce(1))
     return ToxicityModel(prior, lexicon, trees, calibration)

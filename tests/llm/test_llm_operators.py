@@ -159,7 +159,23 @@ def test_words_have_the_ids_of_the_text(text):
     from tokenizers import Tokenizer
 
     ids = Tokenizer.from_file(queries.tokenizer_path()).encode(text, add_special_tokens=False).ids
-    assert packing.encoder(queries.tokenizer_path())(text) == array("I", ids).tobytes()
+    assert packing.encoder(queries.tokenizer_path())([text]) == [array("I", ids).tobytes()]
+
+
+@pytest.mark.parametrize("file", ["word_bpe_49k.json", "byte_bpe_50k.json"])
+def test_any_tokenizer_has_its_own_ids(file, monkeypatch):
+    """Random texts of words, marks, odd white space and special tokens; few remembered words, small slices."""
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    monkeypatch.setattr(packing, "SLICE_CHARS", 200)
+    rng = random.Random(7)
+    letters = [*"abAB'sSdtrevm019.,!<>|\"-_ \n\t    éÉßÀ÷×ÿªµſİΣς東\x1c\x85\xa0", "\u0301", "<|endoftext|>", "<|ENDOFTEXT|>", "'ll", "'RE", "\U0001F600", " the ", " Der "]
+    texts = ["".join(rng.choices(letters, k=rng.randint(0, 40))) for _ in range(4000)]
+    path = public_tokenizers.path(file)
+    tokenizer = Tokenizer.from_file(path)
+    want = [array("I", e.ids).tobytes() for e in tokenizer.encode_batch(texts, add_special_tokens=False)]
+    assert packing.encoder(path, words=300)(texts) == want
 
 
 def test_substring_dedup(odd, empty):
@@ -254,7 +270,7 @@ def test_language_id(spark, sf, odd, empty):
 
 
 def test_toxicity(spark, odd, empty):
-    docs, labels = (table(spark, "/root/testdata/check_s", t) for t in ("documents", "labels"))
+    docs, labels = (table(spark, "/root/testdata/sf0.1", t) for t in ("documents", "labels"))
     docs = docs.join(labels.select("doc_id"), "doc_id", "left_semi")
     held = toxicity.held_out(F.col("doc_id"), 5, 0)
     model = toxicity.fit(docs, labels.where(~held), rows=6000)
