@@ -90,10 +90,18 @@ class Splitters:
 
 
 def _boundaries(sample: list[tuple[int, float]], greatest: int) -> list[int]:
-    """Keys at every half range of the sample's weight, and the greatest key, so that a cut always parts rows."""
+    """Keys at every half range of the sample's weight, and the greatest key, so that a cut always parts rows.
+
+    A key that weighs half a range itself, as that of a large group of copies, gets a range of its own.
+    """
+    weights: dict[int, float] = {}
+    for key, weight in sample:
+        weights[key] = weights.get(key, 0.0) + weight
     out, seen = {greatest}, 0.0
-    for key, weight in sorted(sample):
-        if int(2 * (seen + weight) / SAMPLES) > int(2 * seen / SAMPLES):
+    for key, weight in sorted(weights.items()):
+        if 2 * weight >= SAMPLES:
+            out.update((key, key + 1) if key < greatest else (key,))
+        elif int(2 * (seen + weight) / SAMPLES) > int(2 * seen / SAMPLES):
             out.add(key)
         seen += weight
     return sorted(out)

@@ -56,6 +56,13 @@ def test_rows_bound_ranges(spark):
     assert sum(n for _, n in stats.values()) == 1000 and max(n for _, n in stats.values()) <= 40
 
 
+def test_hot_keys_are_isolated_in_few_rounds(spark):
+    rows = [(i, f"hot {i % 3}") for i in range(6000)] + [(i, f"cold {i} {'x' * (i % 90)}") for i in range(6000, 9000)]
+    records = sharding.stage(sharding.sized(frame(spark, rows)), "test-records")
+    splitters, stats = sharding.choose(records)
+    assert len(splitters.rounds) <= 6 and sum(n for _, n in stats.values()) == 9000
+
+
 def test_deal_is_even():
     stats = {i: (random.Random(i).randint(1, 1000), i % 5 + 1) for i in range(2000)}
     dealt = sharding.deal(stats, 24)
