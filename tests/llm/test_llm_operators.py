@@ -228,6 +228,15 @@ def test_line_dedup(odd, empty):
     assert kept.columns == odd.columns and kept.count() == odd.count() and line_dedup.report(empty).count() == 0
 
 
+def test_archives_are_read_by_several_tasks(spark, tmp_path):
+    pages = spark.range(600).selectExpr("id AS page_id", "'http://h/' AS url", "repeat(md5(cast(id AS string)), 40) AS html").repartition(3)
+    manifest = warc.write(pages, str(tmp_path / "archives"), limit=60_000)
+    archives, back = manifest.count(), warc.read(manifest)
+    assert archives > 2 * warc.ARCHIVES_A_TASK
+    assert back.rdd.getNumPartitions() == -(-archives // warc.ARCHIVES_A_TASK)
+    assert sorted(r.page_id for r in back.collect()) == list(range(600))
+
+
 def test_warc(spark):
     rows = [(1, "http://a/ü x\r\ny", "<p>é</p>"), (2, None, None), (3, "http://b", ""), (4, "http://c", "<p>é</p>"), (None, "u", "q"), (5, "u", "q"), (5, "u", "q"), (6, "v", "z" * 400000)]
     pages = spark.createDataFrame(rows, "page_id bigint, url string, html string")
