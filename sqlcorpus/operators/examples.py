@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sqlcorpus import fixed_values as fv
@@ -104,8 +104,13 @@ def union_sources(sources: dict[str, DataFrame | None]) -> DataFrame:
     return reduce(DataFrame.unionByName, present)
 
 
-def source_errors(sources: dict[str, DataFrame | None]) -> dict[str, str]:
-    return {name: f"File not found: {name}" for name, df in sources.items() if df is None}
+def source_errors(spark: SparkSession, sources: dict[str, DataFrame | None], rejects: DataFrame | None = None) -> DataFrame:
+    """``(source, error)``: missing sources, and broken files from ``rejects(file, reason)`` of the reader."""
+    missing = [(name, f"File not found: {name}") for name, df in sources.items() if df is None]
+    found = spark.createDataFrame(missing, "source string, error string")
+    if rejects is None:
+        return found
+    return found.unionByName(rejects.select(F.col("file").alias("source"), F.col("reason").alias("error")))
 
 
 CONSTRUCTS = {

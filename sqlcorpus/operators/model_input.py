@@ -5,13 +5,14 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from sqlcorpus import fixed_values as fv
 from sqlcorpus.functions import sqltext as st
 from sqlcorpus.functions.text import token_count, tokens
 from sqlcorpus.operators.skew import join_wide
+from sqlcorpus.session import stage
 
 
 def last_per_role(turns: DataFrame) -> DataFrame:
@@ -124,6 +125,38 @@ def fixed_length(df: DataFrame, ids_col: str, max_length: int = fv.MAX_SEQUENCE,
     )
 
 
+def token_dictionary(texts: DataFrame, text_col: str = "text") -> DataFrame:
+    """``(token, n, token_id)``: ids from 1 by falling frequency, ties by token; 0 is left for padding.
+
+    The counts are range-partitioned and sorted; ids are the place within a partition plus the sizes of the
+    partitions before it, so no single task ranks all tokens.
+    """
+    counts = texts.select(F.explode(tokens(F.col(text_col))).alias("token")).groupBy("token").agg(F.count(F.lit(1)).alias("n"))
+    ordered = counts.repartitionByRange(F.desc("n"), "token").sortWithinPartitions(F.desc("n"), "token")
+    part = F.spark_partition_id()
+    placed = stage(ordered.select("token", "n", part.alias("_part"), F.monotonically_increasing_id().alias("_at")), "token-dictionary")
+    sizes = placed.groupBy("_part").agg(F.count(F.lit(1)).alias("_size"), F.min("_at").alias("_first"))
+    before = F.sum("_size").over(Window.orderBy("_part")) - F.col("_size")  # one row per partition
+    starts = sizes.select("_part", before.alias("_before"), "_first")
+    return placed.join(F.broadcast(starts), "_part").select(
+        "token", "n", (F.col("_before") + F.col("_at") - F.col("_first") + 1).cast("int").alias("token_id"))
+
+
+def model_tensors(
+    rendered: DataFrame, dictionary: DataFrame, id_col: str, text_col: str = "text", max_length: int = fv.MAX_SEQUENCE
+) -> DataFrame:
+    """``id_col, input_ids, attention_mask, labels`` of white-space tokens numbered by ``token_dictionary``.
+
+    Only the tokens that truncation keeps are looked up; frequent tokens meet their ids by salted keys.
+    A token outside the dictionary counts as padding's id 0.
+    """
+    kept = rendered.select(id_col, F.posexplode_outer(truncated_tokens(F.col(text_col), max_length)).alias("pos", "token"))
+    known = join_wide(kept, dictionary.select("token", "token_id"), "token", "pos", ["token"])
+    place = F.when(F.col("token").isNotNull(), F.struct("pos", F.coalesce("token_id", F.lit(0)).alias("token_id")))
+    ids = F.transform(F.sort_array(F.collect_list(place)), lambda p: p["token_id"])
+    return fixed_length(known.groupBy(id_col).agg(ids.alias("token_ids")), "token_ids", max_length).drop("token_ids")
+
+
 Encoder = Callable[[list[str]], list[list[int]]]
 
 

@@ -71,19 +71,31 @@ def schema_index(schemas: DataFrame, *keep: str) -> DataFrame:
     ).withColumn("num_tables", F.size("tables"))
 
 
+def schema_rejects(outcomes: DataFrame) -> DataFrame:
+    """``(db_id, reason)`` of databases that are not in the index: no DDL file, or one that is no text."""
+    return outcomes.where(F.col("ddl").isNull()).select("db_id", F.coalesce("error", F.lit("missing schema")).alias("reason"))
+
+
 def index_statistics(schemas: DataFrame) -> DataFrame:
-    """One row of counters; only the table names and the FK flag are extracted for it."""
+    """One row of counters; only the table names and the FK flag are extracted for it.
+
+    A column ``error`` tells unreadable files from missing ones, as ``ddl_outcomes`` gives it.
+    """
     ddl = F.col("ddl")
+    failed = F.col("error").isNotNull() if "error" in schemas.columns else F.lit(False)
     facts = schemas.select(
         ddl.isNotNull().alias("found"),
+        failed.alias("failed"),
         F.size(d.table_names(ddl)).alias("n"),
         F.coalesce(d.has_foreign_keys(ddl), F.lit(False)).alias("fk"),
     )
     found = F.col("found")
     return facts.agg(
         F.count(F.lit(1)).alias("total_found"),
+        F.count_if(found | F.col("failed")).alias("schema_files_found"),
         F.count_if(found).alias("successfully_parsed"),
-        F.count_if(~found).alias("missing_schema"),
+        F.count_if(~found & ~F.col("failed")).alias("missing_schema"),
+        F.count_if("failed").alias("parse_errors"),
         F.count_if(found & (F.col("n") < 5)).alias("databases_lt_5_tables"),
         F.count_if(found & F.col("n").between(5, 10)).alias("databases_5_to_10_tables"),
         F.count_if(found & (F.col("n") > 10)).alias("databases_gt_10_tables"),

@@ -56,6 +56,19 @@ def zero_filled(stats: DataFrame, groups: DataFrame, group: str, metrics: list[s
     return wanted.join(stats, [group, "metric"], "left").na.fill(0)
 
 
+#: Metrics of the text parts of an example.
+TEXT_METRICS = [f"{part}_{unit}" for part in ("schema", "question", "sql") for unit in ("chars", "tokens")]
+
+
+def with_expected(stats: DataFrame, group: str, expected: tuple[str, ...]) -> DataFrame:
+    """Text statistics with zeros for the ``expected`` groups that have no rows; other groups stay."""
+    if not expected:
+        return stats
+    groups = stats.sparkSession.createDataFrame([(name,) for name in expected], f"{group} string")
+    others = stats.where(~F.col(group).isin(*expected))
+    return zero_filled(stats.where(F.col(group).isin(*expected)), groups, group, TEXT_METRICS).select(*stats.columns).unionByName(others)
+
+
 def feature_counts(examples: DataFrame, group: str = "split", sql_col: str = "sql") -> DataFrame:
     """``(group, feature, n, pct)`` for features that occur; one wide aggregate, then rows."""
     flags = flag_columns(F.col(UPPER))
@@ -143,9 +156,11 @@ def database_facts(examples: DataFrame, sql_col: str = "sql") -> DataFrame:
     )
 
 
-def full_report(examples: DataFrame, schemas: DataFrame, ddl_col: str = "ddl") -> DataFrame:
+def full_report(examples: DataFrame, schemas: DataFrame, ddl_col: str = "ddl", expected: tuple[str, ...] = ()) -> DataFrame:
     """Everything as long rows ``(split, section, name, stat, value)``; the total has a null split.
 
+    An ``expected`` split without examples has text statistics of zeros.
+
     Two passes over the examples: one for ``database_facts``, staged because five sections read it, and
     one for the text histograms.
     """
@@ -170,7 +185,7 @@ def full_report(examples: DataFrame, schemas: DataFrame, ddl_col: str = "ddl") -
         return long_form.withColumn("pct", F.round(F.col("n") / F.col("total_rows") * 100, 1))
 
     totals = facts.groupingSets([("split",), ()], "split").agg(F.sum("n").alias("n"))
-    texts = own_text_distribution(examples).unionByName(schema_text_distribution(facts, schemas, ddl_col))
+    texts = with_expected(own_text_distribution(examples).unionByName(schema_text_distribution(facts, schemas, ddl_col)), "split", expected)
     return (
         rows(totals, "totals", F.lit("examples"), ["n"])
         .unionByName(rows(per_split, "totals", F.lit("databases"), ["n_databases"]))

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from sqlcorpus import fixed_values as fv
 from sqlcorpus.functions.features import UPPER, class_label, split_class, with_upper
-from sqlcorpus.operators import checks, examples as ex, rewrite, splits, stats
+from sqlcorpus.operators import checks, examples as ex, rewrite, schemas as sch, splits, stats
 from sqlcorpus.session import stage
 from sqlcorpus.sources import writers
 
@@ -64,6 +64,7 @@ class CorpusRun:
     manifest: DataFrame
     statistics: DataFrame
     checks: DataFrame
+    rejects: DataFrame
 
     def write(self, path: str) -> None:
         """Chat JSON lines per split, the schema index, and one JSON file per report."""
@@ -72,16 +73,26 @@ class CorpusRun:
         )
         writers.write_chat(chat.select("split", "system", "user", "assistant"), f"{path}/chat")
         writers.write_schema_index(self.schemas, f"{path}/schema_index")
-        for name in ("conversion", "accounting", "manifest", "statistics", "checks"):
+        for name in ("conversion", "accounting", "manifest", "statistics", "checks", "rejects"):
             writers.write_report(getattr(self, name), f"{path}/{name}")
 
 
-def run(examples: DataFrame, schemas: DataFrame) -> CorpusRun:
+def reject_rows(schemas: DataFrame, source_errors: DataFrame | None = None) -> DataFrame:
+    """``(kind, name, reason)`` of what the run could not use: databases without readable DDL and source files."""
+    databases = sch.schema_rejects(schemas if "error" in schemas.columns else schemas.withColumn("error", F.lit(None).cast("string")))
+    rows = databases.select(F.lit("schema").alias("kind"), F.col("db_id").alias("name"), "reason")
+    if source_errors is None:
+        return rows
+    return rows.unionByName(source_errors.select(F.lit("source").alias("kind"), F.col("source").alias("name"), F.col("error").alias("reason")))
+
+
+def run(examples: DataFrame, schemas: DataFrame, source_errors: DataFrame | None = None) -> CorpusRun:
     """Prepare once, stage the two shared results as Parquet, and describe them.
 
     The text is written once. The split is a small table of cuts applied on read, and the passes that
     find the cuts read only labels and ids of the staged rows. The staged schemas tell by ``has_ddl`` which
-    databases are known, so that statuses and counts read no schema text.
+    databases are known, so that statuses and counts read no schema text. ``schemas`` may be the outcomes of
+    ``ddl_outcomes`` and ``source_errors`` the table of that name: both end in the reject rows.
     """
     pg = stage(rewrite.rewrite_schemas(schemas).withColumn("has_ddl", F.col("ddl").isNotNull()), "schemas")
     done = final_splits(stage(prepared(examples, pg), "examples"), durable_cuts=True)
@@ -101,6 +112,7 @@ def run(examples: DataFrame, schemas: DataFrame) -> CorpusRun:
         conversion=ex.conversion_counts(examples, pg),
         accounting=rewrite.rewrite_accounting(done.drop("pg_sql"), pg.drop("pg_ddl")),
         manifest=splits.manifest(done),
-        statistics=stats.full_report(report, pg, "pg_ddl"),
+        statistics=stats.full_report(report, pg, "pg_ddl", SPLITS),
         checks=checks_table,
+        rejects=reject_rows(pg, source_errors),
     )

@@ -131,7 +131,7 @@ VIEWS: dict[str, tuple[str, dict[str, str]]] = {
         "customer",
         {
             "db_id": "concat('db_', cast(c_custkey % 500 AS string))",
-            "path": "concat('/db_', cast(c_custkey % 500 AS string), '/', cast(c_custkey AS string), CASE WHEN c_custkey % 3 = 0 THEN '.sqlite' ELSE '.sql' END)",
+            "path": "concat('/db_', cast(c_custkey % 500 AS string), '/', cast(c_custkey AS string), CASE WHEN c_custkey % 3 = 0 AND c_custkey % 500 % 7 > 0 THEN '.sqlite' ELSE '.sql' END)",
         },
     ),
     "demo_catalogue": (

@@ -247,6 +247,16 @@ SPLIT = (*LABELLED, "ranked", "split")
 
 # ---- sources and sinks
 oracle("s1_example_arrays", EX, body="SELECT id // 100 AS doc, db_id, question, query FROM examples")
+oracle(
+    "s1_example_files", EX,
+    body="SELECT id // 5000 AS doc, count(*) AS n, cast(sum(length(query)) AS bigint) AS query_chars, min(question) AS first_question "
+    "FROM examples WHERE (id // 5000) % 3 <> 2 GROUP BY 1",
+)
+oracle(
+    "e5_source_errors", EX,
+    body="SELECT DISTINCT cast(id // 5000 AS varchar) AS source, 'invalid JSON' AS error FROM examples WHERE (id // 5000) % 3 = 2 "
+    "UNION ALL SELECT 'dev', 'File not found: dev'",
+)
 oracle("s2_jsonl_strict", *USABLE, "chat", body="SELECT system, md5(user_text) AS user_md5, sql AS assistant FROM chat")
 _STATUS = f"CASE WHEN {is_blank('line')} THEN 'blank' WHEN json_valid(line) THEN 'ok' ELSE 'broken' END"
 oracle("s3_jsonl_tolerant", "json_lines", body=f"SELECT event_id, {_STATUS} AS line_status FROM json_lines")
@@ -274,8 +284,9 @@ oracle(
 # ---- ingest checks
 oracle(
     "v1_manifest", EX,
-    body="SELECT e.name, o.n IS NOT NULL AS present, coalesce(o.n, 0) AS examples FROM (VALUES ('train'), ('dev'), ('others')) e(name) "
-    "LEFT JOIN (SELECT source, count(*) AS n FROM examples GROUP BY source) o ON o.source = e.name",
+    body="SELECT e.name, o.n IS NOT NULL AS present, round(coalesce(b, 0) / 1048576, 3) AS size_mb, coalesce(o.n, 0) AS examples, "
+    "bool_and(o.n IS NOT NULL) OVER () AS all_present, cast(sum(CASE WHEN o.n IS NULL THEN 1 ELSE 0 END) OVER () AS bigint) AS n_missing FROM (VALUES ('train'), ('dev'), ('others')) e(name) "
+    "LEFT JOIN (SELECT source, count(*) AS n, sum(strlen(question) + 1) AS b FROM examples GROUP BY source) o ON o.source = e.name",
 )
 _MISSING = "list_filter(['question', 'query', 'db_id'], lambda k: NOT list_contains(json_keys(line), k))"
 oracle(
@@ -362,11 +373,25 @@ oracle(
 )
 oracle(
     "d7_index_statistics", EX, SC,
-    body=f"""SELECT count(*) AS total_found, count(ddl) AS successfully_parsed, count_if(ddl IS NULL) AS missing_schema,
+    body=f"""SELECT count(*) AS total_found, count(ddl) AS schema_files_found, count(ddl) AS successfully_parsed, count_if(ddl IS NULL) AS missing_schema,
+  cast(0 AS bigint) AS parse_errors,
   count_if(n < 5) AS databases_lt_5_tables, count_if(n BETWEEN 5 AND 10) AS databases_5_to_10_tables,
   count_if(n > 10) AS databases_gt_10_tables, count_if({has('ddl', fv.HAS_FOREIGN_KEY)}) AS databases_with_foreign_keys
 FROM (SELECT db_id, ddl, len({_TABLES}) AS n FROM (SELECT DISTINCT db_id FROM examples) LEFT JOIN schemas USING (db_id))""",
 )
+_FOLDERS = f"""SELECT db_id, k % 5 = 2 AS missing, k % 5 <> 2 AND k % 7 = 3 AS broken, len({_TABLES}) AS n
+FROM (SELECT db_id, ddl, cast(regexp_extract(db_id, '([0-9]+)$', 1) AS bigint) AS k FROM supplier_ddl)"""
+oracle(
+    "d6_schema_rejects", "supplier_ddl",
+    body=f"SELECT db_id, CASE WHEN missing THEN 'missing schema' ELSE 'not UTF-8' END AS reason FROM ({_FOLDERS}) WHERE missing OR broken",
+)
+oracle(
+    "d7_index_statistics_files", "supplier_ddl",
+    body=f"""SELECT count(*) AS total_found, count_if(NOT missing) AS schema_files_found, count_if(NOT missing AND NOT broken) AS successfully_parsed,
+  count_if(missing) AS missing_schema, count_if(broken) AS parse_errors, count_if(NOT missing AND NOT broken AND n < 5) AS databases_lt_5_tables,
+  count_if(NOT missing AND NOT broken AND n BETWEEN 5 AND 10) AS databases_5_to_10_tables,
+  count_if(NOT missing AND NOT broken AND n > 10) AS databases_gt_10_tables, cast(0 AS bigint) AS databases_with_foreign_keys FROM ({_FOLDERS})""",
+)
 _COMPARED = f"""SELECT db_id, CASE WHEN p IS NULL THEN 'catalogue only' WHEN names IS NULL THEN 'index only' ELSE 'matched' END AS status,
   CASE WHEN p IS NOT NULL AND names IS NOT NULL THEN list_sort(list_filter(list_distinct(list_transform(names, lambda x: lower(x))), lambda x: NOT list_contains(p, x))) END AS missing,
   CASE WHEN p IS NOT NULL AND names IS NOT NULL THEN list_sort(list_filter(list_distinct(p), lambda x: NOT list_contains(list_transform(names, lambda y: lower(y)), x))) END AS extra
@@ -603,7 +628,8 @@ _TEXT_SUMMARY = "\nUNION ALL ".join(
     for name, col in _TEXTS.items()
     for unit, measure in (("chars", "length({})".format), ("tokens", n_tokens))
 )
-oracle("t3_text_distribution", *USABLE, body=_TEXT_SUMMARY)
+_EMPTY = "\nUNION ALL ".join(f"SELECT 'held back', '{name}_{unit}', 0, 0, 0, 0.0, 0" for name in _TEXTS for unit in ("chars", "tokens"))
+oracle("t3_text_distribution", *USABLE, body=f"{_TEXT_SUMMARY}\nUNION ALL {_EMPTY}")
 _FEATURES = "\nUNION ALL ".join(
     f"SELECT split, '{n}' AS feature, count_if({e}) AS n, round(count_if({e}) / count(*) * 100, 1) AS pct FROM {{source}} GROUP BY split HAVING count_if({e}) > 0"
     for n, e in _FLAGS.items()
@@ -641,6 +667,9 @@ oracle(
 
 # ---- model input
 RENDERED = ("conv", "prompts", "rendered")
+_EXTRA["words"] = "words AS (SELECT conv_id, regexp_extract_all(text, '[^\\s]+') AS w, len(regexp_extract_all(text, '[^\\s]+')) AS n FROM rendered)"
+_EXTRA["placed"] = "placed AS (SELECT conv_id, unnest(w) AS token, unnest(range(1, n + 1)) AS p FROM words)"
+_EXTRA["numbered"] = "numbered AS (SELECT token, row_number() OVER (ORDER BY c DESC, token) AS token_id FROM (SELECT token, count(*) AS c FROM placed GROUP BY token))"
 oracle("i1_render_conversations", *RENDERED, body="SELECT conv_id, text FROM rendered")
 _CHAT_TEXT = "concat('<s>[INST] ', system, chr(10), user_text, ' [/INST] ', sql, '</s>')"
 oracle("i1_render_messages", *USABLE, "chat", body=f"SELECT id, md5({_CHAT_TEXT}) AS text_md5 FROM chat")
@@ -662,6 +691,18 @@ oracle(
   round(count_if(n > 60) / count(*) * 100, 1) AS pct_truncated
 FROM (SELECT {n_tokens(_CHAT_TEXT)} AS n, {n_tokens("concat('<s>[INST] ', system, chr(10), user_text, ' [/INST]')")} AS p FROM chat)""",
 )
+oracle(
+    "i3_model_tensors", *RENDERED, "words", "placed", "numbered",
+    body="""SELECT conv_id, s AS input_ids, rtrim(concat(repeat('1 ', least(n, 64)), repeat('0 ', greatest(64 - n, 0)))) AS attention_mask, s AS labels FROM (
+  SELECT w.conv_id, n, array_to_string(list_concat(coalesce(ids, []), list_transform(range(least(n, 64), 64), lambda x: 0)), ' ') AS s
+  FROM words w LEFT JOIN (
+    SELECT conv_id, list(token_id ORDER BY p) AS ids FROM placed JOIN numbered USING (token) WHERE p <= 64 GROUP BY conv_id) k USING (conv_id))""",
+)
+oracle(
+    "i4_load_training_data", *USABLE, "chat",
+    body=f"""SELECT CASE WHEN source = 'dev' THEN 'validation' ELSE 'train' END AS side, count(*) AS n, cast(sum(length(t)) AS bigint) AS chars, max(md5(t)) AS last_md5
+FROM (SELECT source, {_CHAT_TEXT} AS t FROM chat) GROUP BY 1""",
+)
 _PG_TEXT = f"concat('<s>[INST] ', {q(fv.SYSTEM_PROMPT)}, chr(10), {_PG_USER}, ' [/INST] ', pg_sql, '</s>')"
 oracle(
     "i4_training_text", *_PG,

@@ -85,6 +85,36 @@ def s1_example_arrays(spark, sf):
     return readers.array_documents(documents, "body", "doc").select("doc", "db_id", "question", "query")
 
 
+def _array_files(spark, sf):
+    """Example array files of 5,000 orders each; every third one is cut off in its middle."""
+    rows = _examples(spark, sf).select(F.floor(F.col("id") / 5000).alias("doc"), F.struct("db_id", "question", "query").alias("r"))
+    body = rows.groupBy("doc").agg(F.to_json(F.collect_list("r")).alias("body"))
+    cut = F.when(F.col("doc") % 3 == 2, F.substring("body", F.lit(1), F.floor(F.length("body") / 2).cast("int"))).otherwise(F.col("body"))
+    path = scratch_path(spark, "arrays")
+    body.select("doc", cut.alias("body")).write.partitionBy("doc").text(path)
+    return path
+
+
+def _doc_of_file():
+    return F.regexp_extract("file", "doc=([0-9]+)", 1).cast("long").alias("doc")
+
+
+@registered
+def s1_example_files(spark, sf):
+    """Array files read back, broken ones left out; examples counted and hashed per file."""
+    good, _ = readers.read_example_files(spark, _array_files(spark, sf))
+    return good.groupBy(_doc_of_file()).agg(
+        F.count(F.lit(1)).alias("n"), F.sum(F.length("query")).alias("query_chars"), F.min("question").alias("first_question"))
+
+
+@registered
+def e5_source_errors(spark, sf):
+    """Files that are no JSON and a source that does not exist."""
+    _, rejects = readers.read_example_files(spark, _array_files(spark, sf))
+    errors = ex.source_errors(spark, {"dev": None}, rejects)
+    return errors.select(F.regexp_replace("source", "^.*/doc=([0-9]+)/.*$", "$1").alias("source"), "error")
+
+
 @registered
 def s2_jsonl_strict(spark, sf):
     """Write chat JSON lines, read them back with the strict reader."""
@@ -125,10 +155,12 @@ def s4_ddl_corpus(spark, sf):
 
 @registered
 def s5_catalogue(spark, sf):
-    """Catalogue rows with lower-cased table names."""
+    """Catalogue array files of at most 1,000 databases, read back: rows with lower-cased table names."""
     path = scratch_path(spark, "catalogue")
-    _catalogue(spark, sf).write.json(path)
-    back = spark.read.schema(readers.CATALOGUE).json(path)
+    doc = F.pmod(F.xxhash64("db_id"), F.greatest(F.lit(1), F.lit(_catalogue(spark, sf).count() // 500))).alias("doc")
+    arrays = _catalogue(spark, sf).groupBy(doc).agg(F.to_json(F.collect_list(F.struct("db_id", "table_names_original"))).alias("body"))
+    arrays.write.partitionBy("doc").text(path)
+    back = readers.read_catalogue(spark, path)
     return back.select("db_id", F.explode("table_names_original").alias("t")).select("db_id", F.lower("t").alias("table_name"))
 
 
@@ -163,10 +195,10 @@ def s8_write_reports(spark, sf):
 
 @registered
 def v1_manifest(spark, sf):
-    """Expected against written files: presence and lines."""
+    """Expected against written files: presence, size, lines, and whether all are there."""
     path = scratch_path(spark, "manifest")
-    writers.write_jsonl(_cleaned(spark, sf), path, "source")
-    files = readers.list_files(spark, path, "*.json")
+    _cleaned(spark, sf).select("source", "question").write.partitionBy("source").text(path)
+    files = readers.list_files(spark, path, "*.txt")
     lines = spark.read.text(path, recursiveFileLookup=True).groupBy(F.col("_metadata.file_path").alias("p")).agg(
         F.count(F.lit(1)).alias("examples")
     )
@@ -175,7 +207,9 @@ def v1_manifest(spark, sf):
         F.sum("size_bytes").alias("size_bytes"), F.sum("examples").alias("examples")
     )
     expected = spark.createDataFrame([("train",), ("dev",), ("others",)], "name string")
-    return checks.manifest_check(expected, observed).select("name", "present", "examples")
+    manifest = checks.manifest_check(expected, observed, 3)
+    # one row for the whole manifest
+    return manifest.join(F.broadcast(checks.all_present(manifest)))
 
 
 @registered
@@ -269,6 +303,29 @@ def d7_index_statistics(spark, sf):
     return sch.index_statistics(used.join(view(spark, sf, "schema_files"), "db_id", "left"))
 
 
+def _ddl_folders(spark, sf):
+    """A DDL folder per supplier: every seventh file is no UTF-8 text, every fifth folder holds another file only."""
+    key = F.regexp_extract("db_id", "([0-9]+)$", 1).cast("long")
+    rows = view(spark, sf, "supplier_ddl").withColumn("k", key)
+    text = F.when(F.col("k") % 7 == 3, F.concat(F.col("ddl"), F.unhex(F.lit("FFFE20")).cast("string"))).otherwise(F.col("ddl"))
+    path = scratch_path(spark, "ddl-folders")
+    writers.write_ddl_corpus(rows.where("k % 5 <> 2").select("db_id", text.alias("ddl")), path)
+    rows.where("k % 5 = 2").select("db_id", F.lit("{}").alias("value")).write.mode("append").partitionBy("db_id").option("ignoreNullFields", True).json(path)
+    return readers.ddl_outcomes(spark, path, "*.txt")
+
+
+@registered
+def d6_schema_rejects(spark, sf):
+    """Databases that are not in the index, with the reason; from files."""
+    return sch.schema_rejects(_ddl_folders(spark, sf))
+
+
+@registered
+def d7_index_statistics_files(spark, sf):
+    """The counters over DDL files of which some are missing and some are no text."""
+    return sch.index_statistics(_ddl_folders(spark, sf))
+
+
 @registered
 def d8_cross_reference(spark, sf):
     compared = sch.cross_reference(_schemas(spark, sf), _catalogue(spark, sf))
@@ -519,9 +576,9 @@ def t3_document_distribution(spark, sf):
 
 @registered
 def t3_text_distribution(spark, sf):
-    """All six text distributions per source; schema text counted per example that carries it."""
+    """All six text distributions per source; schema text counted per example that carries it. An empty source has zeros."""
     usable = _usable(spark, sf).withColumn("split", F.col("source"))
-    return stats.text_distribution(usable, _schemas(spark, sf))
+    return stats.with_expected(stats.text_distribution(usable, _schemas(spark, sf)), "split", ("train", "dev", "held back"))
 
 
 @registered
@@ -591,6 +648,28 @@ def i3_budget_summary(spark, sf):
     return model_input.budget_summary(budget)
 
 
+@registered
+def i3_model_tensors(spark, sf):
+    """Input ids, attention mask and labels of every conversation, 64 tokens long; ids by falling token frequency."""
+    rendered = model_input.render_conversations(table(spark, sf, "conversations")).select("conv_id", "text")
+    tensors = model_input.model_tensors(rendered, model_input.token_dictionary(rendered), "conv_id", max_length=64)
+    joined = lambda c: F.array_join(F.transform(c, lambda x: x.cast("string")), " ").alias(c)
+    return tensors.select("conv_id", joined("input_ids"), joined("attention_mask"), joined("labels"))
+
+
+@registered
+def i4_load_training_data(spark, sf):
+    """Chat files of both sides, read by the tolerant reader and rendered."""
+    path = scratch_path(spark, "chat")
+    chat = ex.convert(_examples(spark, sf), _schemas(spark, sf)).withColumn("split", F.when(F.col("source") == "dev", "validation").otherwise("train"))
+    writers.write_chat(chat.select("split", "system", "user", "assistant"), path)
+    sides = ("train", "validation")
+    read = [readers.read_jsonl_tolerant(spark, f"{path}/split={side}")[0] for side in sides]
+    loaded = model_input.load_training_data(*read, [])
+    rows = [df.select(F.lit(side).alias("side"), F.length("text").alias("n"), F.md5("text").alias("m")) for side, df in zip(sides, loaded, strict=True)]
+    return rows[0].unionByName(rows[1]).groupBy("side").agg(F.count(F.lit(1)).alias("n"), F.sum("n").alias("chars"), F.max("m").alias("last_md5"))
+
+
 @registered
 def i4_training_text(spark, sf):
     """Both sources rewritten and budgeted: rows, tokens and truncated rows per source."""

@@ -52,6 +52,21 @@ def read_example_array(spark: SparkSession, path: str | list[str], schema: T.Str
     return rows.na.fill("", [f.name for f in schema.fields if isinstance(f.dataType, T.StringType)])
 
 
+def read_example_files(spark: SparkSession, path: str | list[str]) -> tuple[DataFrame, DataFrame]:
+    """Example array files, and a reject row ``(file, reason)`` for every file that is not JSON.
+
+    A broken file gives no examples and stops nothing; the other files are read in full.
+    """
+    broken = "_not_json"
+    schema = T.StructType([*EXAMPLE.fields, T.StructField(broken, T.StringType())])
+    options = {**JSON_OPTIONS, "multiLine": True, "mode": "PERMISSIVE", "columnNameOfCorruptRecord": broken}
+    rows = spark.read.schema(schema).options(**options).json(path).withColumn("file", F.col("_metadata.file_path"))
+    good = rows.where(F.col(broken).isNull()).drop(broken).na.fill("", ["db_id", "question", "query"])
+    # a read of the text of broken files alone is not allowed, so the test names a field as well
+    rejects = rows.where(F.col(broken).isNotNull() & F.col("db_id").isNull()).select("file", F.lit("invalid JSON").alias("reason")).distinct()
+    return good, rejects
+
+
 def read_example_array_or_none(spark: SparkSession, path: str) -> DataFrame | None:
     """None for a missing file; a broken file fails when it is read."""
     return read_example_array(spark, path) if path_exists(spark, path) else None
@@ -176,6 +191,25 @@ def read_ddl_corpus(spark: SparkSession, root: str, file_name: str = "schema.sql
     return named.groupBy("db_id").agg(F.max_by("ddl", "path").alias("ddl"))
 
 
+def ddl_outcomes(spark: SparkSession, root: str, file_name: str = "schema.sql") -> DataFrame:
+    """``(db_id, ddl, error)``, one row per database directory below ``root``, whatever became of its DDL.
+
+    ``error`` is ``not UTF-8`` for a file whose bytes are no text (its ``ddl`` is null), and null otherwise;
+    a directory without a DDL file has neither. Files of other names are listed and not read. Spark lists no
+    files of zero bytes: such a DDL file counts as missing, and a directory of nothing else is not seen.
+    """
+    listed = list_files(spark, root).select("db_id").distinct()
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", file_name).load(root)
+    text = F.col("content").cast("string")
+    valid = F.is_valid_utf8(text)
+    read = files.select(
+        _database_of(F.col("_metadata.file_path")).alias("db_id"), "path",
+        F.struct(F.when(valid, text).alias("ddl"), F.when(~valid, F.lit("not UTF-8")).alias("error")).alias("r"),
+    )
+    last = read.groupBy("db_id").agg(F.max_by("r", "path").alias("r"))
+    return listed.join(last, "db_id", "left").select("db_id", "r.ddl", "r.error")
+
+
 def _database_of(path: Column) -> Column:
     """The database named by a file's folder: percent escapes decoded, ``+`` as it is, without ``db_id=``."""
     folder = F.replace(F.element_at(F.split(path, "/"), -2), F.lit("+"), F.lit("%2B"))
@@ -224,7 +258,7 @@ def read_catalogue(spark: SparkSession, path: str) -> DataFrame:
 def read_demo_catalogue(spark: SparkSession, json_path: str, ddl_dir: str | None = None) -> DataFrame:
     """Demo catalogue: one JSON object keyed by schema name, optionally with its DDL files."""
     text = spark.read.text(json_path, wholetext=True)
-    entries = text.select(F.explode(F.from_json("value", DEMO_ENTRY)).alias("name", "e")).where(
+    entries = text.select(F.explode(F.from_json("value", DEMO_ENTRY, JSON_OPTIONS)).alias("name", "e")).where(
         F.col("e.sample_questions").isNotNull()
     )
     flat = entries.select(

@@ -11,7 +11,7 @@ from sqlcorpus.functions.sqltext import last_content
 from sqlcorpus.functions.text import strip
 from sqlcorpus.operators.examples import chat_rows
 from sqlcorpus.operators.rewrite import rewrite_chat
-from sqlcorpus.sources.readers import CHAT, classify_lines
+from sqlcorpus.sources.readers import CHAT, JSON_OPTIONS, classify_lines
 
 
 def read_landing(spark: SparkSession, path: str, max_files_per_trigger: int = 1000) -> DataFrame:
@@ -22,9 +22,13 @@ def read_landing(spark: SparkSession, path: str, max_files_per_trigger: int = 10
 
 def split_lines(lines: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Chat columns of good lines, and the broken lines. Works on batches and streams alike."""
-    marked = classify_lines(lines)
+    return split_classified(classify_lines(lines))
+
+
+def split_classified(marked: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The same for lines that ``classify_lines`` has marked."""
     good = marked.where(F.col("line_status") == "ok").select(
-        "file", F.from_json(strip(F.col("line")), CHAT)["messages"].alias("messages")
+        "file", F.from_json(strip(F.col("line")), CHAT, JSON_OPTIONS)["messages"].alias("messages")
     )
     chat = good.select("file", *[last_content(F.col("messages"), role).alias(role) for role in fv.ROLES])
     broken = marked.where(F.col("line_status") == "broken").select("file", "line")
@@ -35,16 +39,19 @@ def start_rewrite(lines: DataFrame, out: str, quarantine: str, checkpoint: str)
     """Rewrite good lines to JSON lines and append broken ones to the quarantine.
 
     Each micro-batch has its own folder and overwrites it, so a batch repeated after a failure leaves
-    the same files.
+    the same files. Its lines are read and classified once and kept for both writes; what a lost executor
+    kept is read again.
     """
 
     def write_batch(batch: DataFrame, batch_id: int) -> None:
-        chat, broken = split_lines(batch)
+        marked = classify_lines(batch).persist()
+        chat, broken = split_classified(marked)
         rewritten = rewrite_chat(chat).select(
             "system", F.col("new_user").alias("user"), F.col("new_assistant").alias("assistant")
         )
         chat_rows(rewritten).write.mode("overwrite").json(f"{out}/batch={batch_id}")
         broken.write.mode("overwrite").json(f"{quarantine}/batch={batch_id}")
+        marked.unpersist()
 
     return (
         lines.writeStream.foreachBatch(write_batch)

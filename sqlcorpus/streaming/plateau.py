@@ -21,12 +21,15 @@ def watch_plateau(
     """Stream ``(run_id, step, loss)`` to one verdict per evaluation, until the run is told to stop.
 
     The state is three values per run, however long the run is. Evaluations of a run must arrive in
-    step order across micro-batches; inside a batch they are sorted here.
+    step order across micro-batches; inside a batch they are sorted here. As in the batch form, nulls are
+    ignored, a NaN never improves, and nothing improves on a first NaN.
     """
+    # pandas cannot tell nulls from NaN, so nulls leave before
+    present = evaluations.where(evaluations["loss"].isNotNull())
 
     def walk(key: tuple[Any, ...], batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         best, wait, stopped = state.get if state.exists else (None, 0, False)
-        arrived = pd.concat(list(batches), ignore_index=True).dropna(subset=["loss"]).sort_values("step")
+        arrived = pd.concat(list(batches), ignore_index=True).sort_values("step")
         out = []
         for step, loss in zip(arrived["step"], arrived["loss"]):
             if stopped:
@@ -40,6 +43,6 @@ def watch_plateau(
         state.update((best, wait, stopped))
         yield pd.DataFrame(out, columns=["run_id", "step", "best_loss", "wait_count", "should_stop"])
 
-    return evaluations.groupBy("run_id").applyInPandasWithState(
+    return present.groupBy("run_id").applyInPandasWithState(
         walk, OUTPUT, STATE, "append", GroupStateTimeout.NoTimeout
     )

@@ -50,12 +50,12 @@ def test_chat_rows(tiny):
     assert rows[0].messages[2].content == "SELECT 1;"
 
 
-def test_sources(tiny):
+def test_sources(spark, tiny):
     examples, _ = tiny
     raw = examples.drop("source")
     sources = {"train": raw.where("id < 3"), "dev": None}
     assert {r.source for r in ex.union_sources(sources).collect()} == {"train"}
-    assert ex.source_errors(sources) == {"dev": "File not found: dev"}
+    assert [tuple(r) for r in ex.source_errors(spark, sources).collect()] == [("dev", "File not found: dev")]
 
 
 def test_rewritten_forms_agree(tiny):

@@ -183,3 +183,31 @@ def test_one_row_per_database(spark, tmp_path):
         (tmp_path / root / "shop").mkdir(parents=True)
         (tmp_path / root / "shop" / "schema.sql").write_text(f"-- {root}", encoding="utf-8")
     assert [tuple(r) for r in readers.read_ddl_corpus(spark, str(tmp_path)).collect()] == [("shop", "-- b")]
+
+
+def test_broken_array_file_gives_a_reject_row(spark, tmp_path):
+    folder = tmp_path / "arrays"
+    folder.mkdir()
+    (folder / "a.json").write_text('[{"db_id": "d", "question": "q", "query": "SELECT 1"},\n {"db_id": "e"}]')
+    (folder / "b.json").write_text('[{"db_id": "d", "question": "q"')
+    (folder / "c.json").write_text("[]")
+    good, rejects = readers.read_example_files(spark, str(folder))
+    assert sorted((r.db_id, r.question, r.query) for r in good.collect()) == [("d", "q", "SELECT 1"), ("e", "", "")]
+    assert [(r.file.rsplit("/", 1)[1], r.reason) for r in rejects.collect()] == [("b.json", "invalid JSON")]
+
+
+def test_ddl_outcomes_tell_missing_from_unreadable(spark, tmp_path):
+    from sqlcorpus.operators import schemas as sch
+    from sqlcorpus.plans.corpus import reject_rows
+
+    for name, file, body in (("ok", "schema.sql", "CREATE TABLE é (a int);".encode()), ("bad", "schema.sql", b"CREATE \xff\xfe"), ("none", "other.txt", b"x")):
+        (tmp_path / name).mkdir()
+        (tmp_path / name / file).write_bytes(body)
+    outcomes = readers.ddl_outcomes(spark, str(tmp_path))
+    assert {r.db_id: (r.ddl, r.error) for r in outcomes.collect()} == {
+        "ok": ("CREATE TABLE é (a int);", None), "bad": (None, "not UTF-8"), "none": (None, None)}
+    row = sch.index_statistics(outcomes).first()
+    assert (row.total_found, row.schema_files_found, row.successfully_parsed, row.missing_schema, row.parse_errors) == (3, 2, 1, 1, 1)
+    errors = spark.createDataFrame([("dev", "File not found: dev")], "source string, error string")
+    assert {tuple(r) for r in reject_rows(outcomes, errors).collect()} == {
+        ("schema", "bad", "not UTF-8"), ("schema", "none", "missing schema"), ("source", "dev", "File not found: dev")}

@@ -116,3 +116,29 @@ def test_class_counts_sum_to_total(spark):
     rows = stats.report_classes(df).collect()
     assert sum(r.n for r in rows) == 12 and {r.pct for r in rows} == {25.0}
     assert {r.feature for r in stats.feature_counts(df).collect()} == {"has_select", "has_join", "has_subquery", "has_max", "has_aggregation"}
+
+
+def test_token_dictionary_and_tensors(spark):
+    from collections import Counter
+
+    from sqlcorpus.operators import model_input
+
+    texts = {i: " ".join(f"w{(i * j) % 11}" for j in range(i)) for i in range(30)} | {30: None, 31: ""}
+    df = spark.createDataFrame(list(texts.items()), "id long, text string").repartition(3)
+    counts = Counter(w for t in texts.values() for w in (t or "").split())
+    want = {w: i + 1 for i, (w, _) in enumerate(sorted(counts.items(), key=lambda x: (-x[1], x[0])))}
+    dictionary = model_input.token_dictionary(df)
+    assert {r.token: r.token_id for r in dictionary.collect()} == want
+    got = {r.id: r for r in model_input.model_tensors(df, dictionary, "id", max_length=9).collect()}
+    for i, t in texts.items():
+        ids = [want[w] for w in (t or "").split()][:9]
+        pad = [0] * (9 - len(ids))
+        assert (got[i].input_ids, got[i].attention_mask, got[i].labels) == (ids + pad, [1] * len(ids) + pad, ids + pad)
+
+
+def test_an_empty_split_has_zeros(spark):
+    from sqlcorpus.operators import stats
+
+    rows = spark.createDataFrame([("train", m, 2, 1, 3, 2.0, 3) for m in stats.TEXT_METRICS], "split string, metric string, n long, min long, max long, avg double, median long")
+    got = {(r.split, r.metric): tuple(r)[2:] for r in stats.with_expected(rows, "split", ("train", "test")).collect()}
+    assert got == {(s, m): (2, 1, 3, 2.0, 3) if s == "train" else (0, 0, 0, 0.0, 0) for s in ("train", "test") for m in stats.TEXT_METRICS}

@@ -125,3 +125,36 @@ def test_landing_stream_rewrites_and_keeps_broken_lines(spark, tmp_path):
     assert sorted(m[2] for m in out) == ["SELECT 1", "SELECT CURRENT_DATE"]
     assert all("PRAGMA" not in m[1] and "BYTEA" in m[1] for m in out)
     assert [r.line for r in spark.read.schema("file string, line string").json(str(tmp_path / "bad")).collect()] == ["broken"]
+
+
+def test_long_lines_of_the_stream_are_not_lost(spark, tmp_path):
+    """A chat line longer than the parser's usual limit of 20,000,000 characters comes out whole."""
+    import json
+
+    from sqlcorpus.streaming.landing import split_lines
+
+    text = "x" * 21_000_000
+    line = json.dumps({"messages": [{"role": "system", "content": "s"}, {"role": "user", "content": text}, {"role": "assistant", "content": "a"}]})
+    (tmp_path / "long.jsonl").write_text(line + "\nbroken\n")
+    lines = spark.read.text(str(tmp_path)).selectExpr("'f' AS file", "value AS line")
+    chat, broken = split_lines(lines)
+    assert [tuple(r) for r in chat.selectExpr("length(system)", "length(user)", "length(assistant)").collect()] == [(1, 21_000_000, 1)]
+    assert broken.count() == 1
+
+
+def test_stream_and_batch_agree_on_nan_and_null(spark, tmp_path):
+    from sqlcorpus.streaming.plateau import watch_plateau
+
+    nan = float("nan")
+    series = {1: [1.0, nan, nan, nan, 0.5], 2: [nan, 1.0, 0.5, 0.2, 0.1], 3: [1.0, None, None, None, 0.5, 0.4], 4: [1.0, nan, 0.5, nan, None, 0.5]}
+    rows = [(run, step, v) for run, values in series.items() for step, v in enumerate(values)]
+    schema = "run_id long, step long, loss double"
+    log = spark.createDataFrame(rows, schema)
+    log.coalesce(1).write.parquet(str(tmp_path / "in"))
+    query = (
+        watch_plateau(spark.readStream.schema(schema).parquet(str(tmp_path / "in"))).writeStream.format("memory").queryName("nan_verdicts")
+        .outputMode("append").option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start())
+    query.awaitTermination(120)
+    stops = {r.run_id: r.step for r in spark.sql("SELECT * FROM nan_verdicts WHERE should_stop").collect()}
+    batch = {r.run_id: r.stop_step for r in trainlog.plateau(log).collect() if r.stop_step is not None}
+    assert stops == batch == {1: 3, 2: 3}
