@@ -49,6 +49,13 @@ def free_name(df: DataFrame, name: str) -> str:
     return name
 
 
+def unused(df: DataFrame, name: str) -> str:
+    """``name``; an error if ``df`` has such a column, which a new one would hide."""
+    if name != free_name(df, name):
+        raise ValueError(f"there is a column {name}; give another name")
+    return name
+
+
 #: Bits of one bitmap of the SQL bitmap functions.
 BLOCK_BITS = 32768
 

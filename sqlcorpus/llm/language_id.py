@@ -20,6 +20,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from sqlcorpus.llm.common import unused
 from sqlcorpus.session import stage
 
 ORDERS = (1, 2, 3, 4)
@@ -109,7 +110,8 @@ class LanguageModel:
         self.blocks, self.buckets = blocks, buckets
 
     def predict(self, docs: DataFrame, text_col: str = "text", name: str = "language") -> DataFrame:
-        """``docs`` with a struct ``name`` of ``lang_pred`` and ``score``, the posterior of that language."""
+        """``docs`` with a struct ``name`` (which must be free) of ``lang_pred`` and ``score``, the posterior of that language."""
+        unused(docs, name)
         shared, buckets = self.blocks, self.buckets
 
         def best_of(counts, found):

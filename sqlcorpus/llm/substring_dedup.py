@@ -30,7 +30,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sqlcorpus.llm.common import BLOCK_BITS, bitmaps
+from sqlcorpus.llm.common import BLOCK_BITS, bitmaps, unused
 from sqlcorpus.session import stage
 
 WINDOW = 20
@@ -302,7 +302,8 @@ def _kept(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.DataFra
 
 
 def remove(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", name: str = "removal") -> DataFrame:
-    """``docs`` with a struct ``name``: ``n_words, n_removed, kept`` (kept words joined by a space) ``, kept_sha256``."""
+    """``docs`` with a struct ``name`` (which must be free): ``n_words, n_removed, kept`` (kept words joined by a space) ``, kept_sha256``."""
+    unused(docs, name)
     inner = docs.toDF(*[f"c{i}" for i in range(len(docs.columns))])
     at = {c: f"c{i}" for i, c in enumerate(docs.columns)}
     keyed = inner.withColumns({"_id": F.col(at[id_col]).cast("long"), "_key": F.xxhash64(at[text_col])})

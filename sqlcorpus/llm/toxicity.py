@@ -26,7 +26,7 @@ from pyspark.ml.regression import IsotonicRegression
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from sqlcorpus.llm.common import free_name
+from sqlcorpus.llm.common import free_name, unused
 from sqlcorpus.session import stage
 
 #: Bounds of what is learned: labelled rows, lexicon entries, trees and their depth.
@@ -169,8 +169,7 @@ class ToxicityModel:
 
     def score(self, docs: DataFrame, text_col: str = "text", name: str = "score") -> DataFrame:
         """``docs`` with a column ``name`` between 0 and 1; ``name`` must be free."""
-        if name != free_name(docs, name):
-            raise ValueError(f"the documents have a column {name}; give another name")
+        unused(docs, name)
         if self.trees is None:
             return docs.withColumn(name, F.lit(self.prior))
         inner = docs.toDF(*[f"c{i}" for i in range(len(docs.columns))])

@@ -110,25 +110,73 @@ def test_links_and_components(spark):
 
 def test_decontaminate(spark, odd, empty):
     items = spark.createDataFrame([(1, odd.where("doc_id = 6").first().text), (2, "one two"), (3, None), (3, ""), (None, "straße")], "item_id bigint, text string")
-    got = {(r.doc_id, r.text): r.found for r in decontaminate.with_hits(odd, items).collect()}
+    got = {(r.doc_id, r.text): r.matches for r in decontaminate.with_hits(odd, items, name="matches").collect()}
     for (_, text), found in got.items():
         words = decontaminate.words_of(text)
         hit, listed = set(), set()
         for item, t in pairs(items, "item_id", "text"):
-            for window in decontaminate.windows_of(decontaminate.words_of(t)):
-                w = window.split()
+            own = decontaminate.words_of(t)
+            for w in [own[i : i + 13] for i in range(max(1, len(own) - 12))] if own else []:
                 for i in range(len(words) - len(w) + 1):
                     if words[i : i + len(w)] == w:
                         hit.update(range(i, i + len(w)))
                         listed |= {str(item)} if item else set()
         assert (found.n_words, found.hits, found["items"]) == (len(words), sorted(hit), sorted(listed))
         assert decontaminate.words_of(" ".join(text[s.start : s.end] for s in found.spans) if text else "") == [words[i] for i in sorted(hit)]
-    blocks = decontaminate.with_hits(odd, items, limit=40)
-    assert {(r.doc_id, r.text, tuple(r.found.hits)) for r in blocks.collect()} == {(*k, tuple(v.hits)) for k, v in got.items()}
+    blocks = decontaminate.with_hits(odd, items, limit=40, name="matches")
+    assert {(r.doc_id, r.text, tuple(r.matches.hits)) for r in blocks.collect()} == {(*k, tuple(v.hits)) for k, v in got.items()}
     assert decontaminate.clean(odd, items).columns == odd.columns
     assert decontaminate.clean(odd, items.limit(0)).count() == odd.count() and decontaminate.clean(empty, items).count() == 0
 
 
+def test_random_windows(spark):
+    """Few distinct words, so that pieces repeat within items and documents, and runs of 12, 13 and more words occur."""
+    rng = random.Random(9)
+    items = [[rng.choice("ab") + str(rng.randint(0, 3)) for _ in range(rng.choice([1, 3, 7, 12, 13, 14, 40, 90]))] for _ in range(60)] + [["same"] * 30]
+    docs = []
+    for i in range(300):
+        words = [rng.choice("abc") + str(rng.randint(0, 3)) for _ in range(rng.randint(0, 40))]
+        for own in rng.choices(items, k=2):
+            a = rng.randint(0, len(own) - 1)
+            words += own[a : a + rng.choice([6, 7, 12, 13, 14, 30, 90])] + [rng.choice(["x", "a1"])]
+        docs.append((i, " ".join(words + ["same"] * rng.choice([0, 0, 12, 13, 50]))))
+    frame = spark.createDataFrame([(i, " ".join(w)) for i, w in enumerate(items)], "item_id bigint, text string")
+    plan = decontaminate.with_hits(spark.createDataFrame(docs, "doc_id bigint, text string"), frame)
+    assert plan._jdf.queryExecution().executedPlan().toString().count("ArrowEvalPython") == 1
+    for r in plan.collect():
+        words, hit, listed = r.text.split(), set(), set()
+        for item, own in enumerate(items):
+            for w in {tuple(own[i : i + 13]) for i in range(max(1, len(own) - 12))}:
+                for i in range(len(words) - len(w) + 1):
+                    if tuple(words[i : i + len(w)]) == w:
+                        hit.update(range(i, i + len(w)))
+                        listed.add(str(item))
+        assert (r.found.hits, r.found["items"]) == (sorted(hit), sorted(listed))
+
+
+def test_taken_names_are_errors(spark, odd):
+    taken = odd.withColumnRenamed("c0", "language").withColumnRenamed("_id", "removal")
+    model = language_id.fit(odd)
+    for add in (
+        lambda: decontaminate.with_hits(taken, odd.selectExpr("doc_id AS item_id", "text")), lambda: model.predict(taken),
+        lambda: substring_dedup.remove(taken), lambda: toxicity.ToxicityModel(0.0).score(taken),
+    ):
+        with pytest.raises(ValueError, match="give another name"):
+            add()
+
+
+@pytest.mark.parametrize("apply", [
+    exact_dedup.deduplicate, simhash.deduplicate, line_dedup.remove, lambda d: decontaminate.clean(d, d.selectExpr("doc_id AS item_id", "text")),
+    lambda d: toxicity.keep_clean(d, toxicity.ToxicityModel(0.0)), lambda d: substring_dedup.remove(d, name="r").drop("r")])
+def test_filters_keep_columns_of_any_name(spark, apply):
+    names = ["doc_id", "text", "found", "score", "c0", "c1", "_row", "_fp", "_sha", "_id", "_text", "norm", "key", "row_key", "spans", "features", "_out"]
+    rows = [(i, f"text number {i} of some words", *[f"{n} {i}" for n in names[2:]]) for i in range(5)]
+    df = spark.createDataFrame(rows, "doc_id bigint, " + ", ".join(f"{n} string" for n in names[1:]))
+    got = apply(df)
+    assert got.columns == names
+    assert {tuple(r)[2:] for r in got.collect()} <= {r[2:] for r in rows}
+
+
 def test_packing(odd, empty):
     from tokenizers import Tokenizer
 
