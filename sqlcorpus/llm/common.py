@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import functools
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -56,6 +58,27 @@ def unused(df: DataFrame, name: str) -> str:
     return name
 
 
+def released(work):
+    """``work`` on a task's batches; what it held then goes back to the system.
+
+    Python workers live on after a task, and allocators would keep the memory of the largest one for good.
+    """
+
+    @functools.wraps(work)
+    def run(batches):
+        import ctypes
+
+        import pyarrow as pa
+
+        yield from work(batches)
+        pa.default_memory_pool().release_unused()
+        trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # only in the GNU library
+        if trim:
+            trim(0)
+
+    return run
+
+
 #: Bits of one bitmap of the SQL bitmap functions.
 BLOCK_BITS = 32768
 

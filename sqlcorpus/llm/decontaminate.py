@@ -25,7 +25,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from sqlcorpus.llm.common import free_name, unused
+from sqlcorpus.llm.common import free_name, released, unused
 from sqlcorpus.session import stage
 
 WINDOW = 13
@@ -127,7 +127,7 @@ def _scanner(block, size: int):
         for texts in batches:
             yield pd.DataFrame([of(None if pd.isna(t) else t) for t in texts], columns=["n_words", "hits", "items", "spans"])
 
-    return F.pandas_udf(scan, FOUND)
+    return F.pandas_udf(released(scan), FOUND)
 
 
 def with_hits(

@@ -23,15 +23,16 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
+from sqlcorpus.llm.common import released
 from sqlcorpus.session import stage
 
 LENGTH = 2048
 WINDOWS = 64
 END = 1
 #: Words and pieces whose ids a task remembers (about 150 bytes each), characters and texts that are encoded at once.
-WORDS = 400_000
-SLICE_CHARS = 8 << 20
-DOCS = 2000
+WORDS = 200_000
+SLICE_CHARS = 2 << 20
+DOCS = 500
 #: Marks that are parted from words before words are looked up.
 MARKS = '.,;:!?"()-'
 #: FIXED VALUES: the steps of a tokenizer under which words are encoded one by one.
@@ -246,7 +247,7 @@ def pack(
     ``length`` is a power of two. The online pass is staged once; merging reads its left-over rows only.
     """
     texts = docs.select(F.col(id_col).cast("long"), F.col(text_col).cast("string"))
-    pieces = stage(texts.mapInArrow(_packer(tokenizer, length, windows, keep_ids), _PIECE), "pieces")
+    pieces = stage(texts.mapInArrow(released(_packer(tokenizer, length, windows, keep_ids)), _PIECE), "pieces")
     columns = ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset", "ids"]
     closed = pieces.where("NOT left_over").withColumn("sequence_id", F.col("part").cast("long") * (1 << 32) + F.col("window"))
     merged = merge(pieces.where("left_over"), length)

@@ -25,7 +25,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from sqlcorpus.llm.common import attach
+from sqlcorpus.llm.common import attach, released
 from sqlcorpus.session import stage
 
 SHINGLE = 3
@@ -64,7 +64,7 @@ def fingerprints(shingle: int = SHINGLE, seed: int = SEED):
         for texts in batches:
             yield pd.Series([one(None if pd.isna(t) else t) for t in texts], dtype="int64")
 
-    return F.pandas_udf(of, "long")
+    return F.pandas_udf(released(of), "long")
 
 
 def unary(fp: Column) -> Column:

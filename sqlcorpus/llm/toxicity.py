@@ -26,7 +26,7 @@ from pyspark.ml.regression import IsotonicRegression
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from sqlcorpus.llm.common import free_name, unused
+from sqlcorpus.llm.common import free_name, released, unused
 from sqlcorpus.session import stage
 
 #: Bounds of what is learned: labelled rows, lexicon entries, trees and their depth.
@@ -133,7 +133,7 @@ def feature_udf(lexicon: list[tuple[str, bool]]):
             for r in raws:
                 k = known.get(r)
                 if k is None:
-                    if len(known) > 300_000:
+                    if len(known) > 100_000:
                         known.clear()
                     k = known[r] = int(kind(r))
                 kinds.append(k)
@@ -158,7 +158,7 @@ def feature_udf(lexicon: list[tuple[str, bool]]):
         for texts in batches:
             yield pd.Series([one(None if pd.isna(t) else t) for t in texts])
 
-    return F.pandas_udf(of, "array<double>")
+    return F.pandas_udf(released(of), "array<double>")
 
 
 class ToxicityModel:
