@@ -25,7 +25,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from sqlcorpus.llm.common import attach
+from sqlcorpus.llm.common import attach, released
 from sqlcorpus.session import stage
 
 #: FIXED VALUES: what separates terms; the smoothing; the documents that a kept term needs; terms reported a group.
@@ -35,10 +35,10 @@ PRIOR = 5
 MIN_DOCS = 30
 TOP = 50
 #: Bytes of text that are split at once, counts that a task keeps before it sends them on.
-SLICE_BYTES = 16 << 20
+SLICE_BYTES = 8 << 20
 FLUSH = 2_000_000
 #: Counts of a shard, cells of a matrix, sources of a tile.
-SHARD_COUNTS = 2_000_000
+SHARD_COUNTS = 100_000
 CELLS = 4_000_000
 TILE = 1024
 _COUNTS = "lang string, source string, term string, n bigint, docs bigint"
@@ -101,7 +101,7 @@ def partial_counts(batches) -> Iterator:
 def kept_counts(docs: DataFrame, text_col: str, lang_col: str, source_col: str, min_docs: int) -> DataFrame:
     """``lang, source, term, n`` of kept terms with their ``total`` in the language; ``one`` marks one row a term."""
     texts = docs.select(*[F.coalesce(F.col(c).cast("string"), F.lit("")).alias(n) for c, n in ((lang_col, "lang"), (source_col, "source"), (text_col, "text"))])
-    counts = texts.mapInArrow(partial_counts, _COUNTS).repartition("lang", "term").groupBy("lang", "term", "source").agg(F.sum("n").alias("n"), F.sum("docs").alias("docs"))
+    counts = texts.mapInArrow(released(partial_counts), _COUNTS).repartition("lang", "term").groupBy("lang", "term", "source").agg(F.sum("n").alias("n"), F.sum("docs").alias("docs"))
     term = W.partitionBy("lang", "term")
     return (
         counts.withColumn("_docs", F.sum("docs").over(term)).withColumn("total", F.sum("n").over(term))
