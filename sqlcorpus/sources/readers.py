@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from sqlcorpus.functions.text import is_blank, strip
+from sqlcorpus.sources.arrays import read_arrays, read_strict_arrays
+from sqlcorpus.sources.jsontext import JSON_OPTIONS, is_valid_json
 
 EXAMPLE = T.StructType(
     [
@@ -24,10 +26,6 @@ CATALOGUE = T.StructType(
         T.StructField("table_names_original", T.ArrayType(T.StringType())),
     ]
 )
-#: Lengths without limit and the numbers of the usual JSON writers; text in single quotes is no JSON.
-JSON_OPTIONS = {
-    "maxStringLen": "2147483647", "maxNumLen": "2147483647", "allowNonNumericNumbers": "true", "allowSingleQuotes": "false",
-}
 DEMO_ENTRY = "map<string,struct<schema_file:string,name:string,description:string,tables:array<string>,sample_questions:array<string>>>"
 
 
@@ -42,29 +40,25 @@ def path_exists(spark: SparkSession, path: str) -> bool:
         raise
 
 
+def _filled(rows: DataFrame, schema: T.StructType) -> DataFrame:
+    return rows.na.fill("", [f.name for f in schema.fields if isinstance(f.dataType, T.StringType)])
+
+
 def read_example_array(spark: SparkSession, path: str | list[str], schema: T.StructType = EXAMPLE) -> DataFrame:
-    """Example files that hold one JSON array each; absent fields become empty text.
+    """Example files that hold one JSON array each, large ones read by many tasks; absent fields become empty text.
 
-    One array file is one task, since an array has no split points: write large corpora as JSON
-    lines or Parquet once, or as many array files.
+    The files are cut into records at once; a broken file fails the job that reads the rows.
     """
-    rows = spark.read.schema(schema).options(multiLine=True, mode="FAILFAST", **JSON_OPTIONS).json(path)
-    return rows.na.fill("", [f.name for f in schema.fields if isinstance(f.dataType, T.StringType)])
+    return _filled(read_strict_arrays(spark, path, schema, {"mode": "FAILFAST", **JSON_OPTIONS}), schema)
 
 
 def read_example_files(spark: SparkSession, path: str | list[str]) -> tuple[DataFrame, DataFrame]:
-    """Example array files, and a reject row ``(file, reason)`` for every file that is not JSON.
+    """Example array files, and a reject row ``(file, reason)`` for every file that is no array of objects.
 
     A broken file gives no examples and stops nothing; the other files are read in full.
     """
-    broken = "_not_json"
-    schema = T.StructType([*EXAMPLE.fields, T.StructField(broken, T.StringType())])
-    options = {**JSON_OPTIONS, "multiLine": True, "mode": "PERMISSIVE", "columnNameOfCorruptRecord": broken}
-    rows = spark.read.schema(schema).options(**options).json(path).withColumn("file", F.col("_metadata.file_path"))
-    good = rows.where(F.col(broken).isNull()).drop(broken).na.fill("", ["db_id", "question", "query"])
-    # a read of the text of broken files alone is not allowed, so the test names a field as well
-    rejects = rows.where(F.col(broken).isNotNull() & F.col("db_id").isNull()).select("file", F.lit("invalid JSON").alias("reason")).distinct()
-    return good, rejects
+    good, rejects = read_arrays(spark, path, EXAMPLE, JSON_OPTIONS)
+    return good.na.fill("", ["db_id", "question", "query"]), rejects
 
 
 def read_example_array_or_none(spark: SparkSession, path: str) -> DataFrame | None:
@@ -118,17 +112,6 @@ def with_line_numbers(lines: DataFrame, wanted: Column) -> DataFrame:
     )
 
 
-def is_valid_json(line: Column) -> Column:
-    """Whether the line is exactly one JSON value; repeated keys are allowed.
-
-    The parser ends with the first value, so the line is read as the first element of an array that a hash
-    of the line closes: with anything behind its value the second element is no longer that hash.
-    """
-    mark = F.xxhash64(line).cast("string")
-    values = F.from_json(F.concat(F.lit("["), line, F.lit(","), mark, F.lit("]")), "array<string>", JSON_OPTIONS)
-    return F.coalesce((F.size(values) == 2) & (F.get(values, F.lit(1)) == mark), F.lit(False))
-
-
 def classify_lines(lines: DataFrame, line_col: str = "line") -> DataFrame:
     """Add ``line_status``: ``ok``, ``blank`` or ``broken``."""
     line = F.col(line_col)
@@ -251,8 +234,8 @@ def line_counts(spark: SparkSession, paths: str | list[str]) -> DataFrame:
 
 
 def read_catalogue(spark: SparkSession, path: str) -> DataFrame:
-    """Catalogue of table names per database, one JSON array file."""
-    return spark.read.schema(CATALOGUE).options(multiLine=True, mode="FAILFAST", **JSON_OPTIONS).json(path)
+    """Catalogue of table names per database: JSON array files, large ones read by many tasks."""
+    return read_strict_arrays(spark, path, CATALOGUE, {"mode": "FAILFAST", **JSON_OPTIONS})
 
 
 def read_demo_catalogue(spark: SparkSession, json_path: str, ddl_dir: str | None = None) -> DataFrame:

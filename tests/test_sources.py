@@ -211,3 +211,61 @@ def test_ddl_outcomes_tell_missing_from_unreadable(spark, tmp_path):
     errors = spark.createDataFrame([("dev", "File not found: dev")], "source string, error string")
     assert {tuple(r) for r in reject_rows(outcomes, errors).collect()} == {
         ("schema", "bad", "not UTF-8"), ("schema", "none", "missing schema"), ("source", "dev", "File not found: dev")}
+
+
+def array_text(rng, n):
+    """A random array of objects: braces, quotes and backslashes in texts, inner objects and lists, any white space."""
+    pieces = ["}", "{", '"', "\\", "[", "]", ",", "},{", '\\"}', "é", "\n", " ", "x", "日本", ""]
+    text = lambda: "".join(rng.choice(pieces) for _ in range(rng.randrange(9)))
+    rows = []
+    for i in range(n):
+        row = {"db_id": f"d{i}", "question": text(), "query": text()}
+        if rng.random() < 0.3:
+            row["question_toks"] = [text() for _ in range(3)]
+        if rng.random() < 0.3:
+            row["sql"] = {"a": {text(): [1, {"b": text()}]}, "c": {}}
+        rows.append(row)
+    return json.dumps(rows, indent=rng.choice([None, 1]), ensure_ascii=rng.random() < 0.5) + rng.choice(["", "\n"])
+
+
+def test_one_array_file_is_read_by_several_tasks(spark, tmp_path):
+    """Blocks of a few hundred bytes begin anywhere: in strings, in inner objects, behind a backslash."""
+    import random
+
+    from sqlcorpus.sources import arrays
+
+    rng, key = random.Random(5), "spark.sql.files.maxPartitionBytes"
+    before = spark.conf.get(key)
+    (tmp_path / "many").mkdir()
+    want = []
+    for k in range(4):
+        body = array_text(rng, (60, 0, 1, 12)[k])
+        (tmp_path / "many" / f"{k}.json").write_text(body, encoding="utf-8")
+        want += [(f"{k}.json", r["db_id"], r["question"], r["query"], r.get("question_toks")) for r in json.loads(body)]
+    try:
+        for size in ("299", before):
+            spark.conf.set(key, size)
+            good, rejects = readers.read_example_files(spark, str(tmp_path / "many"))
+            got = [(r.file.rsplit("/", 1)[1], r.db_id, r.question, r.query, r.question_toks) for r in good.collect()]
+            assert sorted(got, key=str) == sorted(want, key=str) and rejects.count() == 0
+        spark.conf.set(key, "1500")
+        fragments = arrays._fragments(spark, str(tmp_path / "many" / "0.json"))
+        assert fragments.rdd.getNumPartitions() > 4
+        assert sorted(map(str, readers.read_example_array(spark, str(tmp_path / "many" / "0.json")).collect())) == sorted(
+            map(str, spark.read.schema(readers.EXAMPLE).option("multiLine", True).json(str(tmp_path / "many" / "0.json")).collect()))
+    finally:
+        spark.conf.set(key, before)
+
+
+def test_broken_arrays_of_every_kind(spark, tmp_path):
+    bodies = {
+        "cut": '[{"db_id": "a"}, {"db_id": "b', "open": '[{"db_id": "a"}', "comma": '[{"db_id": "a"},]', "two": '[{"db_id": "a"}] [{"db_id": "b"}]',
+        "scalar": '[{"db_id": "a"}, 5]', "inner": '[[{"db_id": "a"}]]', "object": '{"db_id": "a"}', "behind": '[{"db_id": "a"}] x', "none": "nothing",
+        "missing": '[{"db_id": "a"} {"db_id": "b"}]', "closed": '[{"db_id": "a"}}]', "quote": '[{"db_id": "a"}, {"db_id": "b" "c": 1}]', "blank": " \n",
+        "bytes": b'[{"db_id": "a\xff"}]', "good": '\n[ {"db_id": "a"}\t,\r\n{"db_id": "{]}"} ]\n', "empty": " [ ] ",
+    }
+    for name, body in bodies.items():
+        (tmp_path / f"{name}.json").write_bytes(body if isinstance(body, bytes) else body.encode())
+    good, rejects = readers.read_example_files(spark, str(tmp_path))
+    assert sorted((r.file.rsplit("/", 1)[1], r.db_id) for r in good.collect()) == [("good.json", "a"), ("good.json", "{]}")]
+    assert sorted(r.file.rsplit("/", 1)[1] for r in rejects.collect()) == sorted(f"{n}.json" for n in bodies if n not in ("good", "empty"))
