@@ -70,6 +70,44 @@ def _fold(series: Column, patience: int, min_delta: float) -> Column:
     return F.aggregate(series, start, step)
 
 
+def _entries(series: Column, patience: int, min_delta: float) -> Column:
+    """What a chunk does to any state that comes in, in at most ``patience`` entries.
+
+    Within ``patience`` evaluations a run improves or stops, so its first improvement in a chunk is one of the
+    chunk's first ``patience`` evaluations, and what follows depends on that evaluation alone: ``then`` is the walk
+    that begins there.
+    """
+
+    def entry(point: Column, at: Column) -> Column:
+        rest = F.slice(series, at + 1, F.size(series))
+        return F.struct(at.alias("at"), point["step"].alias("step"), point["value"].alias("value"), _fold(rest, patience, min_delta).alias("then"))
+
+    return F.transform(F.slice(series, 1, patience), entry)
+
+
+def _compose(chunks: Column, patience: int, min_delta: float) -> Column:
+    """The state after the ordered ``array<struct<chunk, entries>>`` of a run."""
+    start = F.struct(
+        F.lit(None).cast("double").alias("best"), F.lit(0).alias("wait"), F.lit(None).cast("long").alias("stop_step"))
+
+    def through(state: Column, chunk: Column) -> Column:
+        best, left, entries = state["best"], F.lit(patience) - state["wait"], chunk["entries"]
+        better = F.filter(entries, lambda e: best.isNull() | (~F.isnan(best) & (e["value"] < best - F.lit(min_delta))))
+        first, fatal = F.get(better, F.lit(0)), F.get(entries, left - 1)
+
+        def waited(wait: Column, stop: Column) -> Column:
+            return F.struct(best.alias("best"), wait.alias("wait"), stop.alias("stop_step"))
+
+        return (
+            F.when(state["stop_step"].isNotNull(), state)
+            .when(first.isNotNull() & (first["at"] < left), first["then"])
+            .when(fatal.isNotNull(), waited(F.lit(patience), fatal["step"]))
+            .otherwise(waited(state["wait"] + F.size(entries), F.lit(None).cast("long")))
+        )
+
+    return F.aggregate(chunks, start, through)
+
+
 def evaluations_needed(first: Column, lowest: Column, count: Column, patience: int, min_delta: float) -> Column:
     """How many leading evaluations decide a run.
 
@@ -87,9 +125,10 @@ def plateau(
 ) -> DataFrame:
     """Per run: the step at which training should stop (null when it never should), best and wait.
 
-    The fold needs the values in order, but only a bounded head of each run (``evaluations_needed``).
-    Rows past that head are filtered out before any run is gathered, found from counts per chunk of
-    steps. Steps are unique within a run; null values are ignored.
+    Chunks of ``STEPS_PER_CHUNK`` steps are walked apart from each other, once for each way a run can enter
+    them, and a run composes its chunks' ``patience`` outcomes: no task gathers more than one chunk's evaluations.
+    Only a head of each run decides (``evaluations_needed``); chunks past it are filtered out before.
+    Steps are unique within a run; null values are ignored.
     """
     if min_delta <= 0:
         raise ValueError("min_delta must be positive")
@@ -118,9 +157,12 @@ def plateau(
         .agg(F.max("chunk").alias("last_chunk"), F.max("evaluations").alias("evaluations"))
     )
     heads = join_wide(points, last_chunk, "run_id", "step", []).where(F.col("chunk") <= F.col("last_chunk"))
-    folded = heads.groupBy("run_id").agg(
+    gathered = heads.groupBy("run_id", "chunk").agg(
+        F.max("evaluations").alias("evaluations"), F.array_sort(F.collect_list(F.struct("step", "value"))).alias("series"))
+    summed = gathered.select("run_id", "chunk", "evaluations", _entries(F.col("series"), patience, min_delta).alias("entries"))
+    folded = summed.groupBy("run_id").agg(
         F.max("evaluations").alias("evaluations"),
-        _fold(F.array_sort(F.collect_list(F.struct("step", "value"))), patience, min_delta).alias("s"),
+        _compose(F.array_sort(F.collect_list(F.struct("chunk", "entries"))), patience, min_delta).alias("s"),
     )
     return folded.select(
         "run_id",

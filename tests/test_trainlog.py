@@ -5,6 +5,7 @@ from collections import defaultdict
 from datetime import datetime, timedelta
 
 import pytest
+from pyspark.sql import functions as F
 
 from sqlcorpus.operators import trainlog
 
@@ -60,6 +61,20 @@ def test_only_a_bounded_head_is_gathered(spark, monkeypatch):
     assert (row.stop_step, row.best_loss, row.wait_count, row.evaluations) == (3, 1.0, 3, 50_000)
 
 
+def test_a_falling_run_is_composed_of_chunks(spark, monkeypatch):
+    """30,000 falling evaluations never stop and then stay flat: every chunk is needed, none is gathered with another."""
+    monkeypatch.setattr(trainlog, "STEPS_PER_CHUNK", 1000)
+    log = spark.range(30_010).selectExpr("1L AS run_id", "id AS step", "-CAST(least(id, 30000) AS DOUBLE) AS loss")
+    row = trainlog.plateau(log, patience=4).first()
+    assert (row.stop_step, row.best_loss, row.wait_count, row.evaluations) == (30_004, -30_000.0, 4, 30_010)
+
+
+def test_entries_of_a_chunk_are_bounded(spark):
+    series = F.array(*[F.struct(F.lit(i).cast("long").alias("step"), F.lit(float(-i)).alias("value")) for i in range(50)])
+    entries = spark.range(1).select(trainlog._entries(series, 3, 0.01).alias("e")).first().e
+    assert [(e.at, e.step, e.then.best, e.then.wait, e.then.stop_step) for e in entries] == [(i, i, -49.0, 0, None) for i in range(3)]
+
+
 def test_nan_first_value_never_improves(spark):
     log = spark.createDataFrame([(1, i, float("nan") if i == 0 else 1.0) for i in range(6)], "run_id long, step long, loss double")
     row = trainlog.plateau(log).first()
