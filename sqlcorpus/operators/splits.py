@@ -1,7 +1,7 @@
 """Exact stratified splits, leak check and drift check.
 
 Rows are ordered by ``md5(seed|id)``, so membership does not depend on partitioning. The cut is found
-from a histogram of hash prefixes; only rows that share the prefix of the cut are ever ranked, and
+by radix selection over hash prefixes; only ids that share the last prefix are ever ranked, and
 the full rows are labelled in one pass without a shuffle.
 """
 
@@ -14,6 +14,9 @@ from sqlcorpus import fixed_values as fv
 from sqlcorpus.session import stage
 
 PREFIX_DIGITS = 3
+HASH_DIGITS = 32
+#: Rows of the bucket of a cut that one task may rank.
+RANKED_BOUND = 1_000_000
 MAX_BROADCAST_STRATA = 10_000
 
 
@@ -22,38 +25,51 @@ def hash_order(id_col: str, seed: int = fv.SEED) -> Column:
 
 
 def split_cuts(
-    rows: DataFrame, stratum: str, id_col: str, ratio: float, seed: int, digits: int, few_strata: bool
+    rows: DataFrame, stratum: str, id_col: str, ratio: float, seed: int, digits: int, few_strata: bool,
+    ranked_bound: int = RANKED_BOUND,
 ) -> DataFrame:
     """Per stratum the last ``(hash, id)`` that goes to A.
 
-    A histogram of hash prefixes finds the prefix in which the cut falls; the rows sharing it (about
-    one in ``16 ** digits``) are ranked to find the exact place. Only the stratum and the id are read.
+    Radix selection: a histogram of the first ``digits`` of the hash finds the bucket in which the cut of a stratum falls;
+    while a bucket holds more than ``ranked_bound`` rows, a histogram of the next digits inside it narrows it. The
+    ids of what is left are counted and ranked, so one task ranks at most ``ranked_bound`` of them whatever the
+    size of a stratum, and an id repeated in many rows is one entry. Only the stratum and the id are read; each round writes
+    one row per stratum, and the driver reads one number of it.
     """
     hashed = rows.select(F.col(stratum).alias("_stratum"), F.col(id_col).alias("_id"), hash_order(id_col, seed).alias("_h"))
-    prefix = F.substring("_h", 1, digits)
-    histogram = hashed.groupBy("_stratum", prefix.alias("_prefix")).agg(F.count(F.lit(1)).alias("_n"))
     per_stratum = Window.partitionBy("_stratum")
-    # at most 16^digits rows per stratum reach these windows, however many examples there are
-    running = histogram.select(
-        "_stratum",
-        "_prefix",
-        "_n",
-        F.sum("_n").over(per_stratum.orderBy("_prefix")).alias("_upto"),
-        F.floor(F.sum("_n").over(per_stratum) * F.lit(ratio)).alias("_cut"),
-    )
-    before = F.col("_upto") - F.col("_n")
-    crossing = running.where((F.col("_upto") > F.col("_cut")) & (before <= F.col("_cut"))).select(
-        F.col("_stratum").alias("_s"), "_prefix", (F.col("_cut") - before).alias("_take")
-    )
-    if few_strata:
-        crossing = F.broadcast(crossing)
-    same_bucket = F.col("_stratum").eqNullSafe(F.col("_s")) & (prefix == F.col("_prefix"))
-    ranked = hashed.join(crossing, same_bucket).select(
-        "_stratum", "_take", "_prefix", "_h", "_id",
-        F.row_number().over(per_stratum.orderBy("_h", "_id")).alias("_rank"),
-    )
+
+    def narrowed(bucketed: DataFrame, length: int, cut: Column) -> DataFrame:
+        """The bucket of ``length`` digits in which the cut lies: ``take`` rows of it go to A, of ``rows``."""
+        histogram = bucketed.groupBy("_stratum", "_goal", F.substring("_h", 1, length).alias("_bucket")).agg(F.count(F.lit(1)).alias("_n"))
+        # at most 16^digits rows per stratum reach these windows, however many examples there are
+        running = histogram.select(
+            "_stratum", "_bucket", "_n",
+            F.sum("_n").over(per_stratum.orderBy("_bucket")).alias("_upto"),
+            cut.alias("_cut"),
+        )
+        before = F.col("_upto") - F.col("_n")
+        crossing = running.where((F.col("_upto") > F.col("_cut")) & (before <= F.col("_cut")))
+        return crossing.select(F.col("_stratum").alias("_s"), F.col("_bucket").alias("_prefix"), (F.col("_cut") - before).alias("_take"), F.col("_n").alias("_rows"))
+
+    def inside(crossing: DataFrame, length: int) -> DataFrame:
+        known = F.broadcast(crossing) if few_strata else crossing
+        return hashed.join(known, F.col("_stratum").eqNullSafe(F.col("_s")) & (F.substring("_h", 1, length) == F.col("_prefix")))
+
+    length = digits
+    share = F.floor(F.sum("_n").over(per_stratum) * F.lit(ratio))
+    crossing = stage(narrowed(hashed.withColumn("_goal", F.lit(0)), length, share), "split-buckets")
+    while length < HASH_DIGITS and (crossing.agg(F.max("_rows")).first()[0] or 0) > ranked_bound:
+        bucketed = inside(crossing, length).withColumn("_goal", F.col("_take"))
+        length = min(length + digits, HASH_DIGITS)
+        crossing = stage(narrowed(bucketed, length, F.col("_goal")), "split-buckets")
+
+    counted = inside(crossing, length).groupBy("_stratum", "_take", "_prefix", "_h", "_id").agg(F.count(F.lit(1)).alias("_copies"))
+    upto = F.sum("_copies").over(per_stratum.orderBy("_h", "_id"))
+    ranked = counted.select("_stratum", "_take", "_prefix", "_h", "_id", upto.alias("_upto"), "_copies")
     # nothing of the bucket taken: the bare prefix sorts before every hash in it
-    first = ranked.where(F.col("_rank") == F.greatest(F.col("_take"), F.lit(1)))
+    wanted = F.greatest(F.col("_take"), F.lit(1))
+    first = ranked.where((F.col("_upto") >= wanted) & (F.col("_upto") - F.col("_copies") < wanted))
     taken = F.col("_take") > 0
     return first.select(
         F.col("_stratum").alias("_s"),
@@ -72,6 +88,7 @@ def stratified_split(
     digits: int = PREFIX_DIGITS,
     strata_bound: int | None = None,
     durable_cuts: bool = False,
+    ranked_bound: int = RANKED_BOUND,
 ) -> DataFrame:
     """Add ``split``: in every stratum the first ``floor(n * ratio)`` rows in hash order go to A.
 
@@ -83,7 +100,7 @@ def stratified_split(
     if strata_bound is None:
         strata_bound = rows.select(stratum).distinct().limit(MAX_BROADCAST_STRATA + 1).count()
     few = strata_bound <= MAX_BROADCAST_STRATA
-    cuts = split_cuts(rows, stratum, id_col, ratio, seed, digits, few)
+    cuts = split_cuts(rows, stratum, id_col, ratio, seed, digits, few, ranked_bound)
     if durable_cuts:
         cuts = stage(cuts, "cuts")
     if few:
@@ -193,5 +210,49 @@ def split_gate(overlap: DataFrame, drifted: DataFrame, limit: float = fv.MAX_DRI
     return leak.unionByName(shift)
 
 
+def gate_in_one_pass(
+    examples: DataFrame, keys: list[str], splits: tuple[str, ...], labels: list[str], limit: float = fv.MAX_DRIFT_POINTS
+) -> DataFrame:
+    """The rows of ``split_gate`` from one scan and one shuffle of the examples.
+
+    ``splits`` names train, validation, test and the split of further sources. While copies of a key collapse for
+    the leak check, the classes of their validation and test rows are counted beside it; labels that are not
+    among ``labels`` count as one more class.
+    """
+    train, validation, test, other = splits
+    place = F.col("split")
+    named = F.coalesce(F.col("label").isin(*labels), F.lit(False))
+    classes = [(F.col("label") == name) & named for name in labels] + [~named]
+    tallies = {f"n_{side}_{i}": F.count_if((place == split) & label)
+               for side, split in (("a", validation), ("b", test)) for i, label in enumerate(classes)}
+    marks = [F.bool_or(place == name).alias(f"in_{i}") for i, name in enumerate(splits)]
+    collapsed = examples.groupBy(*keys).agg(*marks, *[c.alias(n) for n, c in tallies.items()])
+    t, v, e, o = (F.col(f"in_{i}") for i in range(4))
+    shared = {
+        "val_test_overlap": F.count_if(v & e), "train_val_overlap": F.count_if(t & v), "train_test_overlap": F.count_if(t & e),
+        "other_val_overlap": F.when(F.count_if(o) > 0, F.count_if(v & o)),
+        "other_test_overlap": F.when(F.count_if(o) > 0, F.count_if(e & o)),
+    }
+    facts = collapsed.agg(*[c.alias(n) for n, c in shared.items()], *[F.coalesce(F.sum(n), F.lit(0)).alias(n) for n in tallies])
+
+    def points(side: str, i: int) -> Column:
+        total = sum((F.col(f"n_{side}_{j}") for j in range(len(classes))), F.lit(0))
+        return F.coalesce(F.try_divide(F.col(f"n_{side}_{i}"), total), F.lit(0.0)) * 100
+
+    apart = F.greatest(*[F.abs(points("a", i) - points("b", i)) for i in range(len(classes))])
+
+    def row(name: str, passed: Column, message: Column) -> Column:
+        return F.struct(F.lit(name).alias("check_name"), passed.alias("passed"), message.alias("message"))
+
+    rows = []
+    for name in shared:
+        n, is_error = F.col(name), name == "val_test_overlap"
+        message = F.concat(n.cast("string"), F.lit(" shared" if is_error else " shared (warning)"))
+        rows.append(F.when(n.isNotNull(), row(name, n == 0 if is_error else F.lit(True), message)))
+    rows.append(row("distribution", F.col("max_diff") <= limit, F.concat(F.round("max_diff", 1).cast("string"), F.lit(" points"))))
+    report = facts.withColumn("max_diff", apart)
+    return report.select(F.explode(F.array_compact(F.array(*rows))).alias("r")).select("r.*")
+
+
 def is_valid(gate: DataFrame) -> DataFrame:
     return gate.agg(F.bool_and("passed").alias("valid"))

@@ -23,13 +23,18 @@ def classified(usable: DataFrame, sql_col: str = "pg_sql") -> DataFrame:
 
 
 def final_splits(
-    labelled: DataFrame, ratio: float = fv.SPLIT_RATIO, seed: int = fv.SEED, durable_cuts: bool = False
+    labelled: DataFrame, ratio: float = fv.SPLIT_RATIO, seed: int = fv.SEED, durable_cuts: bool = False,
+    stage_labels: bool = False,
 ) -> DataFrame:
     """Train stays; dev is cut into validation and test, stratified by class; other sources are the split ``other``.
 
     The cuts come from the dev rows; then one pass labels the rows of all sources, so that none is lost.
+    ``stage_labels`` writes the labels and ids of the dev rows first: where ``labelled`` is no stored table, the
+    passes that find the cuts then compute no label again.
     """
-    dev = labelled.where(F.col("source") == "dev")
+    dev = labelled.where(F.col("source") == "dev").select("label", "id")
+    if stage_labels:
+        dev = stage(dev, "labels")
     cuts = splits.split_cuts(dev, "label", "id", ratio, seed, splits.PREFIX_DIGITS, few_strata=True)
     if durable_cuts:
         cuts = stage(cuts, "cuts")
@@ -48,9 +53,9 @@ SPLITS = ("train", "validation", "test")
 
 
 def gate(split_examples: DataFrame, sql_col: str = "pg_sql") -> DataFrame:
-    """Leak and drift checks of finished splits as check rows."""
-    overlap = splits.overlaps(split_examples, ["question", sql_col], (*SPLITS, "other"))
-    return splits.split_gate(overlap, splits.drift(splits.class_counts(split_examples)))
+    """Leak and drift checks of finished splits as check rows, from one scan of them."""
+    labels = [*fv.CLASS_LABELS.values(), fv.UNKNOWN_LABEL]
+    return splits.gate_in_one_pass(split_examples, ["question", sql_col], (*SPLITS, "other"), labels)
 
 
 @dataclass

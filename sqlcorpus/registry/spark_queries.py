@@ -69,7 +69,7 @@ def _labelled(spark, sf):
 
 
 def _split(spark, sf):
-    return corpus.final_splits(_labelled(spark, sf))
+    return corpus.final_splits(_labelled(spark, sf), durable_cuts=True, stage_labels=True)
 
 
 # ---- sources and sinks -------------------------------------------------------------------------
