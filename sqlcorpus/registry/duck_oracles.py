@@ -596,6 +596,15 @@ oracle(
         )
     ),
 )
+_SHARED = "SELECT question, sql FROM split WHERE split = '{}' AND (question IS NOT NULL OR sql IS NOT NULL)"
+oracle(
+    "p4_incremental_overlaps", *SPLIT,
+    body="\nUNION ALL ".join(
+        f"SELECT '{a}' AS first, '{b}' AS second, (SELECT count(*) FROM ({_SHARED.format(a)} INTERSECT {_SHARED.format(b)})) AS shared, true AS within_bound"
+        for a, b in (("train", "validation"), ("train", "test"), ("validation", "test"))
+    ),
+)
+oracle("t6_incremental_databases", *SPLIT, body="SELECT split, count(DISTINCT db_id) AS n_databases FROM split GROUP BY split")
 oracle("p5_drift", *SPLIT, "shares", "drift", body="SELECT round(max_diff, 6) AS max_diff FROM drift")
 _GATE = """SELECT 'val_test_overlap' AS check_name, vt = 0 AS passed, concat(vt, ' shared') AS message FROM overlap
 UNION ALL SELECT 'train_val_overlap', true, concat(tv, ' shared (warning)') FROM overlap

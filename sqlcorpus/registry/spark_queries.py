@@ -14,10 +14,10 @@ from sqlcorpus.functions import dialect as dl
 from sqlcorpus.functions import features as ft
 from sqlcorpus.functions import sqltext as st
 from sqlcorpus.functions.text import token_count
-from sqlcorpus.operators import checks, examples as ex, model_input, rewrite, schemas as sch, scoring, splits, stats, trainlog
+from sqlcorpus.operators import checks, examples as ex, increments, model_input, rewrite, schemas as sch, scoring, splits, stats, trainlog
 from sqlcorpus.plans import corpus
 from sqlcorpus.registry.derived import schemas, table, view
-from sqlcorpus.session import scratch_path
+from sqlcorpus.session import scratch_path, stage
 from sqlcorpus.sources import readers, writers
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -536,6 +536,33 @@ def p4_document_overlaps(spark, sf):
     return splits.overlaps(documents.unionByName(benchmark), ["text"], corpus.SPLITS, by_digest=True)
 
 
+_INCREMENT_KEYS = {"text": ["question", "sql"], "db": ["db_id"]}
+
+
+def _two_batches(spark, sf):
+    """The split examples, and the folder of their sketches, added in two batches that hold all rows."""
+    rows, path = stage(_split(spark, sf).select("id", "split", "question", "sql", "db_id"), "increments"), scratch_path(spark, "sketches")
+    for batch in (0, 1):
+        increments.add_batch(rows.where(F.col("id") % 2 == batch), batch, _INCREMENT_KEYS, path)
+    return rows, path
+
+
+@registered
+def p4_incremental_overlaps(spark, sf):
+    """Leak check of a corpus that grew by two batches: merged sketches, exact counts where they do not prove zero."""
+    rows, path = _two_batches(spark, sf)
+    found = increments.overlaps(spark, path, "text", _INCREMENT_KEYS["text"], corpus.SPLITS, lambda: rows)
+    shared = F.coalesce("exact", F.lit(0))
+    return found.select("first", "second", shared.alias("shared"), (F.col("upper") >= shared).alias("within_bound"))
+
+
+@registered
+def t6_incremental_databases(spark, sf):
+    """Databases per split from the merged sketches of two batches, exact up to 16,384 of them."""
+    _, path = _two_batches(spark, sf)
+    return increments.merged(spark, path).where("name = 'db'").select("split", F.col("n").alias("n_databases"))
+
+
 @registered
 def p5_drift(spark, sf):
     return splits.drift(splits.class_counts(_split(spark, sf))).select(F.round("max_diff", 6).alias("max_diff"))
