@@ -757,7 +757,7 @@ FROM (SELECT run_id, step, (epoch_us(ts) - epoch_us(min(ts) OVER (PARTITION BY r
 )
 
 
-def _plateau(patience: int, delta: str) -> str:
+def _plateau(patience: int, delta: str, result: str = "SELECT * FROM verdicts") -> str:
     delta = f"cast({delta} AS double)"
     return f""", evals AS (SELECT run_id, step, loss, row_number() OVER (PARTITION BY run_id ORDER BY step) AS k,
   count(*) OVER (PARTITION BY run_id) AS total FROM trainlog WHERE loss IS NOT NULL),
@@ -765,12 +765,17 @@ walk AS (SELECT run_id, k, total, loss AS best, 0 AS wait, cast(NULL AS bigint)
   UNION ALL SELECT e.run_id, e.k, e.total, CASE WHEN e.loss < w.best - {delta} THEN e.loss ELSE w.best END,
     CASE WHEN e.loss < w.best - {delta} THEN 0 ELSE w.wait + 1 END,
     CASE WHEN NOT e.loss < w.best - {delta} AND w.wait + 1 >= {patience} THEN e.step END
-  FROM walk w JOIN evals e ON e.run_id = w.run_id AND e.k = w.k + 1 WHERE w.stop_step IS NULL)
-SELECT run_id, max(total) AS evaluations, arg_max(stop_step, k) FILTER (WHERE stop_step IS NOT NULL) AS stop_step,
-  round(arg_max(best, k), 9) AS best_loss, cast(arg_max(wait, k) AS bigint) AS wait_count FROM walk GROUP BY run_id"""
+  FROM walk w JOIN evals e ON e.run_id = w.run_id AND e.k = w.k + 1 WHERE w.stop_step IS NULL),
+verdicts AS (SELECT run_id, max(total) AS evaluations, arg_max(stop_step, k) FILTER (WHERE stop_step IS NOT NULL) AS stop_step,
+  round(arg_max(best, k), 9) AS best_loss, cast(arg_max(wait, k) AS bigint) AS wait_count FROM walk GROUP BY run_id)
+{result}"""
 
 
 oracle("l2_plateau", "trainlog", body=_plateau(3, "0.01"))
+oracle(
+    "l2_plateau_stream", "trainlog",
+    body=_plateau(3, "0.01", "SELECT run_id, stop_step, best_loss, wait_count FROM verdicts WHERE stop_step IS NOT NULL"),
+)
 oracle("l2_plateau_patient", "trainlog", body=_plateau(60, "0.5"))
 _CLEAN_LEFT = f"(SELECT count(*) AS n FROM rewritten_all WHERE len({_issues('pg_sql')}) > 0)"
 _CHECKS = f"""SELECT 'required_fields' AS check_name, valid = total AS passed, CASE WHEN valid = total THEN 'all valid' WHEN valid > 0 THEN 'some valid' ELSE 'none valid' END AS message

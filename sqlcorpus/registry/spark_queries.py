@@ -19,6 +19,7 @@ from sqlcorpus.plans import corpus
 from sqlcorpus.registry.derived import schemas, table, view
 from sqlcorpus.session import scratch_path, stage
 from sqlcorpus.sources import readers, writers
+from sqlcorpus.streaming import late_plateau
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -778,6 +779,18 @@ def l2_plateau(spark, sf):
     return result.withColumn("best_loss", F.round("best_loss", 9))
 
 
+@registered
+def l2_plateau_stream(spark, sf):
+    """The runs told to stop by a stream of three batches, whose evaluations are up to 600 seconds late."""
+    log = view(spark, sf, "trainlog")
+    last = log.agg(F.max("step")).first()[0] or 0
+    arrival = F.col("step") + F.pmod(F.xxhash64("step"), F.lit(600))
+    batch = F.least(F.lit(2), F.floor(arrival * 3 / (last + 1)))
+    timed = log.select("run_id", "step", F.timestamp_seconds("step").alias("ts"), "loss", batch.alias("batch"))
+    verdicts = late_plateau.replay(spark, [timed.where(F.col("batch") == i) for i in range(3)], lateness="601 seconds")
+    return verdicts.where("should_stop").select("run_id", F.col("step").alias("stop_step"), F.round("best_loss", 9).alias("best_loss"), "wait_count")
+
+
 @registered
 def l2_plateau_patient(spark, sf):
     """A patient detector with a large step, so that some runs end without firing."""

@@ -8,11 +8,12 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
-from pyspark.sql import DataFrame, Row
+from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
 from sqlcorpus import fixed_values as fv
+from sqlcorpus.session import scratch_path
 from sqlcorpus.streaming.plateau import OUTPUT, STATE
 
 PENDING = "at long, loss double"
@@ -112,9 +113,41 @@ def watch_late_plateau(
     )
 
 
-def use_rocksdb(spark) -> None:
-    """Keep streaming state in RocksDB, as state with timers needs."""
-    spark.conf.set(
-        "spark.sql.streaming.stateStore.providerClass",
-        "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
-    )
+PROVIDER = "spark.sql.streaming.stateStore.providerClass"
+
+
+def use_rocksdb(spark: SparkSession) -> str | None:
+    """Keep streaming state in RocksDB, as state with timers needs; the provider set before."""
+    before = spark.conf.get(PROVIDER, None)
+    spark.conf.set(PROVIDER, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    return before
+
+
+def replay(spark: SparkSession, batches: list[DataFrame], **options) -> DataFrame:
+    """Verdicts of stored ``(run_id, step, ts, loss)`` batches, streamed one after the other through ``watch_late_plateau``.
+
+    The batches, the stream's checkpoint and its verdicts lie in the shared scratch folder. A last batch, one
+    evaluation of run null a year after all others, moves the watermark past them.
+    """
+    root = scratch_path(spark, "replay")
+    columns = ["run_id", "step", "ts", "loss"]
+    end = None
+    for number, batch in enumerate(batches):
+        batch.select(*columns).coalesce(1).write.parquet(f"{root}/in/{number:04d}")
+        last = spark.read.parquet(f"{root}/in/{number:04d}").agg(F.max("ts").alias("ts")).first()["ts"]
+        end = last if end is None or (last is not None and last > end) else end
+    schema = batches[0].select(*columns).schema
+    if end is not None:
+        ahead = spark.range(1).select(
+            F.lit(None).alias("run_id"), F.lit(0).alias("step"), (F.lit(end) + F.expr("INTERVAL 365 DAYS")).alias("ts"), F.lit(0.0).alias("loss"))
+        typed = ahead.select(*[F.col(f.name).cast(f.dataType).alias(f.name) for f in schema.fields])
+        typed.write.parquet(f"{root}/in/{len(batches):04d}")
+    before = use_rocksdb(spark)
+    try:
+        stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(f"{root}/in/*")
+        verdicts = watch_late_plateau(stream, **options)
+        writer = verdicts.writeStream.format("parquet").outputMode("append").option("path", f"{root}/verdicts")
+        writer.option("checkpointLocation", f"{root}/checkpoint").trigger(availableNow=True).start().awaitTermination()
+    finally:
+        spark.conf.unset(PROVIDER) if before is None else spark.conf.set(PROVIDER, before)
+    return spark.read.schema(verdicts.schema).parquet(f"{root}/verdicts")
