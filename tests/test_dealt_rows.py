@@ -42,3 +42,8 @@ def test_reads_of_a_query_are_dealt(name, spark, one_group):
 def test_texts_are_made_after_the_rows_are_dealt(spark, one_group):
     plan = physical(schemas(spark, one_group).select(F.md5("ddl")))
     assert plan.index("md5(") < plan.index("RoundRobinPartitioning") < plan.index("Scan parquet")
+
+
+def test_schema_index_is_written_by_many_tasks(spark, one_group):
+    written = contract.queries()["s7_write_schema_index"](spark, one_group)
+    assert len(written.inputFiles()) > 4 and written.count() == schemas(spark, one_group).count()
