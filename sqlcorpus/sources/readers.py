@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from contextlib import contextmanager
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -159,16 +162,31 @@ def read_jsonl_tolerant(
     return parsed, numbered.withColumn("reason", F.lit("invalid JSON"))
 
 
+LISTING = "spark.sql.sources.parallelPartitionDiscovery.parallelism"
+
+
+@contextmanager
+def listing(spark: SparkSession) -> Iterator[None]:
+    """Folders listed meanwhile are dealt to four tasks a core; Spark's default is one task a folder up to 10,000."""
+    before = spark.conf.get(LISTING)
+    spark.conf.set(LISTING, str(min(int(before), 4 * spark.sparkContext.defaultParallelism)))
+    try:
+        yield
+    finally:
+        spark.conf.set(LISTING, before)
+
+
 def read_ddl_corpus(spark: SparkSession, root: str, file_name: str = "schema.sql") -> DataFrame:
     """``(db_id, ddl)``, one row per database, from the DDL files in database directories below ``root``.
 
     Of several directories of one database the last by path counts.
     """
-    files = (
-        spark.read.option("recursiveFileLookup", True)
-        .option("pathGlobFilter", file_name)
-        .text(root, wholetext=True)
-    )
+    with listing(spark):
+        files = (
+            spark.read.option("recursiveFileLookup", True)
+            .option("pathGlobFilter", file_name)
+            .text(root, wholetext=True)
+        )
     path = F.col("_metadata.file_path")
     named = files.select(_database_of(path).alias("db_id"), path.alias("path"), F.col("value").alias("ddl"))
     return named.groupBy("db_id").agg(F.max_by("ddl", "path").alias("ddl"))
@@ -182,7 +200,7 @@ def ddl_outcomes(spark: SparkSession, root: str, file_name: str = "schema.sql")
     files of zero bytes: such a DDL file counts as missing, and a directory of nothing else is not seen.
     """
     listed = list_files(spark, root).select("db_id").distinct()
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", file_name).load(root)
+    files = _binary_files(spark, root, file_name)
     text = F.col("content").cast("string")
     valid = F.is_valid_utf8(text)
     read = files.select(
@@ -199,16 +217,15 @@ def _database_of(path: Column) -> Column:
     return F.regexp_replace(F.url_decode(folder), r"^db_id=", "")
 
 
+def _binary_files(spark: SparkSession, root: str, glob: str) -> DataFrame:
+    with listing(spark):
+        return spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", glob).load(root)
+
+
 def list_files(spark: SparkSession, root: str, glob: str = "*") -> DataFrame:
     """``(path, db_id, name, size_bytes)`` of files below ``root``; contents are never read."""
-    listing = (
-        spark.read.format("binaryFile")
-        .option("recursiveFileLookup", True)
-        .option("pathGlobFilter", glob)
-        .load(root)
-    )
     parts = F.split("path", "/")
-    return listing.select(
+    return _binary_files(spark, root, glob).select(
         "path",
         _database_of(F.col("_metadata.file_path")).alias("db_id"),
         F.element_at(parts, -1).alias("name"),
