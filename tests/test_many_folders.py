@@ -27,3 +27,12 @@ def test_outcomes_are_listed_by_few_tasks(spark, tmp_path):
     tasks, back = tasks_of_listing(spark, lambda: readers.ddl_outcomes(spark, str(tmp_path / "ddl"), "*.txt"))
     assert tasks <= 2 * 4 * spark.sparkContext.defaultParallelism  # all files, and the DDL files
     assert {(r.db_id, r.ddl.rstrip("\n")) for r in back.collect()} == expected
+
+
+def test_ddl_corpus_is_listed_by_few_tasks(spark, tmp_path):
+    expected = corpus(spark, str(tmp_path / "ddl"), 150)
+    before = spark.conf.get(readers.LISTING)
+    tasks, back = tasks_of_listing(spark, lambda: readers.read_ddl_corpus(spark, str(tmp_path / "ddl"), "*.txt"))
+    assert tasks <= 4 * spark.sparkContext.defaultParallelism
+    assert spark.conf.get(readers.LISTING) == before
+    assert {(r.db_id, r.ddl.rstrip("\n")) for r in back.collect()} == expected
