@@ -22,14 +22,20 @@ def write_chat(chat: DataFrame, path: str, mode: str = "error") -> None:
     write_jsonl(chat_rows(chat, "split"), path, "split", mode=mode)
 
 
-def write_ddl_corpus(schemas: DataFrame, path: str, mode: str = "error") -> None:
-    """One text file per database directory (``db_id=...``), the layout ``read_ddl_corpus`` reads.
+def file_per_database(rows: DataFrame) -> DataFrame:
+    """Rows dealt out for a write with a folder per ``db_id``.
 
     The number of tasks is stated: adaptive execution would join small texts into one task, which then
     opens all files one after the other.
     """
-    tasks = 4 * schemas.sparkSession.sparkContext.defaultParallelism
-    texts = schemas.select("db_id", "ddl").where("ddl IS NOT NULL").repartition(tasks, "db_id")
+    return rows.repartition(4 * rows.sparkSession.sparkContext.defaultParallelism, "db_id")
+
+
+def write_ddl_corpus(schemas: DataFrame, path: str, mode: str = "error") -> None:
+    """One text file per database directory (``db_id=...``), the layout ``read_ddl_corpus`` reads.
+
+    """
+    texts = file_per_database(schemas.select("db_id", "ddl").where("ddl IS NOT NULL"))
     texts.write.mode(mode).partitionBy("db_id").text(path)
 
 

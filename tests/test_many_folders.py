@@ -1,5 +1,8 @@
 """A folder per database: listed and written by a bounded number of tasks, none by one."""
 
+import glob
+
+from sqlcorpus.registry import spark_queries
 from sqlcorpus.sources import readers, writers
 
 
@@ -36,3 +39,12 @@ def test_ddl_corpus_is_listed_by_few_tasks(spark, tmp_path):
     assert tasks <= 4 * spark.sparkContext.defaultParallelism
     assert spark.conf.get(readers.LISTING) == before
     assert {(r.db_id, r.ddl.rstrip("\n")) for r in back.collect()} == expected
+
+
+def test_folders_without_ddl_are_written_by_many_tasks(spark, tmp_path, monkeypatch):
+    spark.range(300).selectExpr("id AS s_suppkey").coalesce(1).write.parquet(str(tmp_path / "supplier.parquet"))
+    monkeypatch.setattr(spark_queries, "scratch_path", lambda spark, name: str(tmp_path / name))
+    rejects = {r.db_id: r.reason for r in spark_queries.d6_schema_rejects(spark, str(tmp_path)).collect()}
+    parts = {p.rsplit("/part-", 1)[1][:5] for p in glob.glob(str(tmp_path / "ddl-folders" / "*" / "part-*.json"))}
+    assert len(parts) > 4
+    assert rejects == {f"shop {k}": "missing schema" if k % 5 == 2 else "not UTF-8" for k in range(300) if k % 5 == 2 or k % 7 == 3}
