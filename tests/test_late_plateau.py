@@ -6,7 +6,7 @@ from datetime import datetime, timedelta
 import pytest
 
 from sqlcorpus.operators import trainlog
-from sqlcorpus.streaming.late_plateau import use_rocksdb, watch_late_plateau
+from sqlcorpus.streaming.late_plateau import PlateauProcessor, use_rocksdb, watch_late_plateau
 
 SCHEMA = "run_id long, step long, ts timestamp, loss double"
 START = datetime(2026, 1, 1)
@@ -86,3 +86,51 @@ def test_an_idle_run_is_forgotten(spark, rocksdb, tmp_path):
     verdicts = watch(spark, tmp_path, batches, "idle", lateness="1 minute", forget_after_ms=3_600_000)
     back = [v for v in verdicts if v.run_id == 1 and v.step == 100]
     assert [(v.best_loss, v.wait_count) for v in back] == [(9.0, 0)]
+
+
+class Held:
+    """State of one run in plain Python, counting the writes."""
+
+    def __init__(self):
+        self.value, self.map, self.writes, self.timers = None, {}, 0, []
+
+    getValueState = getMapState = lambda self, name, *schema: self.__dict__.setdefault(name, Held())
+    exists = lambda self: self.value is not None
+    get = lambda self: self.value
+    getValue = lambda self, key: self.map[key]
+    iterator = lambda self: iter(list(self.map.items()))
+    removeKey = lambda self, key: self.map.pop(key)
+    registerTimer = lambda self, at: self.timers.append(at)
+
+    def update(self, value):
+        self.value = value
+
+    def updateValue(self, key, value):
+        self.map[key], self.writes = value, self.writes + 1
+
+    def clear(self):
+        self.value = None
+        self.map.clear()
+
+
+class At:
+    def __init__(self, at):
+        self.getCurrentWatermarkInMs = lambda: at
+
+
+def test_evaluations_of_a_run_wait_in_few_chunks():
+    from pyspark.sql import Row
+
+    held, processor = Held(), PlateauProcessor(3, 0.01, None)
+    processor.init(held)
+    steps = list(range(25_000))
+    random.Random(4).shuffle(steps)
+    # a repeat of a step: the last to arrive counts, and nothing of it is left
+    rows = [Row(step=9, at=30_000, loss=0.0), *(Row(step=s, at=s, loss=100_000.0 - s) for s in steps)]
+    list(processor.handleInputRows((1,), iter(rows), None))
+    assert held.pending.writes <= 3 and held.timers == [0]
+    first = list(processor.handleExpiredTimer((1,), At(11_999), None))
+    assert [v.step for v in first] == list(range(12_000)) and not any(v.should_stop for v in first)
+    assert held.timers[-1] == 12_000
+    rest = list(processor.handleExpiredTimer((1,), At(40_000), None))
+    assert [v.step for v in rest] == list(range(12_000, 25_000)) and not held.pending.map
