@@ -29,7 +29,7 @@ from sqlcorpus.session import stage
 LENGTH = 2048
 WINDOWS = 64
 END = 1
-#: Words and pieces whose ids a task remembers (about 150 bytes each), characters and texts that are encoded at once.
+#: Words whose ids a task remembers (about 50 bytes each), characters and texts that are encoded at once.
 WORDS = 200_000
 SLICE_CHARS = 2 << 20
 DOCS = 500
@@ -84,18 +84,23 @@ def encoder(path: str, words: int = WORDS):
     def whole(texts):
         return [np.array(e.ids, dtype="<u4").tobytes() for e in tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
-    if {k: steps[k] for k in BY_WORDS} != BY_WORDS or any(c.isspace() for t in special for c in t):
+    if {k: steps[k] for k in BY_WORDS} != BY_WORDS or any(c.isspace() for t in special for c in t) or not all(t.startswith("<") for t in special):
         return whole
 
-    bare = Tokenizer.from_str(tokenizer.to_str())
-    bare.normalizer = None
+    # words without "<" hold no special token; the others of Latin letters, lower-cased, need no normaliser
+    bare = Tokenizer(tokenizer.model)
     bare.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.WhitespaceSplit(), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
-    simple = all(t.startswith("<") for t in special)
-    plain = re.compile("[!-;=-~\u00C0-\u00D6\u00D8-\u00F6\u00F8-\u00FF]+")  # without "<", which starts special tokens
+    # the last id of a word, and no other, may be told by a suffix of its token
+    suffix, vocabulary = steps["model"].get("end_of_word_suffix"), tokenizer.get_vocab()
+    last = np.zeros(max(vocabulary.values(), default=0) + 1, dtype=bool)
+    last[[i for t, i in vocabulary.items() if suffix and t.endswith(suffix)]] = True
+    lower_word = "^[a-z\u00DF-\u00F6\u00F8-\u00FF]+$"
+    plain = re.compile("[!-;=-~\u00C0-\u00D6\u00D8-\u00F6\u00F8-\u00FF]+")
     parts = regex.compile(BY_WORDS["pre_tokenizer"]["pretokenizers"][0]["pattern"]["Regex"])
     # the steps make one piece of two marks in a row, and of an apostrophe and some letters
     close_marks = re.compile("[^ \\t\\n\\r0-9A-Za-z\u00C0-\u00D6\u00D8-\u00F6\u00F8-\u00FF]{2}")
-    known: dict[str, bytes] = {}
+    none = pa.array([], pa.large_string()), np.zeros(0, dtype="int64"), np.zeros(0, dtype="<u4")
+    known = none  # words, their numbers of ids, their ids end to end
 
     def latin(text):
         try:
@@ -105,57 +110,84 @@ def encoder(path: str, words: int = WORDS):
 
     def apart(text):
         """A text in which blanks part the words: Latin text lower-cased, with single marks apart, so that fewer words are distinct."""
-        if simple and "<" not in text and latin(text):
+        if "<" not in text and latin(text):
             text = text.lower()
             if not close_marks.search(text):
                 for mark in MARKS:
                     text = text.replace(mark, f" {mark} ")
         return text.replace("\n", " ")
 
+    def stretches(ids, sizes, which):
+        """Ids of the words with the numbers ``which``, end to end, and how many each has."""
+        lengths = sizes[which]
+        ends = np.cumsum(lengths)
+        starts = (np.cumsum(sizes) - sizes)[which]
+        return ids[np.arange(lengths.sum()) + np.repeat(starts - (ends - lengths), lengths)], lengths
+
+    def pieces(words):
+        """Ids of ``words``, each one piece of lower-case letters, a digit or marks, end to end, and how many each has."""
+        ids, sizes = [none[2]], [none[1]]
+        for at in range(0, len(words), 1000):
+            some = words.slice(at, 1000).to_pylist()
+            n, some = len(some), " ".join(some)
+            found = np.array(bare.encode_batch_fast([some], add_special_tokens=False)[0].ids, dtype="<u4")
+            ends = np.flatnonzero(last[found]) + 1
+            if len(ends) != n:
+                of = np.array(bare.encode(some, add_special_tokens=False).word_ids, dtype="int64")
+                ends = np.searchsorted(of, np.arange(n), side="right")
+            ids.append(found)
+            sizes.append(np.diff(ends, prepend=0))
+        return np.concatenate(ids), np.concatenate(sizes)
+
     def learn(new):
-        """Put the ids of all ``new`` words into ``known``."""
-        pieces, several, slow = [], {}, []
-        for w in new:
-            if w.isalpha() and latin(w) and w == w.lower():
-                pieces.append(w)
-            elif simple and plain.fullmatch(w):
-                several[w] = parts.findall(w.lower())
+        """Ids of all ``new`` words end to end and how many each has, in the order of the third result."""
+        easy = pc.match_substring_regex(new, lower_word).to_numpy(zero_copy_only=False)
+        numbers: dict[str, int] = {}
+        several, of, counts, slow, slow_words = [], [], [], [], []
+        for i, w in zip(np.flatnonzero(~easy).tolist(), new.filter(pa.array(~easy)).to_pylist(), strict=True):
+            if plain.fullmatch(w):
+                found = parts.findall(w.lower())
+                several.append(i)
+                of += [numbers.setdefault(p, len(numbers)) for p in found]
+                counts.append(len(found))
             else:
-                slow.append(w)
-        pieces += {p for ps in several.values() for p in ps}.difference(pieces).difference(known)
-        for at in range(0, len(pieces), 1000):
-            some = pieces[at : at + 1000]
-            found = bare.encode(" ".join(some), add_special_tokens=False)
-            of, ids = np.array(found.word_ids, dtype="int64"), np.array(found.ids, dtype="<u4").tobytes()
-            ends = (4 * np.searchsorted(of, np.arange(len(some)), side="right")).tolist()
-            known.update(zip(some, map(ids.__getitem__, map(slice, [0, *ends[:-1]], ends)), strict=True))
-        for w, ps in several.items():
-            known[w] = b"".join([known[p] for p in ps])
-        known.update(zip(slow, whole(slow), strict=True))
+                slow.append(i)
+                slow_words.append(w)
+        easy_ids, easy_sizes = pieces(new.filter(pa.array(easy)))
+        several_ids, lengths = stretches(*pieces(pa.array(numbers, pa.large_string())), np.array(of, dtype="int64"))
+        ends = np.concatenate([[0], np.cumsum(lengths)])[np.cumsum(counts, dtype="int64")]
+        slow_ids = whole(slow_words)
+        ids = [easy_ids, several_ids, np.frombuffer(b"".join(slow_ids), dtype="<u4")]
+        sizes = [easy_sizes, np.diff(ends, prepend=0), np.array([len(x) // 4 for x in slow_ids], dtype="int64")]
+        order = [np.flatnonzero(easy), np.array(several, dtype="int64"), np.array(slow, dtype="int64")]
+        return np.concatenate(ids), np.concatenate(sizes), np.concatenate(order)
 
     def encode(texts):
+        nonlocal known
         out, at = [], 0
         while at < len(texts):
-            if len(known) > words:
-                known.clear()
+            if len(known[0]) > words:
+                known = none
             split, size = [], 0
             while at < len(texts) and size < SLICE_CHARS:
                 split.append(apart(texts[at]))
                 size, at = size + len(split[-1]), at + 1
             lists = pc.split_pattern(pa.array(split, pa.large_string()), " ")
             coded = lists.flatten().dictionary_encode()
-            distinct = coded.dictionary.to_pylist()
-            learn([w for w in distinct if w not in known])
-            # ids of the distinct words in a row, then those of every word of every text
-            stored = [known[w] for w in distinct]
-            sizes = np.fromiter(map(len, stored), dtype="int64", count=len(stored)) // 4
-            values = np.frombuffer(b"".join(stored), dtype="<u4")
-            codes = coded.indices.to_numpy()
-            lengths = sizes[codes]
-            ends = np.concatenate([[0], np.cumsum(lengths)])
-            shift = (np.cumsum(sizes) - sizes)[codes] - ends[:-1]
-            ids = values[np.arange(ends[-1]) + np.repeat(shift, lengths)]
-            bounds = ends[lists.offsets.to_numpy()]
+            found = pc.index_in(coded.dictionary, value_set=known[0])
+            absent = np.flatnonzero(found.is_null().to_numpy(zero_copy_only=False))
+            # places of the slice's distinct words among the known ones
+            places = found.fill_null(-1).to_numpy(zero_copy_only=False).astype("int64")
+            if len(absent):
+                new = coded.dictionary.take(pa.array(absent))
+                ids, sizes, order = learn(new)
+                places[absent[order]] = len(known[0]) + np.arange(len(order))
+                known = (
+                    pa.concat_arrays([known[0], new.take(pa.array(order))]),
+                    np.concatenate([known[1], sizes]), np.concatenate([known[2], ids]),
+                )
+            ids, lengths = stretches(known[2], known[1], places[coded.indices.to_numpy()])
+            bounds = np.concatenate([[0], np.cumsum(lengths)])[lists.offsets.to_numpy()]
             out += [ids[a:b].tobytes() for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True)]
         return out
 

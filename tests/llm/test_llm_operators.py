@@ -226,6 +226,22 @@ def test_any_tokenizer_has_its_own_ids(file, monkeypatch):
     assert packing.encoder(path, words=300)(texts) == want
 
 
+def test_new_words_are_learned_without_calls_for_each():
+    import sys
+
+    rng = random.Random(3)
+    words = ["".join(rng.choices("abcdeéß", k=9)) for _ in range(20_000)]
+    encode = packing.encoder(queries.tokenizer_path())
+    calls = Counter()
+    sys.setprofile(lambda frame, event, arg: calls.update([event]))
+    try:
+        got = encode([" ".join(words)])
+    finally:
+        sys.setprofile(None)
+    assert calls["call"] + calls["c_call"] < len(words) / 10
+    assert got == [b"".join(encode(words))]
+
+
 def test_substring_dedup(odd, empty):
     rows = sorted({(i is None, i or 0, t) for i, t in pairs(odd, "doc_id", "text")}, key=lambda r: (r[:2], r[2] or ""))
     got = {(r.doc_id is None, r.doc_id or 0, r.text): r.removal for r in substring_dedup.remove(odd).collect()}
