@@ -311,8 +311,7 @@ def _ddl_folders(spark, sf):
     text = F.when(F.col("k") % 7 == 3, F.concat(F.col("ddl"), F.unhex(F.lit("FFFE20")).cast("string"))).otherwise(F.col("ddl"))
     path = scratch_path(spark, "ddl-folders")
     writers.write_ddl_corpus(rows.where("k % 5 <> 2").select("db_id", text.alias("ddl")), path)
-    others = writers.file_per_database(rows.where("k % 5 = 2").select("db_id", F.lit("{}").alias("value")))
-    others.write.mode("append").partitionBy("db_id").option("ignoreNullFields", True).json(path)
+    writers.write_file_per_database(rows.where("k % 5 = 2").select("db_id", F.lit("{}").alias("value")), path, "append", "json")
     return readers.ddl_outcomes(spark, path, "*.txt")
 
 
