@@ -5,14 +5,16 @@ separated by ASCII white space; a shorter line is one shingle). Lines match when
 of their tokens is at least 4/5. A line goes when a matching line stands earlier: smaller id, or the same
 document and a smaller line number; lines are judged on the input, so no chain of matches builds up.
 
-1. Lines with the same words are one class, aggregated before the shuffle; the rest works on classes.
-2. Tokens are ordered by rarity: counts of ``RARITY`` hash buckets over all classes, a table of fixed size,
+1. Lines are staged once, normalised; lines with the same words are one class, known by the hash of its key.
+2. Tokens are ordered by rarity: levels of ``RARITY`` hash buckets counted over all lines, a table of fixed size,
    then by hash. Any order gives the same result; a rare first token keeps the join small.
-3. Each class posts its prefix: two classes that match share a token of their prefixes. Postings of a
-   token that no other class posts are dropped, the others are joined with the length filter and the
-   positional filter (tokens before and behind the shared one bound the overlap).
-4. Candidates are verified on their whole token sets. Only classes whose number is in a bitmap of the
-   candidates, of bounded size, are shuffled for it.
+3. Each line posts its prefix: two classes that match share a token of their prefixes. Only numbers are posted, no
+   text. Postings of a token that no other class posts are dropped, the others are joined with the length filter and
+   the positional filter (tokens before and behind the shared one bound the overlap). Tokens are cut to ``TOKEN_BITS``
+   for this: tokens that fall together only add candidates.
+4. Candidates are compared by a sketch of 64 parity bits: every token that only one of two sets has flips one bit at
+   most, so that matching sets differ in few. What is left is verified on the whole token sets. Tokens are made again for
+   both, only for lines whose class is in a bitmap of the candidates, of bounded size.
    (Explodes are outer ones: no array is empty, and others would push a filter on it below the projection
    that splits the words.)
 5. Each line learns the earliest match of its class; the most frequent lines by a broadcast of fixed size.
@@ -24,6 +26,8 @@ come last; an empty table gives an empty result; ``remove`` keeps the other colu
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
@@ -35,43 +39,59 @@ SHINGLE = 5
 #: Least Jaccard similarity, as numerator and denominator.
 SIMILARITY = (4, 5)
 RARITY = 1 << 16
+#: Bits of a token in the order and in the postings.
+TOKEN_BITS = 40
 #: Bits of the candidates' bitmap for each pair, and the most bits it may have: 64 MB, the bound of the broadcast.
 BITS_PER_PAIR = 32
 MAX_BITS = 1 << 29
 
 
 def normal(line: Column) -> Column:
-    """Lower-cased words joined by single spaces."""
-    return F.trim(F.regexp_replace(F.lower(line), "[ \\t\\x0B\\f\\r]+", " "))
+    """Lower-cased words of a lower-cased line joined by single spaces; only lines that need it are rewritten."""
+    other = F.contains(line, F.lit("  "))
+    for char in "\t\x0b\f\r":
+        other = other | F.contains(line, F.lit(char))
+    return F.trim(F.when(other, F.regexp_replace(line, "[ \\t\\x0B\\f\\r]+", " ")).otherwise(line))
 
 
-def with_tokens(classes: DataFrame, size: int = SHINGLE) -> DataFrame:
+def with_tokens(lines: DataFrame, size: int = SHINGLE) -> DataFrame:
     """Adds ``tokens``, the distinct 64-bit hashes of the ``size``-word sequences of the normal line ``norm``.
 
-    Words are split in a projection of their own, because a lambda would split them again for each token.
+    Words are split in a projection of their own, because they are used several times. The lambda is as small as
+    can be, because it is not compiled.
     """
     words, n = F.col("_words"), F.size("_words")
-    each = F.transform(F.sequence(F.lit(0), n - size), lambda i: F.xxhash64(*[F.get(words, i + k) for k in range(size)]))
-    tokens = F.when(n < size, F.array(F.xxhash64("norm"))).otherwise(F.array_distinct(each))
-    return classes.withColumn("_words", F.split("norm", " ")).withColumn("tokens", tokens).drop("_words")
+    shingles = F.arrays_zip(*[F.slice(words, k + 1, n - size + 1) for k in range(size)])
+    tokens = F.when(n < size, F.array(F.xxhash64("norm"))).otherwise(F.array_distinct(F.transform(shingles, lambda s: F.xxhash64(s))))
+    return lines.withColumn("_words", F.split("norm", " ")).withColumn("tokens", tokens).drop("_words")
 
 
 def _bucket(token: Column) -> Column:
-    return F.pmod(token, F.lit(RARITY))
+    return token.bitwiseAND(F.lit(RARITY - 1))
 
 
-def _rarity(classes: DataFrame) -> Column:
-    """A constant array: how many tokens of all classes fall into each of the RARITY buckets."""
+def _levels(lines: DataFrame) -> Column:
+    """A constant array: by how many quarters of a doubling each of the RARITY buckets has more tokens than the mean,
+    in the bits above those of a token."""
+    words, n = F.col("_words"), F.size("_words")
+    places = lines.select("norm", F.split("norm", " ").alias("_words")).select(
+        "norm", "_words", F.explode_outer(F.sequence(F.lit(0), F.greatest(n - SHINGLE, F.lit(0)))).alias("_i"))
+    token = F.when(n < SHINGLE, F.xxhash64("norm")).otherwise(F.xxhash64(*[F.get(words, F.col("_i") + k) for k in range(SHINGLE)]))
     counts = [0] * RARITY
-    for row in classes.select(F.explode_outer("tokens").alias("t")).groupBy(_bucket(F.col("t")).alias("b")).count().collect():
+    for row in places.groupBy(_bucket(token).alias("b")).count().collect():
         counts[row["b"]] = row["count"]
-    return F.split(F.lit(",".join(map(str, counts))), ",").cast("array<bigint>")
+    mean = max(1.0, sum(counts) / RARITY)
+    levels = [int(4 * math.log2(c / mean)) << TOKEN_BITS if c > mean else 0 for c in counts]
+    return F.split(F.lit(",".join(map(str, levels))), ",").cast("array<bigint>")
 
 
 def _lines(docs: DataFrame) -> DataFrame:
-    """Lines with words of ``docs(_row, _id, _text)``."""
-    lines = docs.select("_row", "_id", F.posexplode(F.split("_text", "\n")).alias("line_no", "line"))
-    return lines.withColumn("norm", normal(F.col("line"))).where("norm <> ''").withColumn("key", F.unhex(F.md5(F.encode("norm", "UTF-8"))))
+    """Normal lines of ``docs(_row, _id, _text)`` with their keys, staged; the first line of a row always, others only with words."""
+    lines = docs.select("_row", "_id", F.posexplode(F.split(F.coalesce("_text", F.lit("")), "\n")).alias("line_no", "line"))
+    lines = lines.withColumn("line", F.lower("line")).withColumn("norm", normal(F.col("line"))).where("norm <> '' OR line_no = 0")
+    path = scratch_path(docs.sparkSession, "lines")
+    lines.select("_row", "_id", "line_no", "norm", F.unhex(F.md5(F.encode("norm", "UTF-8"))).alias("key")).write.option("compression", "zstd").parquet(path)
+    return docs.sparkSession.read.parquet(path)
 
 
 def _place() -> Column:
@@ -79,75 +99,100 @@ def _place() -> Column:
     return F.struct(F.col("_id").isNull().alias("none"), F.col("_id").alias("id"), F.col("line_no").alias("line"))
 
 
-def _candidates(classes: DataFrame) -> DataFrame:
-    """Pairs ``(a, b)`` of class numbers that pass the filters on their prefixes."""
+def _class() -> Column:
+    return F.xxhash64("key")
+
+
+def _candidates(lines: DataFrame) -> DataFrame:
+    """Pairs ``(a, b)`` of classes that pass the filters on their prefixes."""
     num, den = SIMILARITY
-    counts = _rarity(classes)
-    ranked = F.sort_array(F.transform("tokens", lambda t: F.struct(F.element_at(counts, (_bucket(t) + 1).cast("int")).alias("c"), t.alias("t"))))
+    levels = _levels(lines)
+
+    def order(t):
+        level = F.coalesce(F.get(levels, _bucket(t).cast("int")), F.lit(0).cast("long"))  # not null: primitives are sorted faster
+        return level + F.call_function("shiftrightunsigned", t, F.lit(64 - TOKEN_BITS))
+
     n = F.size("tokens")
     prefix = n - F.floor((num * n + den - 1) / den).cast("int") + 1
-    posts = (
-        classes.select("class", n.alias("n"), F.posexplode_outer(F.slice(ranked, F.lit(1), prefix)).alias("pos", "token"))
-        .select(F.col("token.t").alias("t"), "class", F.struct("n", "pos").alias("at"))
-    )
-    shared = posts.withColumn("_posts", F.count(F.lit(1)).over(W.partitionBy("t"))).where("_posts > 1").drop("_posts")
-    a, b = shared.select("t", F.col("class").alias("a"), F.col("at").alias("x")), shared.select("t", F.col("class").alias("b"), F.col("at").alias("y"))
-    nx, ny, i, j = F.col("x.n"), F.col("y.n"), F.col("x.pos"), F.col("y.pos")
+    ranked = with_tokens(lines.select("key", "norm")).select(
+        _class().alias("class"), n.cast("long").alias("n"), F.slice(F.sort_array(F.transform("tokens", order)), F.lit(1), prefix).alias("first"))
+    posts = ranked.select("class", "n", F.posexplode_outer("first").alias("pos", "t")).select(
+        "t", "class", (F.col("n") * (1 << 32) + F.col("pos")).alias("at"))
+    w = W.partitionBy("t")
+    shared = posts.withColumn("_least", F.min("class").over(w)).withColumn("_most", F.max("class").over(w)).where("_least <> _most")
+    shared = stage(shared.select("t", "class", "at"), "shared-tokens").distinct().select(
+        "t", "class", F.call_function("shiftright", "at", F.lit(32)).alias("n"), F.col("at").bitwiseAND(F.lit((1 << 32) - 1)).alias("pos"))
+    a, b = (shared.select("t", F.col("class").alias(c), F.col("n").alias(f"n{c}"), F.col("pos").alias(f"p{c}")) for c in "ab")
+    nx, ny, i, j = F.col("na"), F.col("nb"), F.col("pa"), F.col("pb")
     overlap = F.least(i, j) + 1 + F.least(nx - 1 - i, ny - 1 - j)
     lengths = F.least(nx, ny) * den >= F.greatest(nx, ny) * num
     positions = overlap * (num + den) >= (nx + ny) * num
     return a.join(b, "t").where((F.col("a") < F.col("b")) & lengths & positions).select("a", "b").distinct()
 
 
-def _links(classes: DataFrame) -> DataFrame:
-    """Verified pairs, both ways: ``class``, and the other's ``first`` place."""
-    num, den = SIMILARITY
-    pairs = stage(_candidates(classes), "candidate-lines")
+def _wanted(lines: DataFrame, pairs: DataFrame) -> DataFrame:
+    """Lines whose class is in one of the ``pairs``, and few others."""
     bits = min(MAX_BITS, max(BLOCK_BITS, 1 << (max(1, pairs.count()) * BITS_PER_PAIR - 1).bit_length()))
     place = lambda c: F.pmod(F.xxhash64(c), F.lit(bits)) + 1
     ends = pairs.select(F.explode(F.array("a", "b")).alias("c")).select(place(F.col("c")).alias("_p"))
-    wanted = probe(classes.select("class", "first", "tokens"), stage(bitmaps(ends, "_p"), "candidate-bits"), [place(F.col("class"))], "_in").where("_in")
-    a = wanted.select(F.col("class").alias("a"), F.col("first").alias("first_a"), F.col("tokens").alias("tokens_a"))
-    b = wanted.select(F.col("class").alias("b"), F.col("first").alias("first_b"), F.col("tokens").alias("tokens_b"))
+    return probe(lines, stage(bitmaps(ends, "_p"), "candidate-bits"), [place(_class())], "_in").where("_in")
+
+
+def _ends(pairs: DataFrame, facts: DataFrame) -> DataFrame:
+    """``pairs`` with the facts of both classes, as ``(name)_a`` and ``(name)_b``."""
+    for c in "ab":
+        pairs = pairs.join(facts.select(F.col("class").alias(c), *[F.col(f).alias(f"{f}_{c}") for f in facts.columns if f != "class"]), c)
+    return pairs
+
+
+def _links(lines: DataFrame) -> DataFrame:
+    """Verified pairs, both ways: ``key``, and the other's ``first`` place."""
+    num, den = SIMILARITY
+    pairs = stage(_candidates(lines), "candidate-lines")
+    parity = F.expr("aggregate(tokens, 0L, (s, t) -> s ^ shiftleft(1L, cast(t & 63 AS int)))")
+    sketches = stage(with_tokens(_wanted(lines.select("key", "norm"), pairs)).select(
+        _class().alias("class"), F.size("tokens").alias("n"), parity.alias("bits")).distinct(), "candidate-sketches")
+    differ = F.bit_count(F.col("bits_a").bitwiseXOR(F.col("bits_b")))
+    near = stage(_ends(pairs, sketches).where(differ * (num + den) <= (F.col("n_a") + F.col("n_b")) * (den - num)).select("a", "b"), "near-lines")
+    classes = _wanted(lines, near).groupBy("key").agg(F.min(_place()).alias("first"), F.first("norm").alias("norm"))
+    # no shuffled row is tokenized twice
+    facts = stage(with_tokens(classes).select(_class().alias("class"), "key", "first", "tokens"), "near-tokens")
     both = F.size(F.array_intersect("tokens_a", "tokens_b"))
-    true = pairs.join(a, "a").join(b, "b").where(both * (num + den) >= (F.size("tokens_a") + F.size("tokens_b")) * num)
-    true = stage(true.select("a", "b", "first_a", "first_b"), "line-links")
-    return true.select(F.col("a").alias("class"), F.col("first_b").alias("other")).unionByName(
-        true.select(F.col("b").alias("class"), F.col("first_a").alias("other")))
+    true = _ends(near, facts).where(both * (num + den) >= (F.size("tokens_a") + F.size("tokens_b")) * num)
+    true = stage(true.select("key_a", "key_b", "first_a", "first_b"), "line-links")
+    return true.select(F.col("key_a").alias("key"), F.col("first_b").alias("other")).unionByName(
+        true.select(F.col("key_b").alias("key"), F.col("first_a").alias("other")))
 
 
-def matched_lines(docs: DataFrame) -> DataFrame:
-    """Every line with words of ``docs(_row, _id, _text)``: ``_row, _id, line_no, links, match``.
+def matched_lines(lines: DataFrame) -> DataFrame:
+    """Those of the staged ``lines`` with words whose text has links or copies: ``_row, _id, line_no, links, match``.
 
     ``links`` counts the other texts that the line's text matches; ``match`` is the place of the earliest
     line that matches it, null when there is none before it.
     """
-    spark = docs.sparkSession
-    lines = stage(_lines(docs).select("_row", "_id", "line_no", "key"), "lines")
-    grouped = _lines(docs).groupBy("key").agg(F.min(_place()).alias("first"), F.count(F.lit(1)).alias("rows"), F.first("norm").alias("norm"))
-    path = scratch_path(spark, "line-classes")
-    grouped.withColumn("class", F.monotonically_increasing_id()).write.option("compression", "zstd").parquet(path)
-    texts = spark.read.parquet(path)
-    links = _links(with_tokens(texts).select("class", "first", "tokens"))
-    known = links.groupBy("class").agg(F.count(F.lit(1)).alias("links"), F.min("other").alias("other"))
+    lines = lines.where("norm <> ''")
+    links = _links(lines)
+    known = links.groupBy("key").agg(F.count(F.lit(1)).alias("links"), F.min("other").alias("other"))
+    grouped = lines.groupBy("key").agg(F.min(_place()).alias("first"), F.count(F.lit(1)).alias("rows"))
     facts = stage(
-        texts.select("key", "class", "rows", "first").join(known, "class", "left").select(
+        grouped.join(known, "key", "left").where("rows > 1 OR links IS NOT NULL").select(
             "key", "rows", F.coalesce("links", F.lit(0)).alias("links"), F.least("first", "other").alias("earliest")), "line-facts")
-    found = attach(lines, facts, ["key"], "rows")
+    found = attach(lines.select("_row", "_id", "line_no", "key"), facts, ["key"], "rows", "inner")
     return found.select("_row", "_id", "line_no", "links", F.when(F.col("earliest") < _place(), F.col("earliest")).alias("match"))
 
 
 def report(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per row of ``docs``: ``doc_id, n_lines, n_removed, n_links`` and ``removed``, the removed
     lines in order as ``line:id of the earliest match``, comma-joined."""
-    rows = stage(docs.select(
-        F.monotonically_increasing_id().alias("_row"), F.col(id_col).alias("_id"), F.col(text_col).cast("string").alias("_text")), "line-documents")
+    lines = _lines(docs.select(
+        F.monotonically_increasing_id().alias("_row"), F.col(id_col).alias("_id"), F.col(text_col).cast("string").alias("_text")))
     gone = F.when(F.col("match").isNotNull(), F.struct("line_no", F.concat_ws(":", F.col("line_no").cast("string"), F.coalesce(F.col("match.id").cast("string"), F.lit("null"))).alias("s")))
-    per_row = matched_lines(rows).groupBy("_row").agg(
-        F.count(F.lit(1)).alias("n_lines"), F.sum("links").alias("n_links"), F.sort_array(F.collect_list(gone)).alias("gone"))
+    per_row = matched_lines(lines).groupBy("_row").agg(F.sum("links").alias("n_links"), F.sort_array(F.collect_list(gone)).alias("gone"))
+    rows = lines.groupBy("_row").agg(F.count_if(F.col("norm") != "").alias("n_lines"))
+    ids = lines.where("line_no = 0").select("_row", "_id")
     none = F.lit(0).cast("long")
-    return rows.select("_row", "_id").join(per_row, "_row", "left").select(
-        F.col("_id").alias("doc_id"), F.coalesce("n_lines", none).alias("n_lines"),
+    return ids.join(rows, "_row").join(per_row, "_row", "left").select(
+        F.col("_id").alias("doc_id"), "n_lines",
         F.coalesce(F.size("gone").cast("long"), none).alias("n_removed"), F.coalesce("n_links", none).alias("n_links"),
         F.coalesce(F.array_join(F.transform("gone", lambda g: g["s"]), ","), F.lit("")).alias("removed"))
 
@@ -158,7 +203,7 @@ def remove(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
     inner = stage(docs.toDF(*names).withColumn("_row", F.monotonically_increasing_id()), "line-documents")
     text = names[docs.columns.index(text_col)]
     rows = inner.select("_row", F.col(names[docs.columns.index(id_col)]).alias("_id"), F.col(text).cast("string").alias("_text"))
-    gone = matched_lines(rows).where("match IS NOT NULL").groupBy("_row").agg(F.collect_set("line_no").alias("_gone"))
+    gone = matched_lines(_lines(rows)).where("match IS NOT NULL").groupBy("_row").agg(F.collect_set("line_no").alias("_gone"))
     kept = F.filter(F.split(F.col(text), "\n"), lambda line, i: ~F.array_contains("_gone", i))
     cut = F.when(F.col("_gone").isNull(), F.col(text)).otherwise(F.array_join(kept, "\n"))
     return inner.join(gone, "_row", "left").withColumn(text, cut).select(*names).toDF(*docs.columns)
