@@ -68,3 +68,26 @@ def test_tokens_are_verified_only_for_lines_in_near_pairs(spark, monkeypatch):
     docs = spark.createDataFrame([(i, " ".join(w)) for i, w in enumerate(texts)], "doc_id bigint, text string")
     removed = [(r.doc_id, r.removed) for r in line_dedup.report(docs).collect() if r.removed]
     assert removed == [(200, "0:0")] and sizes[0] == 201 and sizes[-1] == 2
+
+
+def test_lines_a_little_too_far_apart_are_told_from_links_before_verification(spark, monkeypatch):
+    rng, staged, plain = random.Random(3), {}, line_dedup.stage
+    words = [f"w{rng.randrange(10**6)}" for _ in range(72)]
+    # one word changed in each at a place of its own: every two have 58 of 78 tokens, and are no links
+    lines = [" ".join(words[:k] + [f"x{k}"] + words[k + 1:]) for k in range(5, 65, 5)]
+
+    def seen(df, name):
+        staged[name] = plain(df, name)
+        return staged[name]
+
+    monkeypatch.setattr(line_dedup, "stage", seen)
+    got = line_dedup.report(spark.createDataFrame(list(enumerate(lines + lines[:3])), "doc_id bigint, text string")).collect()
+    assert sum(r.n_links for r in got) == 0 and sorted(r.removed for r in got if r.removed) == ["0:0", "0:1", "0:2"]
+    assert staged["near-lines"].count() <= 6  # of 66 pairs
+
+
+def test_copies_of_a_line_have_one_sketch(spark):
+    text = " ".join(f"v{i % 23}" for i in range(40))
+    docs = spark.createDataFrame([(i, i, text) for i in range(3)], "_row bigint, _id bigint, _text string").repartition(1)
+    rows = line_dedup._sketches(line_dedup._lines(docs)).collect()
+    assert len(rows) == 1 and rows[0]["n"] == 23 and sum(bin(rows[0][f"bits{k}"] & (2**64 - 1)).count("1") for k in range(line_dedup.SKETCH)) % 2 == 1
